@@ -22,10 +22,7 @@ def bindings(matches: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
         for a in step.aliases:
             slot = F.col(f"s{i}")
             if step.loop:
-                found = slot
-                if len(step.aliases) > 1:
-                    found = F.filter(slot, lambda e, t=inv.aliases[a].type: e["type"] == t)
-                cols.append(F.transform(found, lambda e, a=a: _alias_struct(e, inv, layout, a)).alias(a))
+                cols.append(_alias_array(slot, inv, layout, a).alias(a))
             else:
                 cols.append(
                     F.when(slot["type"] == F.lit(inv.aliases[a].type), _alias_struct(slot, inv, layout, a)).alias(a)
@@ -42,6 +39,11 @@ def bindings(matches: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
     )
 
 
+def _alias_array(slot: Column, inv: Invariant, layout: Layout, alias: str) -> Column:
+    found = F.filter(slot, lambda e: e["type"] == F.lit(inv.aliases[alias].type))
+    return F.transform(found, lambda e: _alias_struct(e, inv, layout, alias))
+
+
 def _alias_struct(event: Column, inv: Invariant, layout: Layout, alias: str) -> Column:
     fields = [F.timestamp_micros(event["us"]).alias("ts"), event["seq"].alias("seq")]
     for path, kind in inv.aliases[alias].schema.items():
