@@ -116,7 +116,8 @@ def zipf(df: DataFrame, raw: str, ranks: int, out: str, exponent: float = 1.0) -
         F.col("high").alias("_high"),
         F.explode(F.sequence(slot(F.col("low")), slot(F.col("high") - 1))).alias("_slot"),
     )
-    at = F.floor(F.col(raw).cast("decimal(20,0)") * total / F.lit(RAW_RANGE)).cast("bigint")
+    weighted = F.col(raw).cast("decimal(18,0)") * total.cast("decimal(19,0)")  # exact, may pass 2^63
+    at = F.call_function("div", weighted, F.lit(RAW_RANGE).cast("decimal(19,0)")).cast("bigint")
     drawn = df.withColumn("_at", at).withColumn("_slot", slot(F.col("_at")))
     side = F.broadcast(side) if ranks <= _BROADCAST_RANKS else side
     inside = (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))

@@ -92,7 +92,10 @@ def project_events(events: DataFrame, layout: Layout, keep: list[str] = ()) -> D
     """
     inv = layout.inv
     cols = members(F.col("content"), events.schema["content"].dataType, layout.columns)
-    return events.filter(F.col("type").isin(inv.types)).select(
+    relevant = F.col("type").isin(inv.types)
+    if events.isStreaming:
+        relevant = behind_watermark(relevant)
+    return events.filter(relevant).select(
         "type",
         F.unix_micros("ts").alias("us"),
         "seq",
@@ -101,6 +104,15 @@ def project_events(events: DataFrame, layout: Layout, keep: list[str] = ()) -> D
     )
 
 
+def behind_watermark(condition: Column) -> Column:
+    """A filter that stays above the watermark.
+
+    Spark pushes filters on other columns below it, and then events of other
+    types would no longer move the event time on.
+    """
+    return F.when(F.col("ts").isNotNull(), condition).otherwise(F.lit(False))
+
+
 def key_columns(layout: Layout, classes: list[list[Ref]]) -> list[Column]:
     """The shared key of an event, one column per class; null if the member is missing."""
     inv, out = layout.inv, []

@@ -6,7 +6,7 @@ seed, so the tables need no shared generator state and no order of execution.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,15 +54,24 @@ def transactions_of(workloads: DataFrame) -> DataFrame:
     )
 
 
-def schedule(expanded: DataFrame, seed: int) -> DataFrame:
+# Raw draw of a row for a purpose; the default hashes the purpose with the ids of the row.
+Draw = Callable[[str], Column]
+_IDS = ["workload", "tx_ref", "ordinal"]
+
+
+def hashed_draw(seed: int) -> Draw:
+    return lambda purpose: hashed_raw(seed, F.lit(purpose), *_IDS)
+
+
+def schedule(expanded: DataFrame, seed: int, draw: Draw | None = None) -> DataFrame:
     """Adds ids, the random execution order and the worker of every transaction."""
-    ids = ["workload", "tx_ref", "ordinal"]
+    draw = draw or hashed_draw(seed)
     return expanded.select(
         "*",
         guid(F.lit(seed), "workload").alias("workload_id"),
-        guid(F.lit(seed), *ids).alias("transaction_id"),
-        hashed_raw(seed, F.lit("order"), *ids).alias("order_key"),
-        F.pmod(hashed_raw(seed, F.lit("worker"), *ids), F.col("concurrency")).cast("int").alias("worker"),
+        guid(F.lit(seed), *_IDS).alias("transaction_id"),
+        draw("order").alias("order_key"),
+        F.pmod(draw("worker"), F.col("concurrency")).cast("int").alias("worker"),
     )
 
 
@@ -70,11 +79,12 @@ def in_random_order(scheduled: DataFrame) -> DataFrame:
     return scheduled.orderBy("order_key", "transaction_id")
 
 
-def bind(expanded: DataFrame, workload: Mapping[str, Any], seed: int) -> DataFrame:
+def bind(expanded: DataFrame, workload: Mapping[str, Any], seed: int, draw: Draw | None = None) -> DataFrame:
     """Adds ``values`` (argument → text): one independent draw per reference to a generator.
 
     ``workload`` is one workload document; its few generators become column expressions.
     """
+    draw = draw or hashed_draw(seed)
     generators = {g["id"]: g for g in workload.get("generators") or []}
     counters = _counter_offsets(workload, generators)
     names: dict[str, list[Column]] = {}
@@ -82,7 +92,7 @@ def bind(expanded: DataFrame, workload: Mapping[str, Any], seed: int) -> DataFra
         entries = []
         for n, ref in enumerate(tx.get("data") or []):
             gen = generators[ref["generatorReferenceId"]]
-            raw = hashed_raw(seed, F.lit(gen["id"]), F.lit(ref["name"]), "tx_ref", "ordinal")
+            raw = draw(f"{gen['id']}/{ref['name']}")
             if gen["type"].lower() == "counter":
                 offset, uses, position = counters[(tx["id"], n)]
                 value = F.col("ordinal") * F.lit(uses) + F.lit(offset + position + (gen.get("start") or 0))
@@ -114,7 +124,7 @@ def generated(gen: Mapping[str, Any], raw: Column, seed: int) -> Column:
     if kind == "string":
         return F.lit(FIXED_STRING)
     if kind == "guid":
-        return guid(F.lit(seed), F.lit(gen["id"]), raw, "tx_ref", "ordinal")
+        return guid(F.lit(seed), F.lit(gen["id"]), raw, *_IDS)
     if kind == "constant":
         constant = gen.get("constant")
         return F.lit(constant if constant is None or isinstance(constant, str) else str(constant))

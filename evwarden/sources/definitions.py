@@ -159,7 +159,22 @@ def _unknown_generators(workloads: DataFrame) -> DataFrame:
     ).select("file", "id", F.concat_ws(" ", F.lit("unknown generator"), F.col("ref")).alias("error"))
 
 
+# Missing keys are broadcast up to this many, beyond it rows are salted.
+_BROADCAST_KEYS = 1_000_000
+_SALTS = 32
+
+
 def missing_references(rows: DataFrame, column: str, targets: DataFrame, target_column: str) -> DataFrame:
-    """Rows whose ``column`` points at nothing: the same check on large tables."""
-    known = targets.select(F.col(target_column).alias(column)).filter(F.col(column).isNotNull())
-    return rows.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
+    """Rows whose ``column`` points at nothing: the same check on large tables.
+
+    Only distinct keys are shuffled for the comparison, so neither a popular
+    target nor a popular broken reference makes a large task.
+    """
+    known = targets.select(F.col(target_column).alias(column)).distinct()
+    used = rows.select(column).filter(F.col(column).isNotNull()).distinct()
+    missing = used.join(known, column, "left_anti")
+    if missing.limit(_BROADCAST_KEYS + 1).count() <= _BROADCAST_KEYS:
+        return rows.join(F.broadcast(missing), column, "left_semi")
+    salted = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)).cast("int")
+    return rows.withColumn("_salt", spread).join(salted, [column, "_salt"], "left_semi").drop("_salt")

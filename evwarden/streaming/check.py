@@ -24,7 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from evwarden.model import Invariant, InvariantError
 from evwarden.operators.advance import Frontier, Open
-from evwarden.operators.project import Layout, fits, key_columns, project_events
+from evwarden.operators.project import Layout, behind_watermark, fits, key_columns, project_events
 from evwarden.operators.verdict import bindings, violations
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,7 +59,7 @@ def match_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds",
     start, later = fits(layout, 0), F.lit(False)
     for i in range(1, len(inv.steps)):
         later = later | (fits(layout, i) & keyed)
-    ev = ev.filter(start | later)
+    ev = ev.filter(behind_watermark(start | later))
     mine = F.pmod(F.xxhash64("us", "seq"), F.lit(salts)).cast("int")
     lonely = F.lit(-1) - F.pmod(F.xxhash64("us", "seq"), F.lit(_NULL_KEY_SALTS)).cast("int")
     targets = F.when(~keyed, F.array(lonely)).when(later, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(mine))
@@ -86,7 +86,7 @@ def check_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds",
 
 def _single(events: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
     """One step: a plain filter, no state."""
-    ev = project_events(events, layout).filter(fits(layout, 0))
+    ev = project_events(events, layout, keep=["ts"]).filter(fits(layout, 0))
     slot = F.struct(*layout.event_slot(0)).cast(layout.slot_type(0)).alias("s0")
     return ev.select(
         F.lit("full").alias("kind"), F.col("us").alias("start_us"), F.col("seq").alias("start_seq"),
