@@ -54,12 +54,15 @@ def guid(*parts: Column | str) -> Column:
     return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
 
 
-def dense_counter(df: DataFrame, id: str, out: str, start: int = 0, bits: int = 10) -> DataFrame:
+def dense_counter(df: DataFrame, id: str, out: str, start: int = 0, bits: int | None = None) -> DataFrame:
     """Adds ``out`` = start, start + 1, … without gaps, for a unique integer ``id``.
 
     Rows are numbered inside ``2^bits`` hash buckets and shifted by the sizes of
-    the buckets before; no task sees more than its bucket.
+    the buckets before; no task sees more than its bucket.  By default there is
+    a bucket per half million rows.
     """
+    if bits is None:
+        bits = min(max((df.count() >> 19).bit_length(), 4), 20)
     bucketed = df.withColumn("_bucket", F.shiftright(lcg_raw(id), 31 - bits))
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")

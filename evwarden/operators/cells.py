@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evwarden.sinks.scratch import stored
+
 COLD = -1
 _NULL_KEY_SALTS = 1024
 # Hot keys number at most total_rows / cell_rows; beyond this many the hint is left out.
@@ -94,11 +96,13 @@ def assign_cells_with_halo(
 
 
 def _hot_keys(ev: DataFrame, keys: list[str], opts: CellOptions) -> tuple[DataFrame | None, int]:
+    """Keys above ``cell_rows``; kept as a small table, because several joins read it."""
     if not opts.enabled:
         return None, 0
     present = ev.select(*keys).dropna(how="any") if keys else ev.select()
     hot = present.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > opts.cell_rows).drop("n")
-    return hot, hot.count()
+    n_hot = hot.count()
+    return (stored(hot, "hot-keys") if n_hot and keys else hot), n_hot
 
 
 def _grain(opts: CellOptions) -> Column:
@@ -122,4 +126,5 @@ def _cells(ev: DataFrame, keys: list[str], hot: DataFrame, n_hot: int, opts: Cel
     w = Window.partitionBy(*keys).orderBy("grain")
     before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     cut = grains.withColumn("cut", F.floor(before / opts.cell_rows))
-    return cut.withColumn("cell", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("cut")) - 1).cast("long"))
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("cut")) - 1
+    return stored(cut.select(*keys, "grain", rank.cast("long").alias("cell")), "cells")

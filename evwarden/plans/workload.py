@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evwarden.functions.draws import guid, hashed_raw, sample, uniform_int, zipf
+from evwarden.operators.running import latest_before, running_total
 from evwarden.functions.templates import (
     missing_arguments,
     query_string,
@@ -204,9 +205,8 @@ def render(rows: DataFrame, values: Column) -> DataFrame:
 
 def planned_offsets(requests_table: DataFrame) -> DataFrame:
     """Adds ``offset_us``: the sleeps that precede an operation in its transaction."""
-    w = Window.partitionBy("workload", "tx_ref", "ordinal").orderBy("op_index")
-    before = F.sum(F.coalesce("sleep_us", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return requests_table.withColumn("offset_us", F.coalesce(before, F.lit(0)).cast("bigint"))
+    rows = requests_table.withColumn("_sleep", F.coalesce("sleep_us", F.lit(0)).cast("bigint"))
+    return running_total(rows, _IDS, "op_index", "_sleep", "offset_us").drop("_sleep")
 
 
 def latest_values(returned: DataFrame, by: list[str], position: str = "op_index") -> DataFrame:
@@ -218,14 +218,9 @@ def visible_values(wanted: DataFrame, returned: DataFrame, by: list[str], positi
     """For each wanted ``(…, position, name)`` the value returned by the latest earlier operation."""
     asked = wanted.select(*by, "name", position, F.lit(None).cast("string").alias("value"), F.lit(0).alias("is_return"))
     given = returned.select(*by, "name", position, F.col("value").cast("string"), F.lit(1).alias("is_return"))
-    # A wanted value sorts before what the same operation returns.
-    w = Window.partitionBy(*by, "name").orderBy(position, "is_return").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        asked.unionByName(given)
-        .withColumn("value", F.last("value", ignorenulls=True).over(w))
-        .filter("is_return = 0")
-        .drop("is_return")
-    )
+    # a wanted value sorts before what the same operation returns
+    found = latest_before(asked.unionByName(given), [*by, "name"], position, "value", "is_return")
+    return found.filter("is_return = 0").drop("is_return")
 
 
 def _space_size(gen: Mapping[str, Any]) -> int:

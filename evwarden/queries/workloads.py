@@ -27,7 +27,7 @@ def gen_uniform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gen_counter(spark: SparkSession, sf: str) -> DataFrame:
-    return D.dense_counter(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "number", start=10)
+    return D.dense_counter(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "number", start=10, bits=10)
 
 
 def gen_zipf(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -14,3 +14,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, so that several uses do not compute it again."""
+    path = f"{scratch_dir(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
