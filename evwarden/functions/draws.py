@@ -50,8 +50,7 @@ def guid(*parts: Column | str) -> Column:
     """Reproducible UUID-shaped text from the ids of a row."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def dense_counter(df: DataFrame, id: str, out: str, start: int = 0, bits: int | None = None) -> DataFrame:

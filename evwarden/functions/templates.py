@@ -18,14 +18,20 @@ _JSON_HOLE = r'"\{\{([^}]*)\}\}"'
 _PAYLOAD_HOLE = r"@@([^@}]*)@@"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _fill(template: Column, hole: str, value_of: Callable[[Column], Column]) -> Column:
     names = F.regexp_extract_all(template, F.lit(hole), F.lit(1))
     pieces = F.split(template, hole, -1)
-    values = F.transform(names, value_of)
-    joined = F.array_join(
-        F.flatten(F.zip_with(pieces, values, lambda piece, v: F.array(piece, F.coalesce(v, F.lit(""))))), ""
-    )
-    return F.when(~F.exists(values, lambda v: v.isNull()), joined)
+
+    def joined(values: Column) -> Column:
+        pairs = F.zip_with(pieces, values, lambda piece, v: F.array(piece, F.coalesce(v, F.lit(""))))
+        return F.when(~F.exists(values, lambda v: v.isNull()), F.array_join(F.flatten(pairs), ""))
+
+    return _let(F.transform(names, value_of), joined)
 
 
 def render_text(template: Column, values: Column) -> Column:
@@ -70,11 +76,14 @@ def render_payload(template: Column, values: Column, kinds: Column) -> Column:
 
 def render_url(template: Column, values: Column, payload: Column) -> Column:
     """Text placeholders first, then ``@@key.sub@@`` references into the rendered payload."""
-    text = render_text(template, values)
-    with_payload = _fill(
-        text, _PAYLOAD_HOLE, lambda path: F.call_function("get_json_object", payload, F.concat(F.lit("$."), path))
+
+    def at_path(path: Column) -> Column:
+        return F.call_function("get_json_object", payload, F.concat(F.lit("$."), path))
+
+    return _let(
+        render_text(template, values),
+        lambda text: F.when(payload.isNull(), text).otherwise(_fill(text, _PAYLOAD_HOLE, at_path)),
     )
-    return F.when(payload.isNull(), text).otherwise(with_payload)
 
 
 def query_string(parameters: Column) -> Column:

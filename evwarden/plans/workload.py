@@ -151,25 +151,56 @@ def dynamic_values(variables: Column, seed: int, *ids: Column | str) -> Column:
     )
 
 
-def requests(bound: DataFrame, transactions: DataFrame, operations: DataFrame, seed: int) -> DataFrame:
-    """One row per operation of every transaction: rendered, or with the reason why it is not.
+_OPERATION_FIELDS = (
+    "type", "httpMethod", "url", "arguments", "dynamicVariables", "headers", "queryParameters", "requestPayload",
+    "duration", "units",
+)
 
-    Definition tables are small next to ``bound``; the joins name no strategy,
-    so Spark broadcasts them only after looking at their size.
-    """
-    tx = transactions.select(
+
+def transaction_plans(transactions: DataFrame, operations: DataFrame) -> DataFrame:
+    """Per transaction its operations in order, each with its definition: one small row per transaction."""
+    refs = transactions.select(
         F.col("templateId").alias("transaction"), F.col("arguments").alias("tx_arguments"),
-        F.col("dynamicVariables").alias("tx_variables"), "operations",
+        F.col("dynamicVariables").alias("tx_variables"), F.posexplode("operations").alias("op_index", "op"),
+    ).select("*", F.col("op.operationReferenceId").alias("templateId"), F.col("op.id").alias("operation_ref"))
+    joined = refs.join(operations.select("templateId", *_OPERATION_FIELDS), "templateId", "left")
+    op = F.struct("op_index", "operation_ref", "templateId", *_OPERATION_FIELDS)
+    return joined.groupBy("transaction").agg(
+        F.first("tx_arguments").alias("tx_arguments"),
+        F.first("tx_variables").alias("tx_variables"),
+        F.sort_array(F.collect_list(op)).alias("ops"),
     )
-    rows = bound.join(tx, "transaction")
+
+
+def requests(
+    bound: DataFrame, transactions: DataFrame, operations: DataFrame, seed: int, spread: int | None = None
+) -> DataFrame:
+    """One row per operation of every transaction: rendered, or with the names that are missing.
+
+    Definitions are joined among themselves first; the join with ``bound`` names
+    no strategy, so Spark broadcasts them only after looking at their size.  The
+    table itself is then made without a shuffle.  ``spread`` deals the bound
+    transactions out again when the input has fewer pieces than there are cores.
+    """
+    rows = bound.repartition(spread) if spread else bound
+    rows = rows.join(transaction_plans(transactions, operations), "transaction")
     rows = rows.withColumn(
         "values", F.map_concat("values", dynamic_values(F.col("tx_variables"), seed, "tx_ref", "ordinal"))
     )
-    rows = rows.withColumn("tx_missing", missing_arguments(F.col("tx_arguments"), F.col("values")))
-    rows = rows.select("*", F.posexplode("operations").alias("op_index", "op")).select(
-        "*", F.col("op.operationReferenceId").alias("templateId"), F.col("op.id").alias("operation_ref")
-    ).drop("op", "operations", "tx_arguments", "tx_variables")
-    rows = rows.join(operations.drop("file"), "templateId", "left")
+
+    def slept(op: Column) -> Column:
+        return F.coalesce(sleep_us(render_text(op["duration"], F.col("values")), op["units"]), F.lit(0).cast("bigint"))
+
+    def with_offset(op: Column, index: Column) -> Column:
+        # an operation list is part of one definition, so its prefix sums are cheap
+        before = F.aggregate(F.slice("ops", F.lit(1), index), F.lit(0).cast("bigint"), lambda acc, o: acc + slept(o))
+        return F.struct(op.alias("op"), before.alias("offset_us"))
+
+    rows = rows.select(
+        "workload", "tx_ref", "transaction", "ordinal", "values",
+        missing_arguments(F.col("tx_arguments"), F.col("values")).alias("tx_missing"),
+        F.explode(F.transform("ops", with_offset)).alias("o"),
+    ).select("*", "o.offset_us", "o.op.*").drop("o")
     rows = rows.withColumn(
         "op_values",
         F.map_concat("values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index")),
@@ -177,7 +208,7 @@ def requests(bound: DataFrame, transactions: DataFrame, operations: DataFrame, s
     missing = F.concat("tx_missing", missing_arguments(F.col("arguments"), F.col("op_values")))
     return render(rows.withColumn("missing", missing), F.col("op_values")).select(
         "workload", "tx_ref", "transaction", "ordinal", "op_index", "operation_ref", "templateId", "type", "method",
-        "request_url", "query", "request_headers", "body", "sleep_us", "missing",
+        "request_url", "query", "request_headers", "body", "sleep_us", "offset_us", "missing",
         guid(F.lit(seed), "workload", "tx_ref", "ordinal", "op_index").alias("operation_id"),
     )
 
@@ -204,7 +235,7 @@ def render(rows: DataFrame, values: Column) -> DataFrame:
 
 
 def planned_offsets(requests_table: DataFrame) -> DataFrame:
-    """Adds ``offset_us``: the sleeps that precede an operation in its transaction."""
+    """Adds ``offset_us`` to any table of planned operations: the sleeps that precede each in its transaction."""
     rows = requests_table.withColumn("_sleep", F.coalesce("sleep_us", F.lit(0)).cast("bigint"))
     return running_total(rows, _IDS, "op_index", "_sleep", "offset_us").drop("_sleep")
 

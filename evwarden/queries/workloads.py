@@ -189,7 +189,7 @@ def request_table(spark: SparkSession, sf: str) -> DataFrame:
         '{"templateId": "buy", "operations": [{"operationReferenceId": "nap", "id": "o1"}, {"operationReferenceId": "add", "id": "o2"}]}'
     ]), "tx")
     bound = W.bind(_orders_as_transactions(spark, sf), _WORKLOAD, seed=1, draw=_lcg_draw)
-    out = W.planned_offsets(W.requests(bound, txs, ops, seed=1))
+    out = W.requests(bound, txs, ops, seed=1, spread=spark.sparkContext.defaultParallelism)
     return out.groupBy("tx_ref", "operation_ref", "method", "offset_us").agg(
         F.count("*").alias("n"), F.count("request_url").alias("n_urls"), F.count("body").alias("n_bodies"),
         F.sum(F.size("missing")).alias("n_missing"),
