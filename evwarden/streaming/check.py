@@ -117,7 +117,10 @@ class MatchProcessor(StatefulProcessor):
         self.frontier = handle.getValueState("frontier", "blob binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # Spark filters late rows by the watermark of the batch before; what the matcher has passed is late already.
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
         for pdf in rows:
+            pdf = pdf[pdf["us"] >= passed_us]
             if len(pdf):
                 chunk = pa.Table.from_pandas(pdf[self.columns], schema=self.schema, preserve_index=False)
                 self.buffered.appendValue((_to_bytes(chunk),))
