@@ -14,12 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from evwarden.model import ONCE, STAR, Invariant
 from evwarden.operators.project import Layout, _literal
-from evwarden.predicates import Literal, refs, to_mask
+from evwarden.predicates import Comparison, Literal, Predicate, Ref, aliases_of, refs, to_mask
 
 _PAIRS_PER_BLOCK = 1 << 17
 _NO_LIMIT = np.iinfo(np.int64).max
@@ -60,10 +61,24 @@ class Frontier:
         self.end_state = 2 * len(inv.steps)
         self.types = {i: inv.step_types(i) for i in range(len(inv.steps))}
         self.members = sorted({layout.of(r) for t in inv.terms for r in refs(t)})
+        self.settled_terms = {
+            i: [t for t in terms if all(inv.step_of[a] < i for a in aliases_of(t))] for i, terms in enumerate(inv.step_terms)
+        }
+        self.equal_members = {i: self._equal_member(i) for i in range(len(inv.steps))}
         self.arena: pa.Table | None = None
         self.open = self._none()
         self.done: list[tuple[str, Open, np.ndarray, np.ndarray]] = []
 
+    def _equal_member(self, i: int) -> tuple[str, int, str] | None:
+        """``(member of step i, earlier step, its member)`` of an equality tested at step ``i``."""
+        for term in self.inv.step_terms[i]:
+            if isinstance(term, Comparison) and term.op == "=" and isinstance(term.left, Ref) and isinstance(term.right, Ref):
+                sides = sorted((term.left, term.right), key=lambda r: self.inv.step_of[r.alias])
+                at, here = (self.inv.step_of[r.alias] for r in sides)
+                if at < here == i:
+                    return self.layout.of(sides[1]), at, self.layout.of(sides[0])
+        return None
+
     # -- states: 2*i waits for step i, 2*i+1 is inside the repetition of step i ----------
 
     def _entering(self, i: int) -> int:
@@ -196,7 +211,9 @@ class Frontier:
         loops = np.full((n, steps), None, dtype=object)
         return Open(state, self.row_group[rows], rows + 1, limit, bound, loops, np.zeros(n, dtype=bool))
 
-    def _holds(self, step: int, bound: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    def _holds(
+        self, step: int, bound: np.ndarray | None, rows: np.ndarray, terms: list[Predicate] | None = None
+    ) -> np.ndarray:
         """Terms tested at ``step`` with ``rows`` as current events."""
 
         def value(side):
@@ -211,10 +228,32 @@ class Frontier:
             return self.values[m][idx], self.present[m][idx] & (idx >= 0)
 
         out = np.ones(len(rows), dtype=bool)
-        for term in self.inv.step_terms[step]:
+        for term in self.inv.step_terms[step] if terms is None else terms:
             out &= to_mask(term, value)
         return out
 
+    def _lookup(self, todo: Open, cand: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates in search order, and for each open match its first one and the end of its run.
+
+        If an equality ties the candidate to an earlier event, candidates are
+        ordered by that value, so a match only looks at those that share it.
+        """
+        size = len(self.us)
+        pair = self.equal_members[step]
+        if pair is not None and len(cand):
+            here, at, there = pair
+            cand = cand[self.present[here][cand]]
+            values, bound = self.values[here][cand], todo.bound[:, at]
+            if not (values.dtype.kind == "f" and np.isnan(values).any()):
+                codes, uniques = pd.factorize(values)
+                mine = pd.Index(uniques).get_indexer(self.values[there][bound])
+                mine = np.where(self.present[there][bound], mine, -1)
+                order = np.lexsort((cand, codes))
+                cand, slots = cand[order], codes[order] * size + cand[order]
+                begin = np.where(mine >= 0, np.searchsorted(slots, mine * size + todo.after), 0)
+                return cand, begin, np.where(mine >= 0, np.searchsorted(slots, (mine + 1) * size), 0)
+        return cand, np.searchsorted(cand, todo.after), np.full(len(todo), len(cand))
+
     def _advance(self, todo: Open, state: int, size: int) -> Open:
         """Moves the matches waiting in ``state`` as far as the chunk allows."""
         targets, killers = self._targets(state), self._killers(state)
@@ -224,14 +263,21 @@ class Frontier:
             relevant |= self.of_type[i]
         relevant[: self.base] = False
         cand = np.flatnonzero(relevant)
-        at = np.searchsorted(cand, todo.after)
-        live = np.arange(len(todo))
         out: list[Open] = []
+        if len(targets) == 1 and not inside and not killers:
+            # terms on earlier events alone are decided: without them only the limit is left to wait for
+            possible = self._holds(targets[0], todo.bound, todo.bound[:, 0], self.settled_terms[targets[0]])
+            out.append(todo.take(~possible))
+            todo = todo.take(possible)
+            cand, at, end = self._lookup(todo, cand, targets[0])
+        else:
+            at, end = np.searchsorted(cand, todo.after), np.full(len(todo), len(cand))
+        live = np.arange(len(todo))
         waiting: list[np.ndarray] = []
         while len(live):
             width = int(np.clip(_PAIRS_PER_BLOCK // len(live), 1, 4096))
             pos = at[live][:, None] + np.arange(width)
-            seen = pos < len(cand)
+            seen = pos < end[live][:, None]
             rows = cand[np.minimum(pos, len(cand) - 1)] if len(cand) else np.zeros_like(pos)
             seen &= self.row_group[rows] == todo.group[live][:, None]
             late = seen & (self.us[rows] >= todo.limit[live][:, None])
