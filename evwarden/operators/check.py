@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 from evwarden.model import Invariant
 from evwarden.operators.cells import CellOptions
-from evwarden.operators.project import Layout
-from evwarden.operators.scan import scan_matches, scannable
+from evwarden.operators.project import Layout, shared_layouts
+from evwarden.operators.scan import Chain, key_signature, look_ahead, scan_matches, scannable
 from evwarden.operators.sweep import sweep_matches
-from evwarden.operators.verdict import as_records, bindings, violations
+from evwarden.operators.verdict import (
+    RECORD,
+    as_records,
+    binding_columns,
+    bindings,
+    match_text,
+    violated,
+    violations,
+)
 
 
 def find_matches(
@@ -28,29 +36,88 @@ def find_matches(
     ``end_of_input="flush"`` closes every open match at the end of the data;
     ``"open"`` leaves out those whose limit lies beyond the latest event.
     """
-    if end_of_input not in ("flush", "open"):
-        raise ValueError("end_of_input must be 'flush' or 'open'")
     if strategy not in ("auto", "scan", "sweep"):
         raise ValueError("strategy must be 'auto', 'scan' or 'sweep'")
     if strategy == "scan" and not scannable(inv):
         raise ValueError(f"invariant {inv.name!r} needs the sweep strategy")
-    open_until = None
-    if end_of_input == "open" and inv.within_us is not None:
-        open_until = events.agg(F.max(F.unix_micros("ts"))).first()[0]
+    open_until = None if inv.within_us is None else _open_until(events, end_of_input)
     layout = Layout(inv)
     use_scan = strategy == "scan" or (strategy == "auto" and scannable(inv))
     run = scan_matches if use_scan else sweep_matches
     return bindings(run(events, inv, layout, cells, open_until), inv, layout)
 
 
+def _open_until(events: DataFrame, end_of_input: str) -> int | None:
+    if end_of_input not in ("flush", "open"):
+        raise ValueError("end_of_input must be 'flush' or 'open'")
+    return None if end_of_input == "flush" else events.agg(F.max(F.unix_micros("ts"))).first()[0]
+
+
 def check(events: DataFrame, inv: Invariant, **options) -> DataFrame:
     """The violations of ``inv``: one row each, with a struct column per alias."""
     return violations(find_matches(events, inv, **options), inv)
 
 
-def check_all(events: DataFrame, invariants: Sequence[Invariant], **options) -> DataFrame:
-    """Violations of several invariants in one table, the match as JSON text."""
+def check_all(
+    events: DataFrame,
+    invariants: Sequence[Invariant],
+    end_of_input: str = "flush",
+    cells: CellOptions = CellOptions(),
+) -> DataFrame:
+    """Violations of several invariants in one table, the match as JSON text.
+
+    Invariants whose events are tied by the same key members are answered by one
+    scan, one shuffle and one sort; the others run on their own.
+    """
     if not invariants:
         raise ValueError("no invariants given")
-    found = [as_records(check(events, inv, **options), inv) for inv in invariants]
+    if len({inv.name for inv in invariants}) < len(invariants):
+        raise ValueError("invariants need different names")
+    shared: dict[tuple, list[Invariant]] = {}
+    for n, inv in enumerate(invariants):
+        shared.setdefault(key_signature(inv) or ("alone", n), []).append(inv)
+    found = []
+    for group in shared.values():
+        if len(group) == 1:
+            options = {"end_of_input": end_of_input, "cells": cells}
+            found.append(as_records(check(events, group[0], **options), group[0]))
+        else:
+            found.append(_check_together(events, group, _open_until(events, end_of_input), cells))
     return reduce(DataFrame.unionByName, found)
+
+
+def _check_together(
+    events: DataFrame, invariants: Sequence[Invariant], open_until: int | None, cells: CellOptions
+) -> DataFrame:
+    layouts = shared_layouts(invariants)
+    chains = [Chain(inv, layout, f"_{n}_") for n, (inv, layout) in enumerate(zip(invariants, layouts))]
+    starts = look_ahead(events, chains, cells)
+
+    def within(name: str):
+        return lambda field: F.col(name).getField(field)
+
+    matches = starts.select(
+        *[
+            F.struct(*[c.alias(n) for n, c in chain.match_columns(open_until).items()]).alias(f"match{n}")
+            for n, chain in enumerate(chains)
+        ]
+    )
+    bound = matches.select(
+        *[
+            F.struct(*binding_columns(c.inv, c.layout, within(f"match{n}"))).alias(f"bound{n}")
+            for n, c in enumerate(chains)
+        ]
+    )
+    records = F.array(
+        *[
+            F.when(
+                violated(c.inv, within(f"bound{n}")),
+                F.struct(
+                    *[F.col(f"bound{n}").getField(f).alias(f) for f in RECORD],
+                    match_text(c.inv, within(f"bound{n}")).alias("match"),
+                ),
+            )
+            for n, c in enumerate(chains)
+        ]
+    )
+    return bound.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")

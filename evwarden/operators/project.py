@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,17 +20,11 @@ class Layout:
     """Which physical column holds which member."""
 
     inv: Invariant
+    columns: dict[tuple[str, str], str] | None = None
 
     def __post_init__(self) -> None:
-        wanted: dict[tuple[str, str], None] = {}
-        for i in self.inv.positive:
-            for a in self.inv.steps[i].aliases:
-                for path, kind in self.inv.aliases[a].schema.items():
-                    wanted[(path, kind)] = None
-        for term in self.inv.terms:
-            for r in refs(term):
-                wanted[(r.path, self.inv.member_type(r))] = None
-        self.columns = {member: f"m{n}" for n, member in enumerate(wanted)}
+        if self.columns is None:
+            self.columns = {member: f"m{n}" for n, member in enumerate(wanted_members(self.inv))}
 
     def of(self, ref: Ref) -> str:
         return self.columns[(ref.path, self.inv.member_type(ref))]
@@ -55,6 +50,26 @@ class Layout:
         return [F.col(c) for c in ("us", "seq", "type", *self.slot_members(i))]
 
 
+def wanted_members(inv: Invariant) -> list[tuple[str, str]]:
+    """``(path, kind)`` of the members declared for bound events or named in WHERE."""
+    wanted: dict[tuple[str, str], None] = {}
+    for i in inv.positive:
+        for a in inv.steps[i].aliases:
+            for path, kind in inv.aliases[a].schema.items():
+                wanted[(path, kind)] = None
+    for term in inv.terms:
+        for r in refs(term):
+            wanted[(r.path, inv.member_type(r))] = None
+    return list(wanted)
+
+
+def shared_layouts(invariants: Sequence[Invariant]) -> list[Layout]:
+    """Layouts of several invariants over one set of member columns."""
+    wanted = dict.fromkeys(m for inv in invariants for m in wanted_members(inv))
+    columns = {member: f"m{n}" for n, member in enumerate(wanted)}
+    return [Layout(inv, columns) for inv in invariants]
+
+
 def local_terms(inv: Invariant, i: int) -> list[Predicate]:
     """Terms tested at step ``i`` that read the current event only."""
     return [t for t in inv.step_terms[i] if all(inv.step_of[a] == i for a in aliases_of(t))]
@@ -84,15 +99,16 @@ def fits(layout: Layout, i: int) -> Column:
     return out
 
 
-def project_events(events: DataFrame, layout: Layout, keep: list[str] = ()) -> DataFrame:
+def project_events(
+    events: DataFrame, layout: Layout, keep: Sequence[str] = (), types: Sequence[str] | None = None
+) -> DataFrame:
     """``type, us, seq, m0…`` for the event types the invariant names.
 
     The type filter and the member projection sit directly on the scan, so
     Parquet gets the pushed filter and reads only the named columns.
     """
-    inv = layout.inv
     cols = members(F.col("content"), events.schema["content"].dataType, layout.columns)
-    relevant = F.col("type").isin(inv.types)
+    relevant = F.col("type").isin(list(types or layout.inv.types))
     if events.isStreaming:
         relevant = behind_watermark(relevant)
     return events.filter(relevant).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +18,29 @@ def bindings(matches: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
     An alias holds ``struct<ts, seq, member…>``, or an array of them for a
     repeated step.  An alias of an OR step is set only if the event has its type.
     """
-    cols = []
+    return matches.select(*binding_columns(inv, layout))
+
+
+def binding_columns(inv: Invariant, layout: Layout, col: Callable[[str], Column] = F.col) -> list[Column]:
+    """The columns of :func:`bindings`; ``col`` gives a column of the match row."""
+    cols = [
+        F.lit(inv.name).alias("invariant"),
+        col("kind").alias("kind"),
+        F.timestamp_micros(col("start_us")).alias("start_ts"),
+        col("start_seq").alias("start_id"),
+        F.timestamp_micros(col("end_us")).alias("end_ts"),
+        col("end_seq").alias("end_id"),
+        col("bound").alias("bound"),
+    ]
     for i in inv.positive:
-        step = inv.steps[i]
+        step, slot = inv.steps[i], col(f"s{i}")
         for a in step.aliases:
-            slot = F.col(f"s{i}")
             if step.loop:
                 cols.append(_alias_array(slot, inv, layout, a).alias(a))
             else:
-                cols.append(
-                    F.when(slot["type"] == F.lit(inv.aliases[a].type), _alias_struct(slot, inv, layout, a)).alias(a)
-                )
-    return matches.select(
-        F.lit(inv.name).alias("invariant"),
-        "kind",
-        F.timestamp_micros("start_us").alias("start_ts"),
-        F.col("start_seq").alias("start_id"),
-        F.timestamp_micros("end_us").alias("end_ts"),
-        F.col("end_seq").alias("end_id"),
-        F.col("bound"),
-        *cols,
-    )
+                own = F.when(slot["type"] == F.lit(inv.aliases[a].type), _alias_struct(slot, inv, layout, a))
+                cols.append(own.alias(a))
+    return cols
 
 
 def _alias_array(slot: Column, inv: Invariant, layout: Layout, alias: str) -> Column:
@@ -51,26 +55,26 @@ def _alias_struct(event: Column, inv: Invariant, layout: Layout, alias: str) ->
     return F.struct(*fields)
 
 
-def violated(inv: Invariant) -> Column:
-    """Whether a row of :func:`bindings` breaks a clause."""
-    full = F.lit(False) if inv.on_full_match is None else _breaks(inv.on_full_match, inv)
+def violated(inv: Invariant, col: Callable[[str], Column] = F.col) -> Column:
+    """Whether a row of :func:`bindings` breaks a clause; a kind without a clause never does."""
+    full = F.lit(False) if inv.on_full_match is None else _breaks(inv.on_full_match, inv, col)
     default = inv.on_prefix_match.get(DEFAULT)
-    prefix = F.lit(False) if default is None else _breaks(default, inv)
+    prefix = F.lit(False) if default is None else _breaks(default, inv, col)
     for steps, clause in inv.prefixes:
         mask = sum(1 << i for i in steps)
-        prefix = F.when(F.col("bound") == F.lit(mask), _breaks(clause, inv)).otherwise(prefix)
-    return F.when(F.col("kind") == "full", full).otherwise(prefix)
+        prefix = F.when(col("bound") == F.lit(mask), _breaks(clause, inv, col)).otherwise(prefix)
+    return F.when(col("kind") == "full", full).when(col("kind") == "timeout", prefix).otherwise(F.lit(False))
 
 
-def _breaks(clause: Clause, inv: Invariant) -> Column:
+def _breaks(clause: Clause, inv: Invariant, col: Callable[[str], Column]) -> Column:
     if isinstance(clause, bool):
         return F.lit(not clause)
-    return ~to_column(clause, lambda c: _universal(c, inv))
+    return ~to_column(clause, lambda c: _universal(c, inv, col))
 
 
-def _universal(c: Comparison, inv: Invariant) -> Column:
+def _universal(c: Comparison, inv: Invariant, col: Callable[[str], Column]) -> Column:
     """True iff both sides have events and the comparison holds for every pair of them."""
-    sides = [_values(s, inv) for s in (c.left, c.right)]
+    sides = [_values(s, inv, col) for s in (c.left, c.right)]
     (lv, l_many), (rv, r_many) = sides
     if not l_many and not r_many:
         return compare(c.op, lv, rv)
@@ -82,13 +86,13 @@ def _universal(c: Comparison, inv: Invariant) -> Column:
     return F.coalesce((F.size(rv) > 0) & F.forall(rv, lambda y: compare(c.op, lv, y)), F.lit(False))
 
 
-def _values(side: Ref | Literal, inv: Invariant) -> tuple[Column, bool]:
+def _values(side: Ref | Literal, inv: Invariant, col: Callable[[str], Column]) -> tuple[Column, bool]:
     if isinstance(side, Literal):
         return F.lit(_literal(side)), False
     loop = inv.steps[inv.step_of[side.alias]].loop
     if loop:
-        return F.transform(F.col(side.alias), lambda e: e.getField(side.path)), True
-    return F.col(side.alias).getField(side.path), False
+        return F.transform(col(side.alias), lambda e: e.getField(side.path)), True
+    return col(side.alias).getField(side.path), False
 
 
 def violations(bound: DataFrame, inv: Invariant) -> DataFrame:
@@ -97,9 +101,13 @@ def violations(bound: DataFrame, inv: Invariant) -> DataFrame:
     return bound.filter(F.col("kind").isin(kinds) & violated(inv))
 
 
+RECORD = ("invariant", "kind", "start_ts", "start_id", "end_ts", "end_id")
+
+
 def as_records(found: DataFrame, inv: Invariant) -> DataFrame:
-    """``invariant, kind, start_ts, end_ts, match`` with the match as JSON text: one schema for every invariant."""
-    names = [a for i in inv.positive for a in inv.steps[i].aliases]
-    return found.select(
-        "invariant", "kind", "start_ts", "start_id", "end_ts", "end_id", F.to_json(F.struct(*names)).alias("match")
-    )
+    """``invariant, kind, start_ts, …, match`` with the match as JSON text: one schema for every invariant."""
+    return found.select(*RECORD, match_text(inv).alias("match"))
+
+
+def match_text(inv: Invariant, col: Callable[[str], Column] = F.col) -> Column:
+    return F.to_json(F.struct(*[col(a).alias(a) for i in inv.positive for a in inv.steps[i].aliases]))

@@ -7,8 +7,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 import naive
-from evwarden import Alias, CellOptions, Invariant, Not, Or, Plus, Star, attr, find_matches
-from evwarden.operators.scan import scannable
+from evwarden import DEFAULT, Alias, CellOptions, Invariant, Not, Or, Plus, Star, attr, check_all, find_matches
+from evwarden.operators.scan import key_signature, scannable
 from evwarden.sources.events import memory_events
 
 AL = {n: Alias(n.upper(), {"k": "number", "v": "number", "s": "string"}) for n in "abcd"}
@@ -104,3 +104,25 @@ def test_chunk_borders(monkeypatch):
             f.finish()
             got += f.drain().to_pylist()
             assert sorted((r["kind"], r["start_seq"], r["end_seq"] or -1) for r in got) == expected, (name, width)
+
+
+@pytest.mark.parametrize("cells", [CellOptions(), CellOptions(cell_rows=25, grain_us=3000)])
+def test_shared_scan(spark, cells):
+    """Invariants checked together give what each gives alone."""
+    names = ["follow", "negation", "same_type_negation", "trailing", "or_step", "chain", "two_keys", "theta", "plus"]
+    invs = [
+        Invariant(n, AL, on_full_match=V["a"] > 3, on_prefix_match={DEFAULT: V["a"] < 5}, where_eval="eager", **{"within": "40 msec", **SPECS[n]})
+        for n in names
+    ]
+    assert len({key_signature(i) for i in invs}) == 3  # k; k and s; the rest on its own
+    rows, plain = table(11)
+    events = memory_events(spark, rows)
+    got = sorted((r.invariant, r.kind, r.start_id, r.end_id or -1) for r in check_all(events, invs, cells=cells).collect())
+    expected = sorted((i.name, m[0], m[1], m[2] or -1) for i in invs for m in naive.violations(i, plain))
+    assert got == expected and got
+
+
+def test_same_names_are_refused(spark):
+    inv = Invariant("x", AL, ["a"], on_full_match=False)
+    with pytest.raises(ValueError):
+        check_all(memory_events(spark, table(1)[0]), [inv, inv])
