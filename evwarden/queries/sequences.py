@@ -286,7 +286,14 @@ QUERIES = {
 
 # -- SQL ----------------------------------------------------------------------------------------
 
-_E = "e AS (SELECT event_id AS id, epoch_us(ts) AS us, user_id AS u, event_type AS t, value AS v, props FROM events)"
+
+
+def _events_by(key: str) -> str:
+    return f"e AS (SELECT event_id AS id, epoch_us(ts) AS us, {key} AS u, event_type AS t, value AS v FROM events)"
+
+
+_E = _events_by("user_id")
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _H = 3_600_000_000
 
 
@@ -421,7 +428,7 @@ ORACLES = {
         "AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 1460 DAY GROUP BY o_orderkey HAVING NOT bool_and(l_quantity < 48)"
     ),
     "json_member": (
-        f"WITH {_E.replace('user_id AS u', chr(67) + 'AST(json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ') AS BIGINT) AS u')}, "
+        f"WITH {_events_by(_K)}, "
         f"{_first('m', _of('view'), 'click', 2, 'b.u = a.u')} SELECT id AS start_id, nid AS end_id, u AS k FROM m"
     ),
     "schema_projection": (

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwarden.model import DEFAULT, Invariant
+from evwarden.model import DEFAULT, Invariant, Not
 from evwarden.predicates import attr
 from evwarden.queries.sequences import _H, _SLICE, purchase_after_signup, same_user
 from evwarden.queries.tables import micros, table, user_aliases
 from evwarden.sinks.scratch import scratch_dir
 from evwarden.sinks.violations import to_files
 from evwarden.sources.events import table_events
-from evwarden.streaming import check_stream, use_rocksdb, windowed_counts
+from evwarden.streaming import check_stream, check_streams, use_rocksdb, windowed_counts
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,16 @@ def stream_single(spark: SparkSession, sf: str) -> DataFrame:
     return run(spark, check_stream(event_stream(spark, sf), inv), "single").select("start_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_window_counts, stream_full_matches, stream_timeouts, stream_single)}
+def stream_many(spark: SparkSession, sf: str) -> DataFrame:
+    trailing = Invariant(
+        "no_purchase", user_aliases(s="signup", p="purchase"), ["s", Not("p")], within="24 hours",
+        where=same_user("s", "p"), on_full_match=False,
+    )
+    found = check_streams(event_stream(spark, sf), [purchase_after_signup(), trailing], "5 seconds")
+    return run(spark, found, "many").groupBy("invariant", "kind").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (stream_many, stream_window_counts, stream_full_matches, stream_timeouts, stream_single)}
 
 _WATERMARK = "(SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM events)"
 
@@ -70,5 +79,9 @@ ORACLES = {
         f"{_SLICE} SELECT id AS start_id, 'timeout' AS kind, us + {24 * _H} AS end_us FROM e WHERE t = 'signup' "
         f"AND id NOT IN (SELECT id FROM m) AND us + {24 * _H} <= {_WATERMARK} - 5000000"
     ),
+    "stream_many": (
+        f"{_SLICE} SELECT 'purchase_after_signup' AS invariant, 'full' AS kind, count(*) AS n FROM f WHERE NOT nv < 100 AND nus < {_WATERMARK} - 5000000 "
+        f"UNION ALL SELECT 'no_purchase', 'full', count(*) FROM e WHERE t = 'signup' AND id NOT IN (SELECT id FROM m) AND us + {24 * _H} <= {_WATERMARK} - 5000000"
+    ),
     "stream_single": "SELECT event_id AS start_id FROM events WHERE event_type = 'purchase' AND NOT value < 150",
 }

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import json
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from evwarden.model import Invariant, InvariantError
 from evwarden.operators.advance import Frontier, Open
 from evwarden.operators.project import Layout, behind_watermark, fits, key_columns, project_events
-from evwarden.operators.verdict import bindings, violations
+from evwarden.operators.verdict import as_records, bindings, violations
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _NULL_KEY_SALTS = 1024
@@ -84,6 +85,17 @@ def check_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds",
     return violations(match_stream(events, inv, lateness, salts), inv)
 
 
+def check_streams(
+    events: DataFrame, invariants: Sequence[Invariant], lateness: str = "5 seconds", salts: int = 1
+) -> DataFrame:
+    """Violations of several invariants as one stream, the match as JSON text; one query, one checkpoint."""
+    if not invariants:
+        raise ValueError("no invariants given")
+    return reduce(
+        DataFrame.unionByName, [as_records(check_stream(events, inv, lateness, salts), inv) for inv in invariants]
+    )
+
+
 def _single(events: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
     """One step: a plain filter, no state."""
     ev = project_events(events, layout, keep=["ts"]).filter(fits(layout, 0))

@@ -15,8 +15,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("evwarden-tests")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.default.parallelism", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.streaming.checkpointLocation", tempfile.mkdtemp(prefix="run-", dir="/tmp"))

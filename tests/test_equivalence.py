@@ -2,6 +2,7 @@
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -70,10 +71,14 @@ def test_strategies_agree(spark, name, where_eval):
     runs = [("sweep", CellOptions()), ("sweep", CellOptions(cell_rows=25, grain_us=3000))]
     if scannable(inv):
         runs += [("scan", CellOptions()), ("scan", CellOptions(cell_rows=25, grain_us=3000))]
-    for strategy, cells in runs:
-        found = find_matches(events, inv, strategy=strategy, cells=cells)
-        got = sorted((r.kind, r.start_id, r.end_id or -1, r.bound) for r in found.collect())
-        assert got == expected, (strategy, cells)
+
+    def rows_of(run):
+        found = find_matches(events, inv, strategy=run[0], cells=run[1])
+        return sorted((r.kind, r.start_id, r.end_id or -1, r.bound) for r in found.collect())
+
+    with ThreadPoolExecutor(len(runs)) as pool:
+        for run, got in zip(runs, pool.map(rows_of, runs)):
+            assert got == expected, run
 
 
 def test_chunk_borders(monkeypatch):

@@ -1,6 +1,7 @@
 """Small literal event sequences with a known number of violations."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -173,8 +174,9 @@ def test_scenario(spark, name, where_eval):
     frame, plain = make(rows)
     assert len(naive.violations(inv, plain)) == expected
     events = memory_events(spark, frame)
-    assert check(events, inv).count() == expected
-    assert check(events, inv, strategy="sweep", cells=CellOptions(cell_rows=2, grain_us=1000)).count() == expected
+    runs = [{}, {"strategy": "sweep", "cells": CellOptions(cell_rows=2, grain_us=1000)}]
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(lambda options: check(events, inv, **options).count(), runs)) == [expected, expected]
 
 
 def test_loop_match_holds_every_event(spark):
