@@ -16,9 +16,8 @@ from pyspark.sql import types as T
 
 def number_member(text: Column) -> Column:
     """JSON value text → double: numeric text is parsed, other text is 0.0, missing stays null."""
-    return F.when(
-        text.isNotNull(),
-        F.coalesce(text.try_cast("double"), F.when(text == "true", F.lit(1.0)), F.lit(0.0)),
+    return F.coalesce(
+        text.try_cast("double"), F.when(text == "true", F.lit(1.0)), F.when(text.isNotNull(), F.lit(0.0))
     )
 
 
