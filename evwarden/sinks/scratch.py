@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor sees; a local one only if it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which every executor sees.
+
+    Where it is unset, a session in one process takes a local folder; on a cluster that is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
