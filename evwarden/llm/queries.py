@@ -8,11 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evwarden.llm.common import table
+from evwarden.llm.decontaminate import benchmark_passages
+from evwarden.llm.hilbert import shard_table
+from evwarden.llm.lines import COUNTS, line_rules
+from evwarden.llm.mixing import mixed
 from evwarden.llm.simhash import simhash_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_line_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    rows = line_rules(table(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), *COUNTS, "base_failed", "kept", "removed_words")
+
+
+def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_table(table(spark, sf, "documents"))
+
+
+def op7_cgk_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    rows = benchmark_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     rows = simhash_duplicates(table(spark, sf, "documents"))
     return rows.select(
@@ -22,5 +40,14 @@ def op9_simhash_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op9_simhash_multi_index,)}
+def op10_entropy_balancing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mixed(table(spark, sf, "documents"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, "source", "copies")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (op4_line_frequency, op5_hilbert_shards, op7_cgk_decontamination, op9_simhash_multi_index, op10_entropy_balancing)
+}
 ORACLES: dict[str, str] = {}
