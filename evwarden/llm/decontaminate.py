@@ -230,8 +230,7 @@ def benchmark_passages(
     out = None
     for lot in _lots(wanted, items_per_pass):
         items = Items.build(lot, max_edits, tables, samples)
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-        part = map_blocks(rows, _matcher(sent), schema)
+        part = map_blocks(rows, _matcher(items), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -247,10 +246,10 @@ def _lots(items: DataFrame, size: int) -> Iterator[list[tuple]]:
         yield lot
 
 
-def _matcher(sent):
+def _matcher(items: Items):
+    sizes = dict(zip(items.ids, map(len, items.seqs)))
+
     def rows(block: dict[str, list]) -> dict[str, list]:
-        items = sent.value
-        sizes = dict(zip(items.ids, map(len, items.seqs)))
         out: dict[str, list] = {k: [] for k in ("id", "item_id", "n_words", "edits", "first_word", "end_word")}
         for doc, text in zip(block["id"], block["text"]):
             for item, edits, first, end in passages(text, items):

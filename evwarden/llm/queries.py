@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evwarden.llm.common import table
 from evwarden.llm.decontaminate import benchmark_passages
 from evwarden.llm.hilbert import shard_table
+from evwarden.llm.lattice import lattice_scores
 from evwarden.llm.lines import COUNTS, line_rules
 from evwarden.llm.mixing import mixed
 from evwarden.llm.simhash import simhash_duplicates
@@ -26,6 +27,10 @@ def op5_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shard_table(table(spark, sf, "documents"))
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice_scores(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_cgk_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     rows = benchmark_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return rows.withColumnRenamed("id", "doc_id")
@@ -48,6 +53,9 @@ def op10_entropy_balancing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op4_line_frequency, op5_hilbert_shards, op7_cgk_decontamination, op9_simhash_multi_index, op10_entropy_balancing)
+    for q in (
+        op4_line_frequency, op5_hilbert_shards, op6_lattice_likelihood, op7_cgk_decontamination, op9_simhash_multi_index,
+        op10_entropy_balancing,
+    )
 }
 ORACLES: dict[str, str] = {}
