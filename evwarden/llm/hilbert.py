@@ -127,21 +127,22 @@ def hilbert_shards(
     """
     kept = [c for c in docs.columns if c not in ("curve", "shard", "slot")]
     curve = hilbert_index(quantised(docs, list(dimensions), bits), bits)
-    rows = docs.select(*(docs[c] for c in kept), curve.alias("curve"), F.xxhash64(docs[id_col]).alias("_tie"))
-    order = ["curve", "_tie", id_col]
+    whole = F.struct(*(docs[c] for c in kept)).alias("row")  # names of the table stay apart from those used here
+    rows = docs.select(whole, curve.alias("curve"), F.xxhash64(docs[id_col]).alias("tie"))
+    order = ["curve", "tie", f"row.`{id_col}`"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(rows.withColumn("_place", F.monotonically_increasing_id()), "curve")
-    part = F.shiftright("_place", 33)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "curve")
+    part = F.shiftright("place", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_total"))
-    rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_rank", rank)
-    shard = F.expr(f"(_rank * {shards}) div _total")
-    first = F.expr(f"(_shard * _total + {shards - 1}) div {shards}")
-    return numbered.withColumn("_shard", shard).select(
-        *kept, "curve", F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).alias("slot")
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
+    rank = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", rank)
+    shard = F.expr(f"(rank * {shards}) div total")
+    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
+    return numbered.withColumn("shard", shard).select(
+        "row.*", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).alias("slot")
     )
 
 

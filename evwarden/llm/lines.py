@@ -17,8 +17,9 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: A line is removed where more documents than this of one host have it ...
 MAX_DOCUMENTS = 10
-#: ... and this share of them at least are different documents, not copies of each other.
-DISTINCT_SHARE = 0.5
+#: ... and their sketches are different in this share of them at least; those of copies, edited ones too, are mostly equal,
+#: while those of documents that share only the line differ as often as their other words hold the sketch.
+DISTINCT_SHARE = 0.3
 #: A document of which a larger share of words is removed is depleted.
 MAX_REMOVED = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -108,7 +109,7 @@ def line_rules(
     by = ["host", "line"]
     seen = lines.select(*by, "sketch", "content").distinct().groupBy(*by, "sketch").agg(F.count("*").alias("texts"))
     spread = seen.groupBy(*by).agg(F.count("*").alias("kinds"), F.sum("texts").alias("texts"))
-    common = (F.col("kinds") > max_documents) & (F.col("kinds") >= F.col("texts") * distinct_share)
+    common = (F.col("texts") > max_documents) & (F.col("kinds") >= F.greatest(F.col("texts") * distinct_share, F.lit(3)))
     bad = stored(spread.where(common).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line")), "bad-lines")
 
     hit = lines.join(bad, (F.col("line") == F.col("bad_line")) & F.col("host").eqNullSafe(F.col("bad_host")))
