@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evwarden.sinks.scratch import stored
+
 RAW_RANGE = 1 << 31
 _ZIPF_SCALE = 1_000_000_000
-# Above this many ranks the cumulative table is not hinted for broadcast (two longs per rank).
-_BROADCAST_RANKS = 1_000_000
 
 
 def hashed_raw(seed: int, *parts: Column | str) -> Column:
@@ -53,25 +53,20 @@ def guid(*parts: Column | str) -> Column:
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def dense_counter(df: DataFrame, id: str, out: str, start: int = 0, bits: int | None = None) -> DataFrame:
-    """Adds ``out`` = start, start + 1, … without gaps, for a unique integer ``id``.
+def dense_counter(df: DataFrame, id: str, out: str, start: int = 0) -> DataFrame:
+    """Adds ``out`` = start, start + 1, … without gaps, in the order of a unique ``id``.
 
-    Rows are numbered inside ``2^bits`` hash buckets and shifted by the sizes of
-    the buckets before; no task sees more than its bucket.  By default there is
-    a bucket per half million rows.
+    Rows are dealt by range of ``id``, sorted and written with their place in their
+    range; a place is shifted by the sizes of the ranges before, one row for each range.
     """
-    if bits is None:
-        bits = min(max((df.count() >> 19).bit_length(), 4), 20)
-    bucketed = df.withColumn("_bucket", F.shiftright(lcg_raw(id), 31 - bits))
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    offsets = sizes.select("_bucket", before.alias("_before"))  # at most 2^bits rows
-    number = F.row_number().over(Window.partitionBy("_bucket").orderBy(id))
-    return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
-        .withColumn(out, F.col("_before") + number - 1 + F.lit(start))
-        .drop("_bucket", "_before")
-    )
+    order = df.repartitionByRange(id).sortWithinPartitions(id).withColumn("_place", F.monotonically_increasing_id())
+    placed = stored(order, "counter").withColumn("_range", F.shiftright("_place", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    offsets = sizes.select("_range", before.alias("_before"))
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(start)
+    # a row for each task that sorted
+    return placed.join(F.broadcast(offsets), "_range").withColumn(out, number).drop("_range", "_before", "_place")
 
 
 def zipf_table(spark: SparkSession, ranks: int, exponent: float = 1.0) -> DataFrame:
@@ -83,9 +78,6 @@ def zipf_table(spark: SparkSession, ranks: int, exponent: float = 1.0) -> DataFr
         .withColumn("weight", weight)
     )
     running = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    if ranks <= 1 << 16:
-        high = F.sum("weight").over(running)
-        return weighted.select("rank", (high - F.col("weight")).alias("low"), high.alias("high"))
     # Running sum in two levels: inside blocks of 4096 ranks, then over the block sums.
     sums = weighted.groupBy("block").agg(F.sum("weight").alias("size"))
     before = F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -105,7 +97,7 @@ def zipf(df: DataFrame, raw: str, ranks: int, out: str, exponent: float = 1.0) -
     it; a draw looks up its slot by an equi-join and keeps the one rank whose
     range holds it.  Draws spread evenly over slots, so no slot is hot.
     """
-    slots = min(max(ranks, 64), 1 << 20)
+    slots = max(ranks, 64)
     table = zipf_table(df.sparkSession, ranks, exponent)
     total = F.lit(table.agg(F.max("high")).first()[0])
 
@@ -121,6 +113,5 @@ def zipf(df: DataFrame, raw: str, ranks: int, out: str, exponent: float = 1.0) -
     weighted = F.col(raw).cast("decimal(18,0)") * total.cast("decimal(19,0)")  # exact, may pass 2^63
     at = F.call_function("div", weighted, F.lit(RAW_RANGE).cast("decimal(19,0)")).cast("bigint")
     drawn = df.withColumn("_at", at).withColumn("_slot", slot(F.col("_at")))
-    side = F.broadcast(side) if ranks <= _BROADCAST_RANKS else side
     inside = (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
     return drawn.join(side, "_slot").filter(inside).select(*df.columns, out)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 STARTED = "Starting to execute transaction"
 TRANSACTION_FINISHED = "%Transaction finished%"
 INVARIANT_VIOLATED = "%Invariant%"
-DEFAULT_LIMIT = 10_000
 
 
 def message_like(*patterns: str) -> Column:
@@ -36,16 +35,16 @@ def count_per_window(logs: DataFrame, by: str, width: str = "5 seconds", pattern
     )
 
 
-def first_rows(counts: DataFrame, by: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The LIMIT of a window report, in a fixed order."""
-    return counts.orderBy("window_start", by).limit(limit)
+def first_rows(counts: DataFrame, by: str, limit: int | None) -> DataFrame:
+    """The LIMIT of a window report, in a fixed order; all rows, in no order, without one."""
+    return counts if limit is None else counts.orderBy("window_start", by).limit(limit)
 
 
-def violations_per_window(logs: DataFrame, width: str = "5 seconds", limit: int = DEFAULT_LIMIT) -> DataFrame:
+def violations_per_window(logs: DataFrame, width: str = "5 seconds", limit: int | None = None) -> DataFrame:
     return first_rows(count_per_window(logs, "invariant", width, ["%invariant%", INVARIANT_VIOLATED]), "invariant", limit)
 
 
-def types_per_window(logs: DataFrame, width: str = "5 seconds", limit: int = DEFAULT_LIMIT) -> DataFrame:
+def types_per_window(logs: DataFrame, width: str = "5 seconds", limit: int | None = None) -> DataFrame:
     counts = count_per_window(logs, "event_type", width, [TRANSACTION_FINISHED, INVARIANT_VIOLATED])
     return first_rows(counts, "event_type", limit)
 

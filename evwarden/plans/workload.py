@@ -146,11 +146,29 @@ def dynamic_values(variables: Column, seed: int, *ids: Column | str) -> Column:
         )
 
     return F.coalesce(
-        F.map_from_entries(F.transform(variables, lambda v: F.struct(v["name"], value(v)))),
+        last_wins(F.transform(variables, lambda v: F.struct(v["name"].alias("key"), value(v).alias("value")))),
         F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
     )
 
 
+def last_wins(entries: Column) -> Column:
+    """A map from ``array<struct<key, value>>``: of equal names the last counts, entries without a name are left out."""
+    named = F.filter(entries, lambda e: e.getField("key").isNotNull())
+    names = F.transform(named, lambda e: e.getField("key"))
+    kept = F.filter(named, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e.getField("key")))
+    return F.map_from_entries(kept)
+
+
+def _pairs(declared: Column) -> Column:
+    return F.transform(declared, lambda d: F.struct(d["name"].alias("key"), d["type"].alias("value")))
+
+
+def overlaid(values: Column | str, more: Column) -> Column:
+    """Both maps in one; names of the second replace those of the first."""
+    old = F.col(values) if isinstance(values, str) else values
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
+
+
 _OPERATION_FIELDS = (
     "type", "httpMethod", "url", "arguments", "dynamicVariables", "headers", "queryParameters", "requestPayload",
     "duration", "units",
@@ -185,7 +203,7 @@ def requests(
     rows = bound.repartition(spread) if spread else bound
     rows = rows.join(transaction_plans(transactions, operations), "transaction")
     rows = rows.withColumn(
-        "values", F.map_concat("values", dynamic_values(F.col("tx_variables"), seed, "tx_ref", "ordinal"))
+        "values", overlaid("values", dynamic_values(F.col("tx_variables"), seed, "tx_ref", "ordinal"))
     )
 
     def slept(op: Column) -> Column:
@@ -203,7 +221,7 @@ def requests(
     ).select("*", "o.offset_us", "o.op.*").drop("o")
     rows = rows.withColumn(
         "op_values",
-        F.map_concat("values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index")),
+        overlaid("values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index")),
     )
     missing = F.concat("tx_missing", missing_arguments(F.col("arguments"), F.col("op_values")))
     return render(rows.withColumn("missing", missing), F.col("op_values")).select(
@@ -222,7 +240,7 @@ def render(rows: DataFrame, values: Column) -> DataFrame:
         )
     )
     with_body = rows.withColumn(
-        "body", render_payload(F.col("requestPayload.content"), values, F.map_from_entries(declared))
+        "body", render_payload(F.col("requestPayload.content"), values, last_wins(_pairs(declared)))
     )
     return with_body.select(
         "*",

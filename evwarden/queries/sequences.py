@@ -180,12 +180,11 @@ def open_end(spark: SparkSession, sf: str) -> DataFrame:
 def _order_events(spark: SparkSession, sf: str, close_days: int | None = None) -> DataFrame:
     """Orders, their lines and optionally a closing mark; at equal times in this order."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    line_seq = F.pmod(F.xxhash64(*lines.columns), F.lit(1 << 61)) + 1
     parts = [
         orders.select(F.lit("order").alias("type"), F.col("o_orderkey").alias("k"), F.lit(None).cast("double").alias("q"),
                       F.col("o_orderdate").alias("at"), F.lit(0).alias("n")),
         lines.select(F.lit("line").alias("type"), F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"),
-                     F.col("l_shipdate").alias("at"), line_seq.alias("n")),
+                     F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("n")),
     ]
     if close_days:
         parts.append(orders.select(
@@ -248,13 +247,16 @@ def kafka_decode(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def many_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    timely = Invariant(
+def timely_purchase() -> Invariant:
+    return Invariant(
         "timely_purchase", user_aliases(s="signup", p="purchase"), ["s", "p"], within="24 hours",
         where=same_user("s", "p"), on_prefix_match={DEFAULT: False},
     )
-    found = check_all(user_events(spark, sf), [purchase_after_signup(), timely])
-    return found.groupBy("invariant", "kind").agg(F.count("*").alias("n"))
+
+
+def many_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    found = check_all(user_events(spark, sf), [purchase_after_signup(), timely_purchase()])
+    return found.select("invariant", "kind", "start_id")
 
 
 def violation_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +273,7 @@ def violation_records(spark: SparkSession, sf: str) -> DataFrame:
 def match_bindings(spark: SparkSession, sf: str) -> DataFrame:
     """Full and timed-out matches before any verdict."""
     found = find_matches(user_events(spark, sf), purchase_after_signup())
-    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count("p").alias("n_bound"))
+    return found.select("kind", F.col("s.seq").alias("start_id"), F.col("p.seq").alias("end_id"))
 
 
 QUERIES = {
@@ -357,6 +359,12 @@ _THREE_EAGER = (
     "m2 AS (SELECT id AS sid, us AS sus, u, nid AS id, nus AS us FROM m)"
 )
 
+#: Violations of two invariants with the time at which each is known.
+CHECKED = (
+    f"{_SLICE}, found AS (SELECT nus AS us, 'purchase_after_signup' AS invariant FROM f WHERE NOT nv < 100 "
+    f"UNION ALL SELECT us + {24 * _H}, 'timely_purchase' FROM e a WHERE t = 'signup' AND id NOT IN (SELECT id FROM m))"
+)
+
 ORACLES = {
     "seq_single": "SELECT event_id AS start_id, value FROM events WHERE event_type = 'purchase' AND value > 10 AND NOT value < 150",
     "seq_follow": f"WITH {_E}, {_first('m', _of('view'), 'purchase', 12, 'b.u = a.u')} SELECT id AS start_id, nid AS end_id FROM m",
@@ -440,8 +448,8 @@ ORACLES = {
         "CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) ELSE (epoch_us(ts) // 1000) * 1000 END AS us, user_id FROM events"
     ),
     "many_invariants": (
-        f"{_SLICE} SELECT 'purchase_after_signup' AS invariant, 'full' AS kind, count(*) AS n FROM f WHERE NOT nv < 100 "
-        "UNION ALL SELECT 'timely_purchase', 'timeout', count(*) FROM e a WHERE t = 'signup' AND id NOT IN (SELECT id FROM m)"
+        f"{_SLICE} SELECT 'purchase_after_signup' AS invariant, 'full' AS kind, id AS start_id FROM f WHERE NOT nv < 100 "
+        "UNION ALL SELECT 'timely_purchase', 'timeout', id FROM e a WHERE t = 'signup' AND id NOT IN (SELECT id FROM m)"
     ),
     "violation_records": (
         f"{_SLICE} SELECT 'purchase_after_signup' AS key, id AS start_id, sink FROM f, (VALUES ('kafka'), ('log')) s(sink) WHERE NOT nv < 100"
@@ -449,7 +457,7 @@ ORACLES = {
     "match_bindings": (
         f"{_SLICE}, killed AS (SELECT a.id FROM e a JOIN e k ON a.t = 'signup' AND k.t = 'error' AND k.u = a.u AND {_later('a', 'k')} "
         f"AND k.us < a.us + {24 * _H} LEFT JOIN m ON m.id = a.id WHERE m.id IS NULL OR k.us < m.nus OR (k.us = m.nus AND k.id < m.nid)) "
-        "SELECT 'full' AS kind, count(*) AS n, count(*) AS n_bound FROM f UNION ALL SELECT 'timeout', count(*), 0 FROM e "
+        "SELECT 'full' AS kind, id AS start_id, nid AS end_id FROM f UNION ALL SELECT 'timeout', id, NULL FROM e "
         "WHERE t = 'signup' AND id NOT IN (SELECT id FROM m) AND id NOT IN (SELECT id FROM killed)"
     ),
 }

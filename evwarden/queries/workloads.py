@@ -27,7 +27,7 @@ def gen_uniform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gen_counter(spark: SparkSession, sf: str) -> DataFrame:
-    return D.dense_counter(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "number", start=10, bits=10)
+    return D.dense_counter(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "number", start=10)
 
 
 def gen_zipf(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,9 +151,9 @@ def _documents(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.when(size != 3, "get").alias("httpMethod"),
         F.when(size == 4, "").otherwise("http://shop/{{a}}").alias("url"),
         named(F.lit("a")).alias("arguments"),
-        named(F.when(size == 5, "a").otherwise("b")).alias("dynamicVariables")))
+        F.when(size == 11, F.concat(named(F.lit("b")), named(F.lit("b")))).otherwise(named(F.when(size == 5, "a").otherwise("b"))).alias("dynamicVariables")))
     txs = F.to_json(F.struct(
-        F.concat(F.lit("tx"), "k").alias("templateId"),
+        F.concat(F.lit("tx"), "k").alias("templateId"), F.when(size == 12, named(F.lit("b"))).alias("dynamicVariables"),
         F.array(F.struct(F.concat(F.lit("op"), "k").alias("operationReferenceId"), F.when(size == 7, "").otherwise("o1").alias("id"))).alias("operations")))
     gens = F.array(F.struct(F.lit("g").alias("id"), F.when(size == 8, "dice").otherwise("guid").alias("type")))
     data = F.array(F.struct(F.lit("a").alias("name"), F.when(size == 6, "h").otherwise("g").alias("generatorReferenceId")))
@@ -172,33 +172,34 @@ def definition_checks(spark: SparkSession, sf: str) -> DataFrame:
     d = _documents(spark, sf)
     found = S.definition_errors(d["op"], d["tx"], d["workload"])
     error = F.regexp_replace("error", " (op|tx)[0-9a-z]*$| h$", "")
-    return found.select(F.split("file", "_")[0].alias("kind"), error.alias("error")).groupBy("kind", "error").agg(F.count("*").alias("n"))
+    return found.select(F.split("file", "_")[0].alias("kind"), F.split("file", "_")[1].cast("bigint").alias("part"), error.alias("error"))
 
 
 def request_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as transactions of two operations, rendered; counted by how they came out."""
-    seed = table(spark, sf, "region").limit(1)
-    ops = S.parse(_texts(seed, "op", [
+    """Orders as transactions of two operations, or of one that nothing declares, with the rendered parts of each operation."""
+    ops = S.parse(_texts(spark, "op", [
         '{"templateId": "nap", "type": "sleep", "duration": "1.5", "units": "seconds"}',
         '{"templateId": "add", "type": "http", "httpMethod": "post", "url": "http://shop/{{n}}/@@item.price@@", '
         '"arguments": [{"name": "n", "type": "number"}, {"name": "price", "type": "number"}], '
-        '"dynamicVariables": [{"name": "key", "type": "guid"}], '
+        '"dynamicVariables": [{"name": "key", "type": "string"}, {"name": "key", "type": "guid"}], '
         '"requestPayload": {"type": "json", "content": {"item": {"price": "{{price}}", "key": "{{key}}"}}}}',
     ]), "op")
-    txs = S.parse(_texts(seed, "tx", [
-        '{"templateId": "buy", "operations": [{"operationReferenceId": "nap", "id": "o1"}, {"operationReferenceId": "add", "id": "o2"}]}'
+    txs = S.parse(_texts(spark, "tx", [
+        '{"templateId": "buy", "operations": [{"operationReferenceId": "nap", "id": "o1"}, {"operationReferenceId": "add", "id": "o2"}]}',
+        '{"templateId": "look", "dynamicVariables": [{"name": "key", "type": "guid"}], "operations": [{"operationReferenceId": "add", "id": "o3"}]}',
     ]), "tx")
-    bound = W.bind(_orders_as_transactions(spark, sf), _WORKLOAD, seed=1, draw=_lcg_draw)
+    kind = F.when(F.col("tx_ref") == "P", "look").otherwise("buy")
+    bound = W.bind(_orders_as_transactions(spark, sf).withColumn("transaction", kind), _WORKLOAD, seed=1, draw=_lcg_draw)
     out = W.requests(bound, txs, ops, seed=1, spread=spark.sparkContext.defaultParallelism)
-    return out.groupBy("tx_ref", "operation_ref", "method", "offset_us").agg(
-        F.count("*").alias("n"), F.count("request_url").alias("n_urls"), F.count("body").alias("n_bodies"),
-        F.sum(F.size("missing")).alias("n_missing"),
-        F.sum(F.get_json_object("body", "$.item.price").cast("bigint")).alias("sum_price"),
+    item = lambda name: F.get_json_object("body", f"$.item.{name}")
+    return out.select(
+        "ordinal", "tx_ref", "operation_ref", "method", "offset_us", F.col("request_url").alias("url"),
+        item("price").cast("bigint").alias("price"), item("key").alias("key"), F.size("missing").alias("n_missing"),
     )
 
 
-def _texts(seed: DataFrame, kind: str, texts: list[str]) -> DataFrame:
-    return seed.select(F.explode(F.array(*[F.lit(t) for t in texts])).alias("text"), F.lit(kind).alias("kind"), F.lit(kind).alias("file"))
+def _texts(spark: SparkSession, kind: str, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame([(t, kind, kind) for t in texts], "text string, kind string, file string")
 
 
 def cdc_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +262,7 @@ ORACLES = {
         "(raw * 1000) // 2147483648 - 500 AS \"offset\", (raw * 2147483647) // 2147483648 AS free, "
         "CASE raw % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS colour FROM x"
     ),
-    "gen_counter": f"SELECT o_orderkey, 9 + row_number() OVER (ORDER BY {_raw('o_orderkey')} // 2097152, o_orderkey) AS number FROM orders",
+    "gen_counter": "SELECT o_orderkey, 9 + row_number() OVER (ORDER BY o_orderkey) AS number FROM orders",
     "gen_zipf": (
         f"WITH {_ranked(200)}, x AS (SELECT o_orderkey, CAST(CAST({_raw('o_orderkey')} AS HUGEINT) * total // 2147483648 AS BIGINT) AS pick FROM orders, zt) "
         "SELECT o_orderkey, rank FROM x JOIN z ON pick >= lo AND pick < hi"
@@ -301,24 +302,30 @@ ORACLES = {
         "SELECT conv_id, turn, CAST(coalesce(sum(us) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_us FROM s"
     ),
     "definition_checks": (
-        "WITH p AS (SELECT p_size AS s FROM part), f AS ("
-        "SELECT 'op' AS kind, 'templateId is empty' AS error FROM p WHERE s = 1 "
-        "UNION ALL SELECT 'op', 'unknown operation type' FROM p WHERE s = 2 "
-        "UNION ALL SELECT 'op', 'unknown http method' FROM p WHERE s = 3 "
-        "UNION ALL SELECT 'op', 'url is empty' FROM p WHERE s = 4 "
-        "UNION ALL SELECT 'op', 'argument and variable share a name' FROM p WHERE s = 5 "
-        "UNION ALL SELECT 'tx', 'operation id is empty' FROM p WHERE s = 7 "
-        "UNION ALL SELECT 'tx', 'unknown operation' FROM p WHERE s = 1 "
-        "UNION ALL SELECT 'workload', 'count is missing' FROM p WHERE s % 10 = 0 "
-        "UNION ALL SELECT 'workload', 'unknown generator' FROM p WHERE s = 6 "
-        "UNION ALL SELECT 'workload', 'unknown generator type' FROM p WHERE s = 8 "
-        "UNION ALL SELECT 'workload', 'unknown transaction' FROM p WHERE s = 9) SELECT kind, error, count(*) AS n FROM f GROUP BY 1, 2"
+        "WITH p AS (SELECT p_partkey AS part, p_size AS s FROM part) "
+        "SELECT 'op' AS kind, part, 'templateId is empty' AS error FROM p WHERE s = 1 "
+        "UNION ALL SELECT 'op', part, 'unknown operation type' FROM p WHERE s = 2 "
+        "UNION ALL SELECT 'op', part, 'unknown http method' FROM p WHERE s = 3 "
+        "UNION ALL SELECT 'op', part, 'url is empty' FROM p WHERE s = 4 "
+        "UNION ALL SELECT 'op', part, 'argument and variable share a name' FROM p WHERE s = 5 "
+        "UNION ALL SELECT 'op', part, 'a name is declared twice' FROM p WHERE s = 11 "
+        "UNION ALL SELECT 'tx', part, 'operation id is empty' FROM p WHERE s = 7 "
+        "UNION ALL SELECT 'tx', part, 'unknown operation' FROM p WHERE s = 1 "
+        "UNION ALL SELECT 'tx', part, 'variable clashes with an operation''s b' FROM p WHERE s = 12 "
+        "UNION ALL SELECT 'workload', part, 'count is missing' FROM p WHERE s % 10 = 0 "
+        "UNION ALL SELECT 'workload', part, 'unknown generator' FROM p WHERE s = 6 "
+        "UNION ALL SELECT 'workload', part, 'unknown generator type' FROM p WHERE s = 8 "
+        "UNION ALL SELECT 'workload', part, 'unknown transaction' FROM p WHERE s = 9"
     ),
     "request_table": (
-        f"WITH x AS (SELECT o_orderstatus AS s, ({_draw('price/price')} * 490) // 2147483648 + 10 AS price FROM orders) "
-        "SELECT s AS tx_ref, 'o1' AS operation_ref, NULL AS method, 0 AS offset_us, count(*) AS n, 0 AS n_urls, 0 AS n_bodies, 0 AS n_missing, NULL AS sum_price FROM x GROUP BY s "
-        "UNION ALL SELECT s, 'o2', 'POST', 1500000, count(*), CASE WHEN s IN ('F', 'O') THEN count(*) ELSE 0 END, CASE WHEN s = 'F' THEN count(*) ELSE 0 END, "
-        "CASE s WHEN 'F' THEN 0 WHEN 'O' THEN count(*) ELSE 2 * count(*) END, CASE WHEN s = 'F' THEN CAST(sum(price) AS BIGINT) END FROM x GROUP BY s"
+        f"WITH x AS (SELECT o_orderkey AS ordinal, o_orderstatus AS s, ({_draw('price/price')} * 490) // 2147483648 + 10 AS price, "
+        "CASE o_orderstatus WHEN 'F' THEN o_orderkey + 100 WHEN 'O' THEN o_orderkey + 1100 END AS n, "
+        "md5('1:key:' || o_orderstatus || ':' || o_orderkey || ':1') AS h FROM orders) "
+        "SELECT ordinal, s AS tx_ref, 'o1' AS operation_ref, NULL AS method, 0 AS offset_us, NULL AS url, NULL AS price, NULL AS key, 0 AS n_missing "
+        "FROM x WHERE s <> 'P' "
+        f"UNION ALL SELECT ordinal, s, 'o2', 'POST', 1500000, 'http://shop/' || n || '/' || price, CAST(price AS BIGINT), {_GUID}, 0 FROM x WHERE s = 'F' "
+        "UNION ALL SELECT ordinal, s, 'o2', 'POST', 1500000, 'http://shop/' || n || '/@@item.price@@', NULL, NULL, 1 FROM x WHERE s = 'O' "
+        "UNION ALL SELECT ordinal, s, 'o3', 'POST', 0, NULL, NULL, NULL, 2 FROM x WHERE s = 'P'"
     ),
     "cdc_read": (
         "SELECT o_orderkey AS seq, 'orders.' || CASE WHEN o_orderstatus = 'F' THEN 'd' ELSE 'c' END AS type, epoch_us(o_orderdate) AS us, o_orderstatus AS status FROM orders"

@@ -66,6 +66,7 @@ def definition_errors(operations: DataFrame, transactions: DataFrame, workloads:
         dangling(transactions, "operations", "operationReferenceId", operations, "unknown operation"),
         dangling(workloads, "transactions", "transactionReferenceId", transactions, "unknown transaction"),
         _unknown_generators(workloads),
+        _clashing_variables(transactions, operations),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -91,6 +92,11 @@ def shared_names(arguments: Column, variables: Column) -> Column:
     return F.coalesce(F.arrays_overlap(arguments["name"], variables["name"]), F.lit(False))
 
 
+def _repeated(declared: Column) -> Column:
+    """Whether a list of names holds one of them twice."""
+    return F.coalesce(F.size(F.array_distinct(declared["name"])) < F.size(declared["name"]), F.lit(False))
+
+
 def _operation_rules() -> dict[str, Column]:
     http, sleep = F.lower("type") == "http", F.lower("type") == "sleep"
     return {
@@ -103,6 +109,7 @@ def _operation_rules() -> dict[str, Column]:
         "unknown argument type": _any(F.col("arguments"), lambda a: _outside(a["type"], _ARGUMENT_TYPES)),
         "unknown variable type": _any(F.col("dynamicVariables"), lambda a: _outside(a["type"], _VARIABLE_TYPES)),
         "argument and variable share a name": shared_names(F.col("arguments"), F.col("dynamicVariables")),
+        "a name is declared twice": _repeated(F.col("arguments")) | _repeated(F.col("dynamicVariables")),
     }
 
 
@@ -113,6 +120,7 @@ def _transaction_rules() -> dict[str, Column]:
         "operation id is empty": _any(F.col("operations"), lambda o: _blank(o["id"])),
         "operation reference is empty": _any(F.col("operations"), lambda o: _blank(o["operationReferenceId"])),
         "argument and variable share a name": shared_names(F.col("arguments"), F.col("dynamicVariables")),
+        "a name is declared twice": _repeated(F.col("arguments")) | _repeated(F.col("dynamicVariables")),
     }
 
 
@@ -150,6 +158,16 @@ def dangling(docs: DataFrame, items: str, member: str, targets: DataFrame, error
     )
 
 
+def _clashing_variables(transactions: DataFrame, operations: DataFrame) -> DataFrame:
+    """Transactions with a variable whose name one of their operations declares as well."""
+    own = transactions.select(
+        "file", F.col("templateId").alias("id"), F.col("dynamicVariables.name").alias("names"), F.explode("operations").alias("op")
+    ).select("file", "id", "names", F.col("op.operationReferenceId").alias("ref"))
+    theirs = operations.select(F.col("templateId").alias("ref"), F.col("dynamicVariables.name").alias("others"))
+    both = own.join(theirs, "ref").select("file", "id", F.explode(F.array_intersect("names", "others")).alias("name"))
+    return both.distinct().select("file", "id", F.concat_ws(" ", F.lit("variable clashes with an operation's"), F.col("name")).alias("error"))
+
+
 def _unknown_generators(workloads: DataFrame) -> DataFrame:
     """Only workloads that declare generators are checked."""
     used = F.flatten(F.transform("transactions", lambda t: F.coalesce(t["data"]["generatorReferenceId"], F.array())))
@@ -159,22 +177,11 @@ def _unknown_generators(workloads: DataFrame) -> DataFrame:
     ).select("file", "id", F.concat_ws(" ", F.lit("unknown generator"), F.col("ref")).alias("error"))
 
 
-# Missing keys are broadcast up to this many, beyond it rows are salted.
-_BROADCAST_KEYS = 1_000_000
-_SALTS = 32
-
-
 def missing_references(rows: DataFrame, column: str, targets: DataFrame, target_column: str) -> DataFrame:
     """Rows whose ``column`` points at nothing: the same check on large tables.
 
-    Only distinct keys are shuffled for the comparison, so neither a popular
-    target nor a popular broken reference makes a large task.
+    One anti join against the distinct targets, so that Spark can divide the rows of a
+    popular key at run time.  A null refers to nothing and is no broken reference.
     """
     known = targets.select(F.col(target_column).alias(column)).distinct()
-    used = rows.select(column).filter(F.col(column).isNotNull()).distinct()
-    missing = used.join(known, column, "left_anti")
-    if missing.limit(_BROADCAST_KEYS + 1).count() <= _BROADCAST_KEYS:
-        return rows.join(F.broadcast(missing), column, "left_semi")
-    salted = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)).cast("int")
-    return rows.withColumn("_salt", spread).join(salted, [column, "_salt"], "left_semi").drop("_salt")
+    return rows.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
