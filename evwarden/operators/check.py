@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evwarden.model import Invariant
 from evwarden.operators.cells import CellOptions
+from evwarden.operators.joins import loop_matches, loopable, pair_matches, pairable
 from evwarden.operators.project import Layout, shared_layouts
 from evwarden.operators.scan import Chain, key_signature, look_ahead, scan_matches, scannable
 from evwarden.operators.sweep import sweep_matches
@@ -36,15 +37,23 @@ def find_matches(
     ``end_of_input="flush"`` closes every open match at the end of the data;
     ``"open"`` leaves out those whose limit lies beyond the latest event.
     """
-    if strategy not in ("auto", "scan", "sweep"):
-        raise ValueError("strategy must be 'auto', 'scan' or 'sweep'")
+    if strategy not in ("auto", "scan", "joins", "sweep"):
+        raise ValueError("strategy must be 'auto', 'scan', 'joins' or 'sweep'")
+    if strategy == "joins" and not (pairable(inv) or loopable(inv)):
+        raise ValueError(f"invariant {inv.name!r} needs another strategy than joins")
     if strategy == "scan" and not scannable(inv):
         raise ValueError(f"invariant {inv.name!r} needs the sweep strategy")
     open_until = None if inv.within_us is None else _open_until(events, end_of_input)
     layout = Layout(inv)
-    use_scan = strategy == "scan" or (strategy == "auto" and scannable(inv))
-    run = scan_matches if use_scan else sweep_matches
-    return bindings(run(events, inv, layout, cells, open_until), inv, layout)
+    if strategy == "scan" or (strategy == "auto" and scannable(inv)):
+        found = scan_matches(events, inv, layout, cells, open_until)
+    elif strategy != "sweep" and pairable(inv):
+        found = pair_matches(events, inv, layout, open_until)
+    elif strategy != "sweep" and loopable(inv):
+        found = loop_matches(events, inv, layout, cells, open_until)
+    else:
+        found = sweep_matches(events, inv, layout, cells, open_until)
+    return bindings(found, inv, layout)
 
 
 def _open_until(events: DataFrame, end_of_input: str) -> int | None:

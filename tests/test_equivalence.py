@@ -9,6 +9,7 @@ import pytest
 
 import naive
 from evwarden import DEFAULT, Alias, CellOptions, Invariant, Not, Or, Plus, Star, attr, check_all, find_matches
+from evwarden.operators.joins import loopable, pairable
 from evwarden.operators.scan import key_signature, scannable
 from evwarden.sources.events import memory_events
 
@@ -72,6 +73,9 @@ def test_strategies_agree(spark, name, where_eval):
     if scannable(inv):
         runs += [("scan", CellOptions()), ("scan", CellOptions(cell_rows=25, grain_us=3000))]
 
+    if pairable(inv) or loopable(inv):
+        runs += [("joins", CellOptions()), ("joins", CellOptions(cell_rows=25, grain_us=3000))]
+
     def rows_of(run):
         found = find_matches(events, inv, strategy=run[0], cells=run[1])
         return sorted((r.kind, r.start_id, r.end_id or -1, r.bound) for r in found.collect())
