@@ -24,105 +24,116 @@ def make(rows, step_ms=1):
     return frame, plain
 
 
-ID = {"id": "string"}
-A0 = Alias("A", {"id": "string", "price": "number", "hasFlag": "bool"})
-C0 = Alias("C", {"id": "string", "hasFlag": "bool"})
-AX = Alias("A", {"id": "string", "x": "string", "price": "number", "hasFlag": "bool"})
-BX = Alias("B", {"id": "string", "x": "string"})
-PRICE = Alias("PC", {"ProductId": "number", "NewPrice": "number"})
-BOUGHT = Alias("PB", {"ProductId": "number", "Price": "number"})
-ORDER = {"orderId": "number", "total_cost": "number"}
-PAY = {"os": Alias("OS", ORDER), "ps": Alias("PS", ORDER), "pf": Alias("PF", ORDER)}
 NX = {n: Alias(n.upper(), {"id": "number", "x": "number"}) for n in "abcdef"}
 
+# shared bikes: an unlocked bike is docked again, unless it reports a fault
+BIKES = {
+    "u": Alias("Unlocked", {"bike": "string", "zone": "string", "battery": "number", "night": "bool"}),
+    "f": Alias("Fault", {"bike": "string", "zone": "string"}),
+    "d": Alias("Docked", {"bike": "string", "night": "bool"}),
+}
+# water tanks: filled, drawn from and emptied
+TANKS = {n: Alias(t, {"tank": "string"}) for n, t in (("fill", "Fill"), ("pump", "Pump"), ("leak", "Leak"), ("empty", "Empty"))}
+# tariffs of zones, and the rides billed by them
+TARIFF, RIDE = Alias("TariffSet", {"zone": "number", "cents": "number"}), Alias("RideBilled", {"zone": "number", "cents": "number"})
+# a lending desk
+LOANS = {n: Alias(t, {"item": "number", "fee": "number"}) for n, t in (("lent", "Lent"), ("back", "Returned"), ("longer", "Extended"))}
+# parcels on their way through a depot
+DEPOT = {
+    n: Alias(t, {"parcel": "number", "weight": "number", "bay": "number"})
+    for n, t in (("o", "Ordered"), ("k", "Cancelled"), ("p", "Packed"), ("h", "Held"), ("s", "Shipped"), ("v", "Delivered"))
+}
+
+
+def bike_rule(fault):
+    return dict(aliases=BIKES, seq=["u", Not("f"), "d"], within="900 msec", on_full_match=False,
+                where=[fault, attr("u.battery") > 30, attr("u.night") != attr("d.night")])
+
 
-def flag_terms(first):
-    return [first, attr("a.price") > 42, attr("a.hasFlag") != attr("c.hasFlag")]
+def unlocked(bike, battery=80, zone="north"):
+    return ("Unlocked", {"bike": bike, "battery": battery, "night": True, "zone": zone})
 
 
-def price_inv():
+DAY_DOCK = ("Docked", {"bike": "b2", "night": False})
+
+
+def tariff_rule():
     return dict(
-        aliases={"pc1": PRICE, "pc2": PRICE, "pb": BOUGHT},
-        seq=["pc1", Not("pc2"), "pb"],
-        within="2 min",
-        where=[attr("pc1.ProductId") == attr("pb.ProductId"), attr("pc1.ProductId") == attr("pc2.ProductId")],
-        on_full_match=attr("pc1.NewPrice") == attr("pb.Price"),
+        aliases={"t1": TARIFF, "t2": TARIFF, "r": RIDE}, seq=["t1", Not("t2"), "r"], within="4 min",
+        where=[attr("t1.zone") == attr("r.zone"), attr("t1.zone") == attr("t2.zone")],
+        on_full_match=attr("t1.cents") == attr("r.cents"),
     )
 
 
-def paid():
-    return (attr("os.orderId") == attr("ps.orderId")) | (attr("os.orderId") == attr("pf.orderId"))
+def settled():
+    return (attr("lent.item") == attr("back.item")) | (attr("lent.item") == attr("longer.item"))
+
 
+def loan(kind, item, fee=None):
+    return (kind, {"item": item} if fee is None else {"item": item, "fee": fee})
 
-PRICES = [("PC", {"ProductId": 1, "NewPrice": "1"}), ("PC", {"ProductId": 2, "NewPrice": "2"}),
-          ("PC", {"ProductId": 2, "NewPrice": "42"})]
+
+TARIFFS = [("TariffSet", {"zone": z, "cents": c}) for z, c in ((5, "130"), (9, "95"), (9, "110"))]
 
 SCENARIOS = {
+    # a forbidden event about another key is no obstacle, and terms on one alias select starts
     "negation_other_key": (
-        dict(aliases={"a": A0, "b": Alias("B", ID), "c": C0}, seq=["a", Not("b"), "c"], within="1 sec",
-             where=flag_terms(attr("a.id") == attr("b.id")), on_full_match=False),
-        [("A", {"id": 1, "price": 52, "hasFlag": True}), ("B", {"id": 2}), ("C", {"id": 1, "hasFlag": False})], 1),
+        bike_rule(attr("u.bike") == attr("f.bike")),
+        [unlocked("b1"), unlocked("b3", battery=10), ("Fault", {"bike": "b9"}), DAY_DOCK], 1),
+    # it discards only the start it is about
     "negation_kills": (
-        dict(aliases={"a": A0, "b": Alias("B", ID), "c": C0}, seq=["a", Not("b"), "c"], within="1 sec",
-             where=flag_terms(attr("a.id") == attr("b.id")), on_full_match=False),
-        [("A", {"id": 1, "price": 52, "hasFlag": True}), ("B", {"id": 1}), ("C", {"id": 1, "hasFlag": False})], 0),
+        bike_rule(attr("u.bike") == attr("f.bike")),
+        [unlocked("b1"), unlocked("b2"), ("Fault", {"bike": "b1"}), DAY_DOCK], 1),
+    # AND inside OR inside AND
     "nested_or": (
-        dict(aliases={"a": AX, "b": BX, "c": C0}, seq=["a", Not("b"), "c"], within="1 sec",
-             where=flag_terms((attr("a.id") == attr("b.id")) | ((attr("a.x") == attr("b.x")) & (
-                 (attr("a.x") != attr("b.x")) | (attr("a.x") == attr("b.x"))))), on_full_match=False),
-        [("A", {"id": 1, "x": 2, "price": 52, "hasFlag": True}), ("B", {"id": 2, "x": 1}),
-         ("C", {"id": 1, "hasFlag": False})], 1),
+        bike_rule(((attr("u.bike") == attr("f.bike")) & (attr("u.zone") == attr("f.zone"))) | (
+            (attr("u.zone") != attr("f.zone")) & ((attr("f.bike") == attr("u.bike")) | (attr("f.zone") == attr("u.zone"))))),
+        [unlocked("b1"), unlocked("b2"), ("Fault", {"bike": "b1", "zone": "south"}), DAY_DOCK], 1),
     "loop_of_alternatives": (
-        dict(aliases={"a": AX, "b": BX, "c": C0, "d": Alias("D", ID)}, seq=["a", Plus("b", "c"), "d"],
-             within="1 sec", where=[attr("a.id") == attr("b.id"), attr("c.id") == attr("a.id")], on_full_match=False),
-        [(t, {"id": 1}) for t in "ABCBCD"], 1),
+        dict(aliases=TANKS, seq=["fill", Plus("pump", "leak"), "empty"], within="2 sec",
+             where=[attr("fill.tank") == attr("pump.tank"), attr("leak.tank") == attr("fill.tank")], on_full_match=False),
+        [(t, {"tank": "t4"}) for t in ("Fill", "Pump", "Pump", "Leak", "Pump", "Empty")], 1),
     "negation_before_last": (
-        dict(aliases={"a": AX, "b": BX, "c": C0, "d": Alias("D", ID)}, seq=["a", "b", Not("c"), "d"],
-             within="1 sec", where=[attr("c.id") == attr("a.id")], on_full_match=attr("a.id") != attr("d.id")),
-        [("A", {"id": 1}), ("B", {"id": 1}), ("C", {"id": 2}), ("D", {"id": 1})], 1),
-    "latest_price_ok": (price_inv(), PRICES + [("PB", {"ProductId": 2, "Price": 42}), ("PB", {"ProductId": 1, "Price": 1})], 0),
-    "latest_price_broken": (price_inv(), PRICES + [("PB", {"ProductId": 2, "Price": 43}), ("PB", {"ProductId": 1, "Price": 11})], 2),
-    "single_step_age": (
-        dict(aliases={"iqr": Alias("IQR", {"id": "number", "customerAge": "number", "insuranceType": "string"})},
-             seq=["iqr"], where=[attr("iqr.insuranceType") == "life-insurance"],
-             on_full_match=(attr("iqr.customerAge") < 99) & (attr("iqr.customerAge") > 1)),
-        [("IQR", {"id": 1, "customerAge": 0, "insuranceType": "life-insurance"}),
-         ("IQR", {"id": 2, "customerAge": 102, "insuranceType": "life-insurance"}), ("A", {}),
-         ("IQR", {"id": 2, "customerAge": 102, "insuranceType": "car-insurance"}),
-         ("IQR", {"id": 2, "customerAge": 23, "insuranceType": "life-insurance"}), ("A", {}), ("B", {})], 2),
-    "single_step_address": (
-        dict(aliases={"iqr": Alias("IQR", {"id": "number", "customerAddress": "string", "insuranceType": "string"})},
-             seq=["iqr"], where=[attr("iqr.insuranceType") == "car-insurance"],
-             on_full_match=attr("iqr.customerAddress") != "Switzerland"),
-        [("IQR", {"id": 1, "customerAddress": p, "insuranceType": "car-insurance"}) if p else ("A", {})
-         for p in ("Switzerland", "China", None, "Germany", "Poland", None)], 1),
-    "timely_payment": (
-        dict(aliases=PAY, seq=["os", Or("ps", "pf")], within="30 msec", where=[paid()], on_prefix_match={DEFAULT: False}),
-        [("OS", {"orderId": 3}), ("OS", {"orderId": 1}), ("OS", {"orderId": 2}), ("PS", {"orderId": 1}),
-         ("PF", {"orderId": 2})] + [("PS", {"orderId": n}) for n in range(42, 46)], 1),
+        dict(aliases=TANKS, seq=["fill", "pump", Not("leak"), "empty"], within="2 sec",
+             where=[attr("leak.tank") == attr("fill.tank")], on_full_match=attr("fill.tank") != attr("empty.tank")),
+        [("Fill", {"tank": "t1"}), ("Leak", {"tank": "t1"}), ("Pump", {"tank": "t3"}), ("Leak", {"tank": "t2"}), ("Empty", {"tank": "t1"})], 1),
+    # a later event of the first type replaces the earlier one; numbers may come as text
+    "latest_tariff_ok": (tariff_rule(), TARIFFS + [("RideBilled", {"zone": 9, "cents": 110}), ("RideBilled", {"zone": 5, "cents": 130})], 0),
+    "latest_tariff_broken": (tariff_rule(), TARIFFS + [("RideBilled", {"zone": 9, "cents": 95}), ("RideBilled", {"zone": 5, "cents": 131})], 2),
+    "single_step_number": (
+        dict(aliases={"r": Alias("Reading", {"kind": "string", "celsius": "number"})}, seq=["r"],
+             where=[attr("r.kind") == "soil"], on_full_match=(attr("r.celsius") < 35) & (attr("r.celsius") > 4)),
+        [("Reading", {"kind": k, "celsius": c}) for k, c in (("soil", 3), ("soil", 20), ("air", 50), ("soil", 36), ("soil", 35))] + [("Rain", {})], 3),
+    "single_step_text": (
+        dict(aliases={"c": Alias("Consignment", {"by": "string", "state": "string"})}, seq=["c"],
+             where=[attr("c.by") == "rail"], on_full_match=attr("c.state") != "lost"),
+        [("Consignment", {"by": b, "state": s}) for b, s in (("rail", "lost"), ("rail", "here"), ("road", "lost"), ("rail", "lost"))], 2),
+    "deadline": (
+        dict(aliases=LOANS, seq=["lent", Or("back", "longer")], within="70 msec", where=[settled()], on_prefix_match={DEFAULT: False}),
+        [loan("Lent", 7), loan("Lent", 8), loan("Lent", 9), loan("Returned", 8), loan("Extended", 9), loan("Returned", 60)], 1),
     "prefix_predicate": (
-        dict(aliases=PAY, seq=["os", Or("ps", "pf")], within="1 msec", where=[paid()],
-             on_prefix_match={DEFAULT: attr("os.total_cost") > 1}),
-        [("OS", {"orderId": 2, "total_cost": -12}), ("PS", {"orderId": 1})] + [("PS", {"orderId": n}) for n in range(4, 10)], 1),
+        dict(aliases=LOANS, seq=["lent", Or("back", "longer")], within="2 msec", where=[settled()],
+             on_prefix_match={DEFAULT: attr("lent.fee") > 0}),
+        [loan("Lent", 7, -3), loan("Lent", 8, 5), loan("Returned", 60), loan("Returned", 61), loan("Returned", 8)], 1),
     "full_and_prefix": (
-        dict(aliases=PAY, seq=["os", Or("ps", "pf")], within="20 msec", where=[paid()],
-             on_full_match=(attr("os.total_cost") == attr("ps.total_cost")) | (attr("os.total_cost") == attr("pf.total_cost")),
-             on_prefix_match={DEFAULT: attr("os.total_cost") > 1}),
-        [("OS", {"orderId": 2, "total_cost": -12}), ("OS", {"orderId": 1, "total_cost": 335}),
-         ("PS", {"orderId": 1, "total_cost": 336})] + [("PS", {"orderId": n}) for n in range(42, 47)], 2),
+        dict(aliases=LOANS, seq=["lent", Or("back", "longer")], within="50 msec", where=[settled()],
+             on_full_match=(attr("lent.fee") == attr("back.fee")) | (attr("lent.fee") == attr("longer.fee")),
+             on_prefix_match={DEFAULT: attr("lent.fee") > 0}),
+        [loan("Lent", 7, -3), loan("Lent", 8, 40), loan("Returned", 8, 41), loan("Lent", 9, 12), loan("Extended", 9, 12)], 2),
     "default_prefix_short": (
-        dict(aliases=PAY, seq=["os", "ps", "pf"], within="1 msec", on_prefix_match={DEFAULT: attr("os.total_cost") > -10}),
-        [("OS", {"orderId": 1, "total_cost": 337}), ("OS", {"orderId": 2, "total_cost": -12}), ("PS", {"orderId": 3})], 1),
+        dict(aliases=LOANS, seq=["lent", "back", "longer"], within="1 msec", on_prefix_match={DEFAULT: attr("lent.fee") > -1}),
+        [loan("Lent", 7, 40), loan("Lent", 8, -3), loan("Returned", 9)], 1),
     "default_prefix_long": (
-        dict(aliases=PAY, seq=["os", "ps", "pf"], within="1 sec", on_prefix_match={DEFAULT: attr("os.total_cost") > -10}),
-        [("OS", {"orderId": 1, "total_cost": 337}), ("OS", {"orderId": 2, "total_cost": -12}), ("PS", {"orderId": 3})], 1),
+        dict(aliases=LOANS, seq=["lent", "back", "longer"], within="3 sec", on_prefix_match={DEFAULT: attr("lent.fee") > -1}),
+        [loan("Lent", 7, 40), loan("Lent", 8, -3), loan("Returned", 9)], 1),
+    # the clause of the prefix that was reached counts, the default for all others
     "named_prefix": (
-        dict(aliases=NX, seq=["a", Not("b"), Or("c", "d"), "e", "f"], within="5 msec",
-             where=[attr("a.id") == attr("b.id"), (attr("c.id") == attr("a.id")) | (attr("d.id") == attr("a.id")),
-                    attr("e.id") == attr("a.id")],
-             on_prefix_match={("a",): attr("a.id") < 0, ("a", ("d", "c")): (attr("c.x") > 5) | (attr("d.x") > 5),
-                              DEFAULT: attr("a.id") == 1}),
-        [("A", {"id": 1, "x": 1}), ("B", {"id": 2, "x": 2}), ("D", {"id": 1, "x": 3})] + [("X", {})] * 1000, 1),
+        dict(aliases=DEPOT, seq=["o", Not("k"), Or("p", "h"), "s", "v"], within="12 msec",
+             where=[attr("o.parcel") == attr("k.parcel"), (attr("p.parcel") == attr("o.parcel")) | (attr("h.parcel") == attr("o.parcel")),
+                    attr("s.parcel") == attr("o.parcel")],
+             on_prefix_match={("o",): attr("o.weight") > 2, ("o", ("h", "p")): (attr("p.bay") > 5) | (attr("h.bay") > 5),
+                              DEFAULT: attr("o.weight") == 1}),
+        [("Ordered", {"parcel": 3, "weight": 9}), ("Cancelled", {"parcel": 4}), ("Held", {"parcel": 3, "bay": 2})] + [("Swept", {})] * 50, 1),
     # edges
     "closing_at_the_limit": (
         dict(aliases=NX, seq=["a", "b"], within="5 msec", where=[attr("a.id") == attr("b.id")],
@@ -152,10 +163,9 @@ SCENARIOS = {
              on_full_match=attr("b.x") > 1, on_prefix_match={DEFAULT: False}),
         [("A", {"id": 1}), ("C", {"id": 1}), ("B", {"id": 1, "x": 2}), ("B", {"id": 1, "x": 1}), ("C", {"id": 1})], 1),
     "killer_starts_a_match": (
-        dict(aliases={"p": PRICE, "q": PRICE, "r": BOUGHT}, seq=["p", Not("q"), "r"], within="1 sec",
-             where=[attr("p.ProductId") == attr("r.ProductId"), attr("p.ProductId") == attr("q.ProductId")],
-             on_full_match=False),
-        [("PC", {"ProductId": 1}), ("PC", {"ProductId": 1}), ("PB", {"ProductId": 1})], 1),
+        dict(aliases={"p": TARIFF, "q": TARIFF, "r": RIDE}, seq=["p", Not("q"), "r"], within="1 sec",
+             where=[attr("p.zone") == attr("r.zone"), attr("p.zone") == attr("q.zone")], on_full_match=False),
+        [("TariffSet", {"zone": 6}), ("TariffSet", {"zone": 6}), ("RideBilled", {"zone": 6})], 1),
     "trailing_negation": (
         dict(aliases=NX, seq=["a", "b", Not("c")], within="10 msec",
              where=[attr("a.id") == attr("b.id"), attr("a.id") == attr("c.id")], on_full_match=False),
@@ -182,8 +192,8 @@ def test_scenario(spark, name, where_eval):
 def test_loop_match_holds_every_event(spark):
     spec, rows, _ = SCENARIOS["loop_of_alternatives"]
     row = find_matches(memory_events(spark, make(rows)[0]), Invariant("m", **spec)).filter("kind = 'full'").first()
-    assert [e.seq for e in row.b] == [1, 3] and [e.seq for e in row.c] == [2, 4]
-    assert row.a.seq == 0 and row.d.seq == 5
+    assert [e.seq for e in row.pump] == [1, 2, 4] and [e.seq for e in row.leak] == [3]
+    assert row.fill.seq == 0 and row.empty.seq == 5
 
 
 def test_all_later_matches(spark):

@@ -12,14 +12,14 @@ from evwarden.sources.events import alias_view, decode_records, json_file_events
 
 
 def test_json_file(spark, tmp_path):
-    docs = [{"Type": "A", "Content": {"id": 1, "at": "2023-03-26T11:10:51.9241451Z", "deep": {"x": {"y": 5}}}},
-            {"Type": "B", "Content": {"id": "1", "when": 1681310215714}}]
+    docs = [{"Type": "A", "Content": {"id": 1, "at": "2024-02-29T06:30:15.1234567Z", "deep": {"x": {"y": 5}}}},
+            {"Type": "B", "Content": {"id": "1", "when": 1709190016789}}]
     path = tmp_path / "events.json"
     path.write_text(json.dumps(docs, indent=1))
     aliases = {"a": Alias("A", {"id": "number", "at": "timestamp", "deep.x.y": "number"}), "b": Alias("B", {"id": "number", "when": "timestamp"})}
     events = json_file_events(spark, str(path), time_members(aliases))
     assert {(r.type, r.us) for r in events.select("type", F.unix_micros("ts").alias("us")).collect()} == {
-        ("A", 1679829051924145), ("B", 1681310215714000)}
+        ("A", 1709188215123456), ("B", 1709190016789000)}
     inv = Invariant("i", aliases, ["a", "b"], within="500 hours", where=[attr("a.id") == attr("b.id")], on_full_match=attr("a.deep.x.y") > 5)
     assert check(events, inv).count() == 1
 

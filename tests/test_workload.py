@@ -114,16 +114,16 @@ def test_definition_faults(spark, folder):
 
 
 def test_rendering(spark):
-    items = '[{"id": "1", "price": 10}, {"id": "2", "price": 20}, {"id": "3", "price": 30}]'
+    stops = '[{"at": "quay", "min": 4}, {"at": "mill", "min": 9}]'
     values = F.create_map(*[F.lit(x) for x in (
-        "arg1", "42", "arg2", "some-string", "arg3", "", "items", items, "flag", "True", "tricky", '{{arg1}} "q" \\ $1', "bad", "x1")])
+        "line", "17", "town", "Old Port", "note", "", "stops", stops, "live", "True", "odd", '{{line}} "q" \\ $1', "bad", "x1")])
     kinds = F.create_map(*[F.lit(x) for x in (
-        "arg1", "number", "arg2", "string", "arg3", "null", "items", "array", "flag", "boolean", "tricky", "string", "bad", "number")])
+        "line", "number", "town", "string", "note", "null", "stops", "array", "live", "boolean", "odd", "string", "bad", "number")])
     cases = {
-        '{"k2":"{{arg1}}","k3":["{{arg2}}"],"k4":"{{arg3}}"}': {"k2": 42, "k3": ["some-string"], "k4": None},
-        '{"p":"{{@@items[1].price@@}}","i":"{{@@items[1].id@@}}","o":"{{@@items[2]@@}}"}': {"p": 20, "i": "2", "o": {"id": "3", "price": 30}},
-        '{"f":"{{flag}}","t":"{{tricky}}","all":"{{items}}"}': {"f": True, "t": '{{arg1}} "q" \\ $1', "all": json.loads(items)},
-        '{"static":"value"}': {"static": "value"},
+        '{"bus":"{{line}}","via":["{{town}}"],"rem":"{{note}}"}': {"bus": 17, "via": ["Old Port"], "rem": None},
+        '{"m":"{{@@stops[1].min@@}}","w":"{{@@stops[0].at@@}}","whole":"{{@@stops[1]@@}}"}': {"m": 9, "w": "quay", "whole": {"at": "mill", "min": 9}},
+        '{"f":"{{live}}","t":"{{odd}}","all":"{{stops}}"}': {"f": True, "t": '{{line}} "q" \\ $1', "all": json.loads(stops)},
+        '{"fixed":"as is"}': {"fixed": "as is"},
         '{"x":"{{unknown}}"}': None,
         '{"x":"{{bad}}"}': None,
     }
@@ -131,13 +131,21 @@ def test_rendering(spark):
     got = {r.t: r.body for r in df.select("t", T.render_payload(F.col("t"), values, kinds).alias("body")).collect()}
     assert {t: b and json.loads(b) for t, b in got.items()} == cases
     one = spark.range(1)
-    url = T.render_url(F.lit("http://shop/{{arg2}}/@@key1.key2@@"), values, F.lit('{"key1":{"key2":"some-string"}}'))
-    plain = T.render_url(F.lit("http://shop/{{tricky}}"), values, F.lit(None).cast("string"))
+    url = T.render_url(F.lit("http://bus/{{town}}/@@trip.driver@@"), values, F.lit('{"trip":{"driver":"Ines"}}'))
+    plain = T.render_url(F.lit("http://bus/{{odd}}"), values, F.lit(None).cast("string"))
     row = one.select(url.alias("u"), plain.alias("p"), T.sleep_us(F.lit("2.5"), F.lit("Minutes")).alias("s")).first()
-    assert (row.u, row.p, row.s) == ("http://shop/some-string/some-string", 'http://shop/{{arg1}} "q" \\ $1', 150_000_000)
-    specs = F.expr("array(named_struct('key', 'a', 'value', '$.json.key1.key3[2]'), named_struct('key', 'b', 'value', '$.none'))")
-    got = one.select(T.return_values(F.lit('{"json": {"key1": {"key3": ["q", "w", "we"]}}}'), specs).alias("m")).first().m
-    assert got == {"a": "we"}
+    assert (row.u, row.p, row.s) == ("http://bus/Old Port/Ines", 'http://bus/{{line}} "q" \\ $1', 150_000_000)
+    specs = F.expr("array(named_struct('key', 'third', 'value', '$.trip.stops[2].at'), named_struct('key', 'no', 'value', '$.none'))")
+    trip = '{"trip": {"stops": [{"at": "quay"}, {"at": "mill"}, {"at": "fort"}]}}'
+    got = one.select(T.return_values(F.lit(trip), specs).alias("m")).first().m
+    assert got == {"third": "fort"}
+
+
+def test_names_declared_twice_do_not_fail(spark):
+    entries = F.expr("array(named_struct('key', 'a', 'value', '1'), named_struct('key', 'b', 'value', '2'), named_struct('key', 'a', 'value', '3'), named_struct('key', null, 'value', '4'))")
+    old = F.create_map(F.lit("a"), F.lit("0"), F.lit("z"), F.lit("9"))
+    row = spark.range(1).select(W.last_wins(entries).alias("m"), W.overlaid(old, W.last_wins(entries)).alias("o")).first()
+    assert row.m == {"a": "3", "b": "2"} and row.o == {"a": "3", "b": "2", "z": "9"}
 
 
 def test_draws(spark):
@@ -191,10 +199,10 @@ def test_broken_references_with_a_hot_key(spark):
 
 
 def test_cdc_envelope(spark):
-    after = '{"_id": {"$oid": "64"}, "user_id": {"$numberLong": "12"}}'
-    doc = {"payload": {"before": None, "after": after, "source": {"db": "user", "collection": "user"}, "op": "c", "ts_ms": 1681926011422}}
-    gone = {"payload": {"before": '{"a": 1}', "after": None, "source": {"collection": "user"}, "op": "d", "ts_ms": 1}}
-    empty = {"payload": {"before": None, "after": None, "source": {"collection": "user"}, "op": "d", "ts_ms": 1}}
+    after = '{"_id": {"$oid": "5f"}, "shelf": {"$numberLong": "31"}}'
+    doc = {"payload": {"before": None, "after": after, "source": {"db": "stock", "collection": "shelves"}, "op": "c", "ts_ms": 1700000123456}}
+    gone = {"payload": {"before": '{"a": 1}', "after": None, "source": {"collection": "shelves"}, "op": "d", "ts_ms": 1}}
+    empty = {"payload": {"before": None, "after": None, "source": {"collection": "shelves"}, "op": "d", "ts_ms": 1}}
     df = spark.createDataFrame([(json.dumps(d), n) for n, d in enumerate((doc, gone, empty))], "value string, seq long")
     got = {r.seq: (r.type, r.content, r.us) for r in cdc_events(df).select("*", F.unix_micros("ts").alias("us")).collect()}
-    assert got == {0: ("user.c", after, 1681926011422000), 1: ("user.d", '{"a": 1}', 1000)}
+    assert got == {0: ("shelves.c", after, 1700000123456000), 1: ("shelves.d", '{"a": 1}', 1000)}
