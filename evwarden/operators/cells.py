@@ -46,8 +46,23 @@ def _cold(keys: list[str]) -> Column:
     ).cast("long")
 
 
-def assign_cells(ev: DataFrame, keys: list[str], opts: CellOptions) -> tuple[DataFrame, bool]:
-    """Adds ``cell``: -1 for ordinary keys, 0, 1, … in time order for hot ones."""
+# Added to slices of time so that none is negative, whatever the era.
+_ERA = 1 << 40
+_SLICES_PER_LIMIT = 1024
+
+
+def time_slices(ev: DataFrame, within_us: int | None, opts: CellOptions) -> DataFrame:
+    """Adds ``cell`` for patterns without a key: slices of time, a thousandth of the limit wide, not counted first."""
+    width = max(opts.grain_us, (within_us or 3_600_000_000) // _SLICES_PER_LIMIT)
+    return ev.withColumn("cell", F.floor(F.col("us") / F.lit(width)).cast("long") + F.lit(_ERA))
+
+
+def assign_cells(
+    ev: DataFrame, keys: list[str], opts: CellOptions, within_us: int | None = None
+) -> tuple[DataFrame, bool]:
+    """Adds ``cell``: -1 for ordinary keys, 0, 1, … in time order for hot ones; slices of time if there is no key."""
+    if not keys and opts.enabled:
+        return time_slices(ev, within_us, opts), True
     hot, n_hot = _hot_keys(ev, keys, opts)
     if not n_hot:
         return ev.withColumn("cell", _cold(keys)), False

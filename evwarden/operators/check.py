@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evwarden.model import Invariant
 from evwarden.operators.cells import CellOptions
-from evwarden.operators.joins import loop_matches, loopable, pair_matches, pairable
+from evwarden.operators.joins import loop_matches, loopable, pair_matches, pairable, tail_matches, tailable
 from evwarden.operators.project import Layout, shared_layouts
 from evwarden.operators.scan import Chain, key_signature, look_ahead, scan_matches, scannable
 from evwarden.operators.sweep import sweep_matches
@@ -39,7 +39,7 @@ def find_matches(
     """
     if strategy not in ("auto", "scan", "joins", "sweep"):
         raise ValueError("strategy must be 'auto', 'scan', 'joins' or 'sweep'")
-    if strategy == "joins" and not (pairable(inv) or loopable(inv)):
+    if strategy == "joins" and not (pairable(inv) or loopable(inv) or tailable(inv)):
         raise ValueError(f"invariant {inv.name!r} needs another strategy than joins")
     if strategy == "scan" and not scannable(inv):
         raise ValueError(f"invariant {inv.name!r} needs the sweep strategy")
@@ -51,6 +51,8 @@ def find_matches(
         found = pair_matches(events, inv, layout, open_until)
     elif strategy != "sweep" and loopable(inv):
         found = loop_matches(events, inv, layout, cells, open_until)
+    elif strategy != "sweep" and tailable(inv):
+        found = tail_matches(events, inv, layout, cells, open_until)
     else:
         found = sweep_matches(events, inv, layout, cells, open_until)
     return bindings(found, inv, layout)

@@ -34,6 +34,11 @@ def loopable(inv: Invariant) -> bool:
     return _without_loop(inv) is not None
 
 
+def tailable(inv: Invariant) -> bool:
+    """Steps that are told from the rest by their own events alone, and a last one with any predicates."""
+    return _without_last(inv) is not None
+
+
 def _keyed(events: DataFrame, layout: Layout, classes: list) -> tuple[DataFrame, list[str], Column]:
     keys = [f"k{n}" for n in range(len(classes))]
     ev = project_events(events, layout)
@@ -178,3 +183,60 @@ def loop_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOp
     out = joined.groupBy(*fixed).agg(held)
     mask = F.when(F.size("s1") > 0, F.col("bound").bitwiseOR(F.lit(2).cast("bigint"))).otherwise(F.col("bound"))
     return out.withColumn("bound", mask)
+
+
+def _without_last(inv: Invariant) -> Invariant | None:
+    """The invariant of all steps but the last, if a scan can answer it."""
+    if len(inv.steps) < 3 or len(inv.positive) < len(inv.steps) or inv.all_matches or inv.within_us is None:
+        return None
+    if any(s.loop for s in inv.steps) or not _tail_keys(inv):
+        return None
+    where = [t for terms in inv.step_terms[:-1] for t in terms]
+    try:
+        head = Invariant(inv.name, inv.aliases, inv.steps[:-1], inv.within, where, where_eval="eager")
+    except InvariantError:
+        return None
+    placed = [{id(t) for t in ts} for ts in head.step_terms] == [{id(t) for t in ts} for ts in inv.step_terms[:-1]]
+    return head if placed and scannable(head) else None
+
+
+def _tail_keys(inv: Invariant) -> list[tuple]:
+    """(member of the last step, earlier member) of the equalities that tie the last step to others."""
+    return [pair for t in inv.step_terms[-1] if (pair := inv._equality(t, len(inv.steps) - 1)) is not None]
+
+
+def tail_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: int | None) -> DataFrame:
+    """Matches whose last step alone is tied to others: a scan of the steps before it, then a join for the first event that fits."""
+    head, last = _without_last(inv), len(inv.steps) - 1
+    ties = _tail_keys(inv)
+    keys = [f"k{n}" for n in range(len(ties))]
+    found = scan_matches(events, head, Layout(head, layout.columns), opts, None)
+    slots = [f"s{i}" for i in range(last)]
+    whole = F.struct("us", "seq", "type", *layout.slot_members(last)).cast(layout.slot_type(last))
+    later = project_events(events, layout).filter(fits(layout, last)).select(
+        *[F.col(layout.of(here)).alias(k) for k, (here, _) in zip(keys, ties)], whole.alias("e"), _bucket(F.col("us"), inv.within_us).alias("bucket")
+    )
+    own = [F.when(F.col("kind") == "full", F.col(f"s{inv.step_of[there.alias]}")[layout.of(there)]).alias(k) for k, (_, there) in zip(keys, ties)]
+    spread = found.select(*own, "*", _buckets(F.col("start_us"), inv.within_us).alias("bucket"))
+
+    def side(s):
+        if isinstance(s, Literal):
+            return F.lit(_literal(s))
+        step = inv.step_of[s.alias]
+        return F.col("e" if step == last else f"s{step}").getField(layout.of(s))
+
+    local = local_terms(inv, last)
+    fit = (_at("e") > _at(f"s{last - 1}")) & (F.col("e")["us"] < F.col("start_us") + F.lit(inv.within_us))
+    for term in inv.step_terms[last]:
+        if not any(term is t for t in local):
+            fit = fit & to_column(term, lambda c: compare(c.op, side(c.left), side(c.right)))
+    fixed = ["start_us", "start_seq", "bound", *slots]
+    met = spread.join(later, [*keys, "bucket"], "left").groupBy(*fixed).agg(F.min(F.when(fit, F.col("e"))).alias(f"s{last}"))
+    end, full = F.col(f"s{last}"), F.col(f"s{last}").isNotNull()
+    limit = F.col("start_us") + F.lit(inv.within_us)
+    out = met.select(
+        F.when(full, "full").otherwise("timeout").alias("kind"), "start_us", "start_seq", F.when(full, end["us"]).otherwise(limit).alias("end_us"),
+        end["seq"].alias("end_seq"), F.when(full, F.col("bound").bitwiseOR(F.lit(1 << last).cast("bigint"))).otherwise(F.col("bound")).alias("bound"),
+        *slots, f"s{last}",
+    )
+    return out if open_until is None else out.filter((F.col("kind") == "full") | (F.col("end_us") <= F.lit(open_until)))

@@ -81,7 +81,8 @@ def look_ahead(events: DataFrame, chains: Sequence[Chain], opts: CellOptions) ->
     is_start = _any([c.role(0) for c in chains])
     if all(len(c.inv.steps) == 1 for c in chains):
         return ev.filter(is_start)
-    ev, split = assign_cells(ev, keys, opts)
+    limits = [c.inv.within_us for c in chains]
+    ev, split = assign_cells(ev, keys, opts, None if None in limits else max(limits))
     ahead = (
         Window.partitionBy(*keys, "cell")
         .orderBy(F.desc("us"), F.desc("seq"))

@@ -9,7 +9,7 @@ import pytest
 
 import naive
 from evwarden import DEFAULT, Alias, CellOptions, Invariant, Not, Or, Plus, Star, attr, check_all, find_matches
-from evwarden.operators.joins import loopable, pairable
+from evwarden.operators.joins import loopable, pairable, tailable
 from evwarden.operators.scan import key_signature, scannable
 from evwarden.sources.events import memory_events
 
@@ -37,6 +37,8 @@ SPECS = {
     "chain": dict(seq=["a", "b", Not("d"), "c", Not("a2")], where=[*on_key("b", "c", "d", "a2"), V["c"] > 2]),
     "theta": dict(seq=["a", "b"], where=[*on_key("b"), V["b"] > V["a"]]),
     "theta_or": dict(seq=["a", Not("c"), "b"], where=[(V["b"] > V["a"]) | (attr("b.s") == attr("a.s")), V["c"] != V["a"]]),
+    "three": dict(seq=["a", "b", "c"], where=[*on_key("b", "c"), V["b"] > 3]),
+    "tail": dict(seq=["a", "b", "c"], where=[K["a"] == K["c"], V["c"] > V["b"]]),
     "plus": dict(seq=["a", Plus("b"), "c"], where=[*on_key("b", "c"), V["b"] > 3]),
     "star": dict(seq=["a", Star("b"), Not("d"), "c"], where=[*on_key("b", "c", "d")]),
     "plus_or": dict(seq=["a", Not("d"), Plus("b", "c"), "a2"], where=[*on_key("b", "a2", "d")]),
@@ -73,7 +75,7 @@ def test_strategies_agree(spark, name, where_eval):
     if scannable(inv):
         runs += [("scan", CellOptions()), ("scan", CellOptions(cell_rows=25, grain_us=3000))]
 
-    if pairable(inv) or loopable(inv):
+    if pairable(inv) or loopable(inv) or tailable(inv):
         runs += [("joins", CellOptions()), ("joins", CellOptions(cell_rows=25, grain_us=3000))]
 
     def rows_of(run):
