@@ -191,10 +191,14 @@ def transaction_plans(transactions: DataFrame, operations: DataFrame) -> DataFra
 
 
 def requests(
-    bound: DataFrame, transactions: DataFrame, operations: DataFrame, seed: int, spread: int | None = None
+    bound: DataFrame, transactions: DataFrame, operations: DataFrame, seed: int, spread: int | None = None,
+    responses: DataFrame | None = None,
 ) -> DataFrame:
     """One row per operation of every transaction: rendered, or with the names that are missing.
 
+    ``responses(workload, tx_ref, ordinal, op_index, name, value)`` holds what operations returned. An operation sees
+    the latest value of each name that an earlier operation of its transaction returned; it replaces a bound value.
+
     Definitions are joined among themselves first; the join with ``bound`` names
     no strategy, so Spark broadcasts them only after looking at their size.  The
     table itself is then made without a shuffle.  ``spread`` deals the bound
@@ -219,6 +223,8 @@ def requests(
         missing_arguments(F.col("tx_arguments"), F.col("values")).alias("tx_missing"),
         F.explode(F.transform("ops", with_offset)).alias("o"),
     ).select("*", "o.offset_us", "o.op.*").drop("o")
+    if responses is not None:
+        rows = _with_returned(rows, responses)
     rows = rows.withColumn(
         "op_values",
         overlaid("values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index")),
@@ -231,6 +237,18 @@ def requests(
     )
 
 
+def _with_returned(rows: DataFrame, responses: DataFrame) -> DataFrame:
+    """Operations with what earlier ones of their transaction returned among their values."""
+    given = responses.select(*_IDS, F.col("op_index").alias("_from"), "name", F.col("value").cast("string").alias("value"))
+    asked = rows.select(*_IDS, "op_index")
+    seen = asked.join(given, _IDS).filter("_from < op_index and name is not null")
+    latest = seen.groupBy(*_IDS, "op_index", "name").agg(F.max_by("value", "_from").alias("value"))
+    maps = latest.groupBy(*_IDS, "op_index").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_returned"))
+    both = rows.join(maps, [*_IDS, "op_index"], "left")
+    values = F.when(F.col("_returned").isNull(), F.col("values")).otherwise(overlaid("values", F.col("_returned")))
+    return both.withColumn("values", values).drop("_returned")
+
+
 def render(rows: DataFrame, values: Column) -> DataFrame:
     """Adds the rendered parts of an operation; null where a value is missing."""
     declared = F.coalesce(

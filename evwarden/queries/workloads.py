@@ -132,6 +132,24 @@ def value_visible(spark: SparkSession, sf: str) -> DataFrame:
     return W.visible_values(wanted, _returned(spark, sf), ["conv_id"])
 
 
+def returned_into_request(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as transactions of two operations; the second one's URL holds what the first one returned."""
+    ops = S.parse(_texts(spark, "op", [
+        '{"templateId": "ask", "type": "http", "httpMethod": "get", "url": "http://chat/ask"}',
+        '{"templateId": "tell", "type": "http", "httpMethod": "get", "url": "http://chat/{{role}}/{{chars}}", '
+        '"arguments": [{"name": "role", "type": "string"}, {"name": "chars", "type": "number"}]}',
+    ]), "op")
+    txs = S.parse(_texts(spark, "tx", [
+        '{"templateId": "talk", "operations": [{"operationReferenceId": "ask", "id": "o1"}, {"operationReferenceId": "tell", "id": "o2"}]}'
+    ]), "tx")
+    ids = [F.lit("chat").alias("workload"), F.lit("t").alias("tx_ref"), F.col("conv_id").alias("ordinal")]
+    bound = table(spark, sf, "conversations").select("conv_id").distinct().select(
+        *ids, F.lit("talk").alias("transaction"), F.create_map(F.lit("chars"), F.lit("none")).alias("values"))
+    responses = _returned(spark, sf).select(*ids, "op_index", "name", "value")
+    out = W.requests(bound, txs, ops, seed=1, responses=responses)
+    return out.select(F.col("ordinal").alias("conv_id"), "operation_ref", F.col("request_url").alias("url"), F.size("missing").alias("n_missing"))
+
+
 def sleep_offsets(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(
         F.lit("w").alias("workload"), F.col("conv_id").alias("tx_ref"), F.lit(0).alias("ordinal"), F.col("turn").alias("op_index"),
@@ -225,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gen_expand, gen_uniform, gen_counter, gen_zipf, gen_guid, bind_values, schedule_order, render_template, value_fold,
-        value_visible, sleep_offsets, definition_checks, request_table, cdc_read, ref_integrity,
+        value_visible, returned_into_request, sleep_offsets, definition_checks, request_table, cdc_read, ref_integrity,
     )
 }
 
@@ -297,6 +315,11 @@ ORACLES = {
         f"WITH {_VALS} SELECT conv_id, 'odd' AS name, turn AS op_index, CAST(max(odd) OVER (PARTITION BY conv_id ORDER BY turn "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS VARCHAR) AS value FROM r"
     ),
+    "returned_into_request": (
+        "SELECT DISTINCT conv_id, 'o1' AS operation_ref, 'http://chat/ask' AS url, 0 AS n_missing FROM conversations UNION ALL "
+        "SELECT c.conv_id, 'o2', 'http://chat/' || f.role || '/' || length(f.text), CASE WHEN f.role IS NULL THEN 1 ELSE 0 END "
+        "FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) f USING (conv_id)"
+    ),
     "sleep_offsets": (
         f"WITH {_VALS}, s AS (SELECT conv_id, turn, chars * CASE WHEN role = 'user' THEN 1000 ELSE 1000000 END AS us FROM r) "
         "SELECT conv_id, turn, CAST(coalesce(sum(us) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_us FROM s"
