@@ -99,7 +99,7 @@ def zipf(df: DataFrame, raw: str, ranks: int, out: str, exponent: float = 1.0) -
     """
     slots = max(ranks, 64)
     table = zipf_table(df.sparkSession, ranks, exponent)
-    total = F.lit(table.agg(F.max("high")).first()[0])
+    total = table.agg(F.max("high")).scalar()
 
     def slot(at: Column) -> Column:
         return F.floor(at * F.lit(slots) / total).cast("bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evwarden.model import Invariant
@@ -14,15 +14,7 @@ from evwarden.operators.joins import loop_matches, loopable, pair_matches, paira
 from evwarden.operators.project import Layout, shared_layouts
 from evwarden.operators.scan import Chain, key_signature, look_ahead, scan_matches, scannable
 from evwarden.operators.sweep import sweep_matches
-from evwarden.operators.verdict import (
-    RECORD,
-    as_records,
-    binding_columns,
-    bindings,
-    match_text,
-    violated,
-    violations,
-)
+from evwarden.operators.verdict import as_records, bindings, records_together, violations
 
 
 def find_matches(
@@ -58,10 +50,11 @@ def find_matches(
     return bindings(found, inv, layout)
 
 
-def _open_until(events: DataFrame, end_of_input: str) -> int | None:
+def _open_until(events: DataFrame, end_of_input: str) -> Column | None:
+    """The latest time of the input, as a subquery of the plan."""
     if end_of_input not in ("flush", "open"):
         raise ValueError("end_of_input must be 'flush' or 'open'")
-    return None if end_of_input == "flush" else events.agg(F.max(F.unix_micros("ts"))).first()[0]
+    return None if end_of_input == "flush" else events.agg(F.max(F.unix_micros("ts"))).scalar()
 
 
 def check(events: DataFrame, inv: Invariant, **options) -> DataFrame:
@@ -98,37 +91,16 @@ def check_all(
 
 
 def _check_together(
-    events: DataFrame, invariants: Sequence[Invariant], open_until: int | None, cells: CellOptions
+    events: DataFrame, invariants: Sequence[Invariant], open_until: Column | None, cells: CellOptions
 ) -> DataFrame:
     layouts = shared_layouts(invariants)
     chains = [Chain(inv, layout, f"_{n}_") for n, (inv, layout) in enumerate(zip(invariants, layouts))]
     starts = look_ahead(events, chains, cells)
 
-    def within(name: str):
-        return lambda field: F.col(name).getField(field)
-
     matches = starts.select(
         *[
             F.struct(*[c.alias(n) for n, c in chain.match_columns(open_until).items()]).alias(f"match{n}")
             for n, chain in enumerate(chains)
         ]
     )
-    bound = matches.select(
-        *[
-            F.struct(*binding_columns(c.inv, c.layout, within(f"match{n}"))).alias(f"bound{n}")
-            for n, c in enumerate(chains)
-        ]
-    )
-    records = F.array(
-        *[
-            F.when(
-                violated(c.inv, within(f"bound{n}")),
-                F.struct(
-                    *[F.col(f"bound{n}").getField(f).alias(f) for f in RECORD],
-                    match_text(c.inv, within(f"bound{n}")).alias("match"),
-                ),
-            )
-            for n, c in enumerate(chains)
-        ]
-    )
-    return bound.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return records_together(matches, [(c.inv, c.layout) for c in chains])

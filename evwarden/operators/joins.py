@@ -73,7 +73,7 @@ def _at(slot: str) -> Column:
     return F.struct(F.col(slot)["us"], F.col(slot)["seq"])
 
 
-def pair_matches(events: DataFrame, inv: Invariant, layout: Layout, open_until: int | None) -> DataFrame:
+def pair_matches(events: DataFrame, inv: Invariant, layout: Layout, open_until: Column | None) -> DataFrame:
     """Full and timed-out matches of a two-step invariant; each start with its first fitting event, or with all of them."""
     classes = inv.key_classes()
     ev, keys, known = _keyed(events, layout, classes)
@@ -119,7 +119,7 @@ def pair_matches(events: DataFrame, inv: Invariant, layout: Layout, open_until:
     full = F.col("b").isNotNull()
     waited = F.lit(limit is not None)
     if limit is not None and open_until is not None:
-        waited = limit <= F.lit(open_until)
+        waited = limit <= open_until
     kind = F.when(F.col("killed"), None).when(full, "full").when(waited, "timeout")
     return met.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
         "kind", F.col("a")["us"].alias("start_us"), F.col("a")["seq"].alias("start_seq"),
@@ -158,7 +158,7 @@ def _without_loop(inv: Invariant) -> Invariant | None:
     return plain if placed and scannable(plain) and len(plain.key_classes()) == len(inv.key_classes()) else None
 
 
-def loop_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: int | None) -> DataFrame:
+def loop_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: Column | None) -> DataFrame:
     """Matches of ``start, loop, end``: the scan finds first event and end of the loop, a join brings its events."""
     plain = _without_loop(inv)
     star = inv.steps[1].kind == STAR
@@ -205,7 +205,7 @@ def _tail_keys(inv: Invariant) -> list[tuple]:
     return [pair for t in inv.step_terms[-1] if (pair := inv._equality(t, len(inv.steps) - 1)) is not None]
 
 
-def tail_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: int | None) -> DataFrame:
+def tail_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: Column | None) -> DataFrame:
     """Matches whose last step alone is tied to others: a scan of the steps before it, then a join for the first event that fits."""
     head, last = _without_last(inv), len(inv.steps) - 1
     ties = _tail_keys(inv)
@@ -239,4 +239,4 @@ def tail_matches(events: DataFrame, inv: Invariant, layout: Layout, opts: CellOp
         end["seq"].alias("end_seq"), F.when(full, F.col("bound").bitwiseOR(F.lit(1 << last).cast("bigint"))).otherwise(F.col("bound")).alias("bound"),
         *slots, f"s{last}",
     )
-    return out if open_until is None else out.filter((F.col("kind") == "full") | (F.col("end_us") <= F.lit(open_until)))
+    return out if open_until is None else out.filter((F.col("kind") == "full") | (F.col("end_us") <= open_until))

@@ -55,7 +55,7 @@ def key_signature(inv: Invariant) -> tuple | None:
 
 
 def scan_matches(
-    events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: int | None
+    events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: Column | None
 ) -> DataFrame:
     """Full and timed-out matches, one row per start."""
     chain = Chain(inv, layout)
@@ -201,7 +201,7 @@ class Chain:
             out = out.withColumn(self._n("nx", second), F.coalesce(filled, F.col(self._n("cnx", second))))
         return out
 
-    def match_columns(self, open_until: int | None) -> dict[str, Column]:
+    def match_columns(self, open_until: Column | None) -> dict[str, Column]:
         """The match of a start row; ``kind`` is null if there is none.
 
         Applies the limit, the negations and the terms on earlier steps to the chain.
@@ -245,7 +245,7 @@ class Chain:
         waited = F.lit(True) if inv.trailing_negation else ~complete
         decided = complete if limit is None else complete | ~killed
         if limit is not None and open_until is not None:
-            decided = decided & (~waited | (limit <= F.lit(open_until)))
+            decided = decided & (~waited | (limit <= open_until))
         mask = F.lit(0).cast("long")
         for i in inv.positive:
             mask = mask + F.when(bound[i], F.lit(1 << i)).otherwise(F.lit(0))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evwarden.model import Invariant
@@ -35,7 +35,7 @@ def match_type(inv: Invariant, layout: Layout) -> str:
 
 
 def sweep_matches(
-    events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: int | None
+    events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: Column | None
 ) -> DataFrame:
     classes = inv.key_classes()
     keys = [f"k{n}" for n in range(len(classes))]
@@ -52,7 +52,7 @@ def sweep_matches(
     ev = ev.repartition(*order).sortWithinPartitions(*order, "us", "seq")
     matches = ev.mapInArrow(_matcher(inv, layout, order), match_type(inv, layout))
     if open_until is not None:
-        matches = matches.filter(F.col("end_seq").isNotNull() | (F.col("end_us") <= F.lit(open_until)))
+        matches = matches.filter(F.col("end_seq").isNotNull() | (F.col("end_us") <= open_until))
     return matches
 
 

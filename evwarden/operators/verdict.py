@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,3 +111,24 @@ def as_records(found: DataFrame, inv: Invariant) -> DataFrame:
 
 def match_text(inv: Invariant, col: Callable[[str], Column] = F.col) -> Column:
     return F.to_json(F.struct(*[col(a).alias(a) for i in inv.positive for a in inv.steps[i].aliases]))
+
+
+def records_together(matches: DataFrame, patterns: Sequence[tuple[Invariant, Layout]]) -> DataFrame:
+    """The records of several invariants from rows with a match, or null, of each: columns ``match0``, ``match1``, …."""
+
+    def within(name: str) -> Callable[[str], Column]:
+        return lambda field: F.col(name).getField(field)
+
+    bound = matches.select(
+        *[F.struct(*binding_columns(inv, layout, within(f"match{n}"))).alias(f"bound{n}") for n, (inv, layout) in enumerate(patterns)]
+    )
+    records = F.array(
+        *[
+            F.when(
+                violated(inv, within(f"bound{n}")),
+                F.struct(*[F.col(f"bound{n}").getField(f).alias(f) for f in RECORD], match_text(inv, within(f"bound{n}")).alias("match")),
+            )
+            for n, (inv, _) in enumerate(patterns)
+        ]
+    )
+    return bound.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")

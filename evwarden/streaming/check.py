@@ -19,14 +19,14 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from evwarden.model import Invariant, InvariantError
 from evwarden.operators.advance import Frontier, Open
-from evwarden.operators.project import Layout, behind_watermark, fits, key_columns, project_events
-from evwarden.operators.verdict import as_records, bindings, violations
+from evwarden.operators.project import Layout, behind_watermark, fits, key_columns, project_events, shared_layouts
+from evwarden.operators.verdict import as_records, bindings, records_together, violations
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _NULL_KEY_SALTS = 1024
@@ -50,34 +50,47 @@ def match_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds",
     stamped = events.withWatermark("ts", lateness)
     if len(inv.steps) == 1:
         return bindings(_single(stamped, inv, layout), inv, layout)
-    classes = inv.key_classes()
+    raw = _matched(stamped, [(inv, layout)], salts)
+    return bindings(raw.select(*_HEAD, *_slots(inv, layout)), inv, layout)
+
+
+_HEAD = ["kind", "start_us", "start_seq", "end_us", "end_seq", "bound"]
+Pattern = tuple[Invariant, Layout]
+
+
+def _slots(inv: Invariant, layout: Layout) -> list[Column]:
+    kinds = {i: f"array<{layout.slot_type(i)}>" if inv.steps[i].loop else layout.slot_type(i) for i in inv.positive}
+    return [F.from_json(f"s{i}", kind).alias(f"s{i}") for i, kind in kinds.items()]
+
+
+def _matched(stamped: DataFrame, patterns: Sequence[Pattern], salts: int) -> DataFrame:
+    """Raw matches of invariants with the same key members: one shuffle, one buffer of events, one state for each key."""
+    first, layout = patterns[0]
+    classes = first.key_classes()
     keys = [f"k{n}" for n in range(len(classes))]
-    ev = project_events(stamped, layout, keep=["ts"])
+    types = sorted({t for inv, _ in patterns for t in inv.types})
+    ev = project_events(stamped, layout, keep=["ts"], types=types)
     ev = ev.select("*", *[c.alias(k) for k, c in zip(keys, key_columns(layout, classes))])
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
-    start, later = fits(layout, 0), F.lit(False)
-    for i in range(1, len(inv.steps)):
-        later = later | (fits(layout, i) & keyed)
+    start, later = F.lit(False), F.lit(False)
+    for inv, own in patterns:
+        start = start | fits(own, 0)
+        for i in range(1, len(inv.steps)):
+            later = later | (fits(own, i) & keyed)
     ev = ev.filter(behind_watermark(start | later))
     mine = F.pmod(F.xxhash64("us", "seq"), F.lit(salts)).cast("int")
     lonely = F.lit(-1) - F.pmod(F.xxhash64("us", "seq"), F.lit(_NULL_KEY_SALTS)).cast("int")
     targets = F.when(~keyed, F.array(lonely)).when(later, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(mine))
     ev = ev.withColumn("mine", mine).withColumn("salt", F.explode(targets))
     ev = ev.withColumn("own", (F.col("salt") < 0) | (F.col("salt") == F.col("mine"))).drop("mine")
-    raw = ev.groupBy(*keys, "salt").transformWithStateInPandas(
-        statefulProcessor=MatchProcessor(inv, layout),
-        outputStructType=_raw_schema(inv),
+    return ev.groupBy(*keys, "salt").transformWithStateInPandas(
+        statefulProcessor=MatchProcessor(patterns),
+        outputStructType=_raw_schema(patterns),
         outputMode="Append",
         timeMode="EventTime",
     )
-    slots = []
-    for i in inv.positive:
-        t = layout.slot_type(i)
-        slots.append(F.from_json(f"s{i}", f"array<{t}>" if inv.steps[i].loop else t).alias(f"s{i}"))
-    head = ["kind", "start_us", "start_seq", "end_us", "end_seq", "bound"]
-    return bindings(raw.select(*head, *slots), inv, layout)
 
 
 def check_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds", salts: int = 1) -> DataFrame:
@@ -88,12 +101,37 @@ def check_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds",
 def check_streams(
     events: DataFrame, invariants: Sequence[Invariant], lateness: str = "5 seconds", salts: int = 1
 ) -> DataFrame:
-    """Violations of several invariants as one stream, the match as JSON text; one query, one checkpoint."""
+    """Violations of several invariants as one stream, the match as JSON text; one query, one checkpoint.
+
+    Invariants with the same key members share the read, the shuffle and the state operator.
+    """
     if not invariants:
         raise ValueError("no invariants given")
-    return reduce(
-        DataFrame.unionByName, [as_records(check_stream(events, inv, lateness, salts), inv) for inv in invariants]
-    )
+    shared: dict[tuple, list[Invariant]] = {}
+    for n, inv in enumerate(invariants):
+        shared.setdefault(_signature(inv) or ("alone", n), []).append(inv)
+    found = []
+    for group in shared.values():
+        if len(group) == 1:
+            found.append(as_records(check_stream(events, group[0], lateness, salts), group[0]))
+            continue
+        if any(inv.within_us is None for inv in group):
+            raise InvariantError("a stream needs a time limit, or its state grows for ever")
+        patterns = list(zip(group, shared_layouts(group)))
+        raw = _matched(events.withWatermark("ts", lateness), patterns, salts)
+        matches = raw.select(
+            *[F.when(F.col("n") == n, F.struct(*_HEAD, *_slots(inv, own))).alias(f"match{n}") for n, (inv, own) in enumerate(patterns)]
+        )
+        found.append(records_together(matches, patterns))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _signature(inv: Invariant) -> tuple | None:
+    """The members that every event of a match shares; invariants with the same ones can share a state."""
+    members = [{(ref.path, inv.member_type(ref)) for ref in chosen} for chosen in inv.key_classes()]
+    if len(inv.steps) == 1 or not members or any(len(m) != 1 for m in members):
+        return None
+    return tuple(sorted(next(iter(m)) for m in members))
 
 
 def _single(events: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
@@ -106,19 +144,20 @@ def _single(events: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
     )
 
 
-def _raw_schema(inv: Invariant) -> str:
-    head = "kind string, start_us bigint, start_seq bigint, end_us bigint, end_seq bigint, bound bigint"
-    return ", ".join([head, *[f"s{i} string" for i in inv.positive]])
+def _raw_schema(patterns: Sequence[Pattern]) -> str:
+    head = "n int, kind string, start_us bigint, start_seq bigint, end_us bigint, end_seq bigint, bound bigint"
+    return ", ".join([head, *[f"s{i} string" for i in range(max(len(inv.steps) for inv, _ in patterns))]])
 
 
 class MatchProcessor(StatefulProcessor):
-    """Buffered events and open matches of one key."""
+    """Buffered events of one key, and the open matches of each invariant."""
 
-    def __init__(self, inv: Invariant, layout: Layout):
-        self.inv, self.layout = inv, layout
-        self.columns = ["us", "seq", "type", *layout.columns.values(), "own"]
+    def __init__(self, patterns: Sequence[Pattern]):
+        self.patterns = list(patterns)
+        columns = patterns[0][1].columns
+        self.columns = ["us", "seq", "type", *columns.values(), "own"]
         kinds = {"number": pa.float64(), "bool": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
-        members = [(c, kinds.get(kind, pa.string())) for (_, kind), c in layout.columns.items()]
+        members = [(c, kinds.get(kind, pa.string())) for (_, kind), c in columns.items()]
         self.schema = pa.schema(
             [("us", pa.int64()), ("seq", pa.int64()), ("type", pa.string()), *members, ("own", pa.bool_())]
         )
@@ -126,67 +165,90 @@ class MatchProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffered = handle.getListState("buffered", "chunk binary")
-        self.frontier = handle.getValueState("frontier", "blob binary")
+        self.frontiers = [handle.getValueState(f"frontier{n}", "blob binary") for n in range(len(self.patterns))]
+
+    def _wake(self, ms: int) -> None:
+        """One timer for a key, the earliest: a later one gives way."""
+        standing = list(self.handle.listTimers())
+        if standing and min(standing) <= ms:
+            return
+        for timer in standing:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         # Spark filters late rows by the watermark of the batch before; what the matcher has passed is late already.
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        earliest = None
         for pdf in rows:
             pdf = pdf[pdf["us"] >= passed_us]
             if len(pdf):
                 chunk = pa.Table.from_pandas(pdf[self.columns], schema=self.schema, preserve_index=False)
                 self.buffered.appendValue((_to_bytes(chunk),))
-                self.handle.registerTimer(int(pdf["us"].min()) // 1000 + 1)
+                first = int(pdf["us"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        frontier = self._load()
         chunks = [_from_bytes(row[0]) for row in self.buffered.get()]
         waiting = pa.concat_tables(chunks).combine_chunks() if chunks else self.schema.empty_table()
         us = waiting["us"].to_numpy()
-        ready = waiting.filter(pa.array(us < now_us)).sort_by([("us", "ascending"), ("seq", "ascending")])
+        ready = waiting.filter(pa.array(us < now_us)).sort_by([("us", "ascending"), ("seq", "ascending")]).combine_chunks()
+        wakes = []
         if ready.num_rows:
-            ready = ready.combine_chunks()
-            frontier.push(
-                ready.drop_columns(["own"]), np.zeros(ready.num_rows, dtype=np.int64), ready["own"].to_numpy()
-            )
             rest = waiting.filter(pa.array(us >= now_us)).combine_chunks()
             if rest.num_rows:
                 self.buffered.put([(_to_bytes(rest),)])
-                self.handle.registerTimer(int(rest["us"].to_numpy().min()) // 1000 + 1)
             else:
                 self.buffered.clear()
-        frontier.expire(frontier.open.limit <= now_us)
-        found = frontier.drain()
-        if ready.num_rows or found.num_rows:
-            frontier.compact()
-            self._store(frontier)
+            us = rest["us"].to_numpy()
+        if len(us):
+            wakes.append(int(us.min()) // 1000 + 1)
+        out = []
+        for n in range(len(self.patterns)):
+            frontier = self._load(n)
+            if ready.num_rows:
+                frontier.push(ready.drop_columns(["own"]), np.zeros(ready.num_rows, dtype=np.int64), ready["own"].to_numpy())
+            frontier.expire(frontier.open.limit <= now_us)
+            found = frontier.drain()
+            if ready.num_rows or found.num_rows:
+                frontier.compact()
+                self._store(n, frontier)
             if len(frontier.open):
-                self.handle.registerTimer(-(-int(frontier.open.limit.min()) // 1000))
-        return iter([self._rows(found)] if found.num_rows else [])
+                wakes.append(-(-int(frontier.open.limit.min()) // 1000))
+            if found.num_rows:
+                out.append(self._rows(n, found))
+        if wakes:
+            self.handle.registerTimer(min(wakes))  # the one that has just fired is gone
+        return iter(out)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> Frontier:
-        frontier = Frontier(self.inv, self.layout)
-        if self.frontier.exists():
-            arena, fields = pickle.loads(self.frontier.get()[0])
+    def _load(self, n: int) -> Frontier:
+        frontier = Frontier(*self.patterns[n])
+        if self.frontiers[n].exists():
+            arena, fields = pickle.loads(self.frontiers[n].get()[0])
             frontier.arena, frontier.open = _from_bytes(arena), Open(**fields)
         return frontier
 
-    def _store(self, frontier: Frontier) -> None:
+    def _store(self, n: int, frontier: Frontier) -> None:
         if not len(frontier.open):
-            self.frontier.clear()
+            self.frontiers[n].clear()
             return
-        self.frontier.update((pickle.dumps((_to_bytes(frontier.arena), vars(frontier.open))),))
+        self.frontiers[n].update((pickle.dumps((_to_bytes(frontier.arena), vars(frontier.open))),))
 
-    def _rows(self, found: pa.Table) -> pd.DataFrame:
-        out = found.select(["kind", "start_us", "start_seq", "end_us", "end_seq", "bound"]).to_pandas()
+    def _rows(self, n: int, found: pa.Table) -> pd.DataFrame:
+        out = found.select(_HEAD).to_pandas()
         out["end_seq"] = out["end_seq"].astype("Int64")
-        for i in self.inv.positive:
-            out[f"s{i}"] = [None if v is None else json.dumps(v, default=_plain) for v in found[f"s{i}"].to_pylist()]
+        out.insert(0, "n", np.int32(n))
+        positive = self.patterns[n][0].positive
+        for i in range(max(len(inv.steps) for inv, _ in self.patterns)):
+            slots = found[f"s{i}"].to_pylist() if i in positive else [None] * found.num_rows
+            out[f"s{i}"] = [None if v is None else json.dumps(v, default=_plain) for v in slots]
         return out
 
 

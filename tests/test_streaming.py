@@ -9,7 +9,8 @@ from evwarden import DEFAULT, Alias, Invariant, Not, Plus, Star, attr, find_matc
 from evwarden.queries.streams import run
 from evwarden.queries.tables import MEMBERS, table
 from evwarden.sources.events import table_events
-from evwarden.streaming import match_stream, use_latest_watermark, windowed_counts
+from evwarden.sinks.violations import to_files
+from evwarden.streaming import check_stream, check_streams, match_stream, use_latest_watermark, use_rocksdb, windowed_counts
 
 AL = {n: Alias(t, MEMBERS) for n, t in (("s", "signup"), ("e", "error"), ("p", "purchase"), ("c", "click"))}
 
@@ -64,6 +65,43 @@ def test_stream_equals_batch(spark, sf, parts, name):
     assert got == rows(decided) and got
 
 
+def test_restart_loses_and_repeats_nothing(spark, sf, tmp_path):
+    """Two runs on one checkpoint give what is decided by then, each match once."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    use_rocksdb(spark)
+    inv = Invariant("restarted", AL, ["s", Not("e"), "p"], within="24 hours", where=same("e", "p"), on_full_match=False, on_prefix_match={DEFAULT: False})
+    df = table(spark, sf, "events")
+    half = df.agg(F.percentile("event_id", 0.5)).first()[0]
+    for part in (df.filter(F.col("event_id") < half), df.filter(F.col("event_id") >= half)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        found = match_stream(as_events(stream), inv, "5 seconds")
+        to_files(found, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = [(r.kind, r.start_id, r.end_id) for r in spark.read.schema(found.schema).parquet(out).collect()]
+    mark = df.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] // 1000 * 1000 - 5_000_000
+    end = F.unix_micros("end_ts")
+    every = find_matches(as_events(df), inv)
+    decided = every.filter(F.when(F.col("end_id").isNull(), end <= mark).otherwise(end < mark))
+    assert sorted(map(str, got)) == sorted(str((r.kind, r.start_id, r.end_id)) for r in decided.collect()) and got
+
+
+def test_invariants_that_share_a_state(spark, sf, parts):
+    """Together they give what each gives alone, from one stateful operator."""
+    invs = [
+        Invariant("a", AL, ["s", Not("e"), "p"], within="24 hours", where=same("e", "p"), on_full_match=attr("p.value") < 60, on_prefix_match={DEFAULT: False}),
+        Invariant("b", AL, ["s", Not("p")], within="12 hours", where=same("p"), on_full_match=False),
+        Invariant("c", AL, ["s", Plus("c"), "p"], within="48 hours", where=same("c", "p"), on_full_match=attr("c.value") < 50),
+    ]
+    schema = table(spark, sf, "events").schema
+    stream = lambda: as_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts))
+    together = check_streams(stream(), invs)
+    assert together._jdf.queryExecution().analyzed().toString().count("TransformWithState") == 1
+    record = lambda r: (r.invariant, r.kind, r.start_id, r.end_id or -1)
+    got = sorted(record(r) for r in run(spark, together, "together").collect())
+    alone = [record(r) for inv in invs for r in run(spark, check_stream(stream(), inv), inv.name).collect()]
+    assert got == sorted(alone) and len({g[0] for g in got}) == 3
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "late")
     schema = "event_type string, ts timestamp, event_id long, user_id long, value double"
