@@ -149,6 +149,6 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         & (F.col("_rule_content") == F.col("_content"))
         & F.col("_rule_host").eqNullSafe(docs[host_col])
     )
-    kept = keyed.join(verdicts, same)
+    kept = keyed.join(verdicts.hint("merge"), same)
     text = without_lines(docs[text_col], F.col("_rule_bad")).alias(text_col)
     return kept.select(*(text if c == text_col else docs[c] for c in docs.columns))

@@ -145,7 +145,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     taken = mixed(docs, id_col, text_col, source_col, **options)
     plan = stored(taken.select(F.col("id").alias("_mix_id"), F.col("copies").alias("_mix_copies")), "copies")
     counts = plan.groupBy("_mix_id").agg(F.count("*").alias("_mix_n"), F.max("_mix_copies").alias("_mix_copies"))
-    rows = docs.join(counts, F.col("_mix_id").eqNullSafe(docs[id_col]))
+    # a row for each document: no side of a known size, so texts are dealt out at every size
+    rows = docs.join(counts.hint("merge"), F.col("_mix_id").eqNullSafe(docs[id_col]))
     several = counts.where("_mix_n > 1").select(F.col("_mix_id").alias("_mix_dup"))
     numbered = plan.join(several, F.col("_mix_id").eqNullSafe(F.col("_mix_dup"))).select(
         F.col("_mix_id").alias("_mix_key"), F.col("_mix_copies").alias("_mix_own"),

@@ -182,7 +182,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.max(F.col("id").eqNullSafe(F.col("component"))).alias("first")
     ids = classes.groupBy(F.col("id").alias("_keep_id")).agg(F.count("*").alias("_keep_n"), first)
     keep = stored(ids.where("first").drop("first"), "keepers")
-    kept = docs.join(keep, F.col("_keep_id").eqNullSafe(docs[id_col]))
+    # as many keepers as groups: no side of a known size, so texts are dealt out at every size
+    kept = docs.join(keep.hint("merge"), F.col("_keep_id").eqNullSafe(docs[id_col]))
     once = kept.where("_keep_n = 1").select(*docs.columns)
     again = kept.where("_keep_n > 1").dropDuplicates([id_col]).select(*docs.columns)
     return once.unionByName(again)
