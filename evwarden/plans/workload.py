@@ -146,27 +146,24 @@ def dynamic_values(variables: Column, seed: int, *ids: Column | str) -> Column:
         )
 
     return F.coalesce(
-        last_wins(F.transform(variables, lambda v: F.struct(v["name"].alias("key"), value(v).alias("value")))),
+        F.map_from_entries(F.transform(last_named(variables), lambda v: F.struct(v["name"], value(v)))),
         F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
     )
 
 
-def last_wins(entries: Column) -> Column:
-    """A map from ``array<struct<key, value>>``: of equal names the last counts, entries without a name are left out."""
-    named = F.filter(entries, lambda e: e.getField("key").isNotNull())
-    names = F.transform(named, lambda e: e.getField("key"))
-    kept = F.filter(named, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e.getField("key")))
-    return F.map_from_entries(kept)
-
-
-def _pairs(declared: Column) -> Column:
-    return F.transform(declared, lambda d: F.struct(d["name"].alias("key"), d["type"].alias("value")))
+def last_named(items: Column, name: str = "name") -> Column:
+    """The items with a name; of those with the same name the last."""
+    names = items[name]
+    return F.filter(
+        items, lambda v, i: v[name].isNotNull() & ~F.array_contains(F.slice(names, i + 2, F.size(names)), v[name])
+    )
 
 
-def overlaid(values: Column | str, more: Column) -> Column:
-    """Both maps in one; names of the second replace those of the first."""
-    old = F.col(values) if isinstance(values, str) else values
-    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
+def with_values(rows: DataFrame, out: str, more: Column) -> DataFrame:
+    """``values`` and the map ``more`` in column ``out``; names of ``more`` replace those of ``values``."""
+    both = rows.withColumn("_more", more).withColumn("_names", F.map_keys("_more"))
+    old = F.map_filter("values", lambda k, _: ~F.array_contains("_names", k))
+    return both.withColumn(out, F.map_concat(old, F.col("_more"))).drop("_more", "_names")
 
 
 _OPERATION_FIELDS = (
@@ -206,9 +203,7 @@ def requests(
     """
     rows = bound.repartition(spread) if spread else bound
     rows = rows.join(transaction_plans(transactions, operations), "transaction")
-    rows = rows.withColumn(
-        "values", overlaid("values", dynamic_values(F.col("tx_variables"), seed, "tx_ref", "ordinal"))
-    )
+    rows = with_values(rows, "values", dynamic_values(F.col("tx_variables"), seed, "tx_ref", "ordinal"))
 
     def slept(op: Column) -> Column:
         return F.coalesce(sleep_us(render_text(op["duration"], F.col("values")), op["units"]), F.lit(0).cast("bigint"))
@@ -225,10 +220,7 @@ def requests(
     ).select("*", "o.offset_us", "o.op.*").drop("o")
     if responses is not None:
         rows = _with_returned(rows, responses)
-    rows = rows.withColumn(
-        "op_values",
-        overlaid("values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index")),
-    )
+    rows = with_values(rows, "op_values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index"))
     missing = F.concat("tx_missing", missing_arguments(F.col("arguments"), F.col("op_values")))
     return render(rows.withColumn("missing", missing), F.col("op_values")).select(
         "workload", "tx_ref", "transaction", "ordinal", "op_index", "operation_ref", "templateId", "type", "method",
@@ -244,9 +236,9 @@ def _with_returned(rows: DataFrame, responses: DataFrame) -> DataFrame:
     seen = asked.join(given, _IDS).filter("_from < op_index and name is not null")
     latest = seen.groupBy(*_IDS, "op_index", "name").agg(F.max_by("value", "_from").alias("value"))
     maps = latest.groupBy(*_IDS, "op_index").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_returned"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     both = rows.join(maps, [*_IDS, "op_index"], "left")
-    values = F.when(F.col("_returned").isNull(), F.col("values")).otherwise(overlaid("values", F.col("_returned")))
-    return both.withColumn("values", values).drop("_returned")
+    return with_values(both, "values", F.coalesce("_returned", none)).drop("_returned")
 
 
 def render(rows: DataFrame, values: Column) -> DataFrame:
@@ -258,7 +250,7 @@ def render(rows: DataFrame, values: Column) -> DataFrame:
         )
     )
     with_body = rows.withColumn(
-        "body", render_payload(F.col("requestPayload.content"), values, last_wins(_pairs(declared)))
+        "body", render_payload(F.col("requestPayload.content"), values, F.map_from_entries(last_named(declared)))
     )
     return with_body.select(
         "*",

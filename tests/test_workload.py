@@ -142,9 +142,10 @@ def test_rendering(spark):
 
 
 def test_names_declared_twice_do_not_fail(spark):
-    entries = F.expr("array(named_struct('key', 'a', 'value', '1'), named_struct('key', 'b', 'value', '2'), named_struct('key', 'a', 'value', '3'), named_struct('key', null, 'value', '4'))")
+    items = F.expr("array(named_struct('name', 'a', 'type', '1'), named_struct('name', 'b', 'type', '2'), named_struct('name', 'a', 'type', '3'), named_struct('name', null, 'type', '4'))")
     old = F.create_map(F.lit("a"), F.lit("0"), F.lit("z"), F.lit("9"))
-    row = spark.range(1).select(W.last_wins(entries).alias("m"), W.overlaid(old, W.last_wins(entries)).alias("o")).first()
+    rows = spark.range(1).select(old.alias("values"), F.map_from_entries(W.last_named(items)).alias("m"))
+    row = W.with_values(rows, "o", F.col("m")).first()
     assert row.m == {"a": "3", "b": "2"} and row.o == {"a": "3", "b": "2", "z": "9"}
 
 
