@@ -154,9 +154,12 @@ def dynamic_values(variables: Column, seed: int, *ids: Column | str) -> Column:
 def last_named(items: Column, name: str = "name") -> Column:
     """The items with a name; of those with the same name the last."""
     names = items[name]
-    return F.filter(
-        items, lambda v, i: v[name].isNotNull() & ~F.array_contains(F.slice(names, i + 2, F.size(names)), v[name])
-    )
+
+    def again(v: Column, i: Column) -> Column:
+        # null where the rest holds a null and not the name
+        return F.coalesce(F.array_contains(F.slice(names, i + 2, F.size(names)), v[name]), F.lit(False))
+
+    return F.filter(items, lambda v, i: v[name].isNotNull() & ~again(v, i))
 
 
 def with_values(rows: DataFrame, out: str, more: Column) -> DataFrame:
