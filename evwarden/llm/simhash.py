@@ -178,7 +178,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with the same id are one document; one of them stays.  Columns are those of ``docs``, whatever their names.
     """
-    classes = simhash_duplicates(docs, id_col, text_col, radius)
+    return one_row_each(docs, simhash_duplicates(docs, id_col, text_col, radius), id_col)
+
+
+def one_row_each(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names the component that ``classes`` (id, component) puts them in, one for each id."""
     first = F.max(F.col("id").eqNullSafe(F.col("component"))).alias("first")
     ids = classes.groupBy(F.col("id").alias("_keep_id")).agg(F.count("*").alias("_keep_n"), first)
     keep = stored(ids.where("first").drop("first"), "keepers")

@@ -63,3 +63,26 @@ def test_awkward_rows(spark):
     assert line_rules(empty(spark)).count() == 0 and kept_documents(empty(spark)).count() == 0
     many = docs(spark, [(1, " ".join(prose(1, 80)), None)] * 3)
     assert kept_documents(many).count() == 3
+
+
+def common_parts(i, common, own):
+    """Documents of which ``common`` words are two lines that all share and ``own`` words are their own."""
+    shared = prose(5_000, common)
+    return "\n".join([" ".join(shared[: common // 2]), " ".join(prose(6_000 + i, own, 400_000)), " ".join(shared[common // 2 :])])
+
+
+def test_common_lines_go_whatever_their_share_of_the_documents(spark):
+    sizes = [(c, o, seed) for c, o in ((60, 140), (60, 60), (90, 60), (60, 20), (150, 50)) for seed in range(2)]
+    rows = [(100 * k + i, common_parts(100 * k + i, c, o), f"h{k}") for k, (c, o, _) in enumerate(sizes) for i in range(40)]
+    for r in line_rules(docs(spark, rows)).collect():
+        assert r.removed_words == sizes[r.id // 100][0], sizes[r.id // 100]
+
+
+def test_near_copies_count_as_one_beside_others(spark):
+    base = prose(7_000, 150)
+    line = "a line that all of them have"
+    rows = []
+    for host, others in (("ten", 9), ("eleven", 10)):
+        rows += [(i, "\n".join([" ".join(base[:100]), line, " ".join([*base[100:140], f"e{i}", *base[141:]])]), host) for i in range(30)]
+        rows += [(100 + i, f"{line}\n" + " ".join(prose(7_100 + i, 80, 400_000)), host) for i in range(others)]
+    assert all(r.removed_words == (7 if r.host == "eleven" else 0) for r in line_rules(docs(spark, rows)).collect())
