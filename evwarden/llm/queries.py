@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwarden.llm import licences
+from evwarden.llm import fill_middle, licences, merkle
 from evwarden.llm.chat_tree import conversation_digests, prefix_tree, with_control_strings
 from evwarden.llm.common import table
 from evwarden.llm.decontaminate import benchmark_passages
@@ -76,11 +76,22 @@ def op10_entropy_balancing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, "source", "copies")
 
 
+def op11_merkle_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.fingerprint_table(table(spark, sf, "documents"))
+
+
+def op13_block_rotation(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.middle_digests(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_chat_prefix_tree, op2_line_blocks, op3_disclosure_control, op4_line_frequency, op5_hilbert_shards,
         op6_lattice_likelihood, op7_cgk_decontamination, op8_licence_sentences, op9_simhash_multi_index, op10_entropy_balancing,
+        op11_merkle_tree, op13_block_rotation,
     )
 }
-ORACLES: dict[str, str] = {"op8_licence_sentences": licences.ORACLE}
+ORACLES: dict[str, str] = {
+    "op8_licence_sentences": licences.ORACLE, "op11_merkle_tree": merkle.ORACLE, "op13_block_rotation": fill_middle.ORACLE,
+}

@@ -13,7 +13,7 @@ def stage(name):
 
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_passages", "source_mixture", "shards"]
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)] and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -22,6 +22,9 @@ CONTRACT = {
     "op8": ("doc_id licence first_sentence last_sentence n_sentences", None),
     "op9": ("doc_id fingerprint component_id", "documents"),
     "op10": ("doc_id size source_size target taken", "documents"),
+    "op11": ("doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "documents"),
+    "op12": ("word form root n n_near form_n", None),
+    "op13": ("doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "documents"),
 }
 
 
