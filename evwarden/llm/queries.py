@@ -18,6 +18,7 @@ from evwarden.llm.lattice import lattice_scores
 from evwarden.llm.lines import COUNTS, line_rules
 from evwarden.llm.mixing import mixed
 from evwarden.llm.simhash import simhash_duplicates
+from evwarden.llm.variants import variant_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +81,10 @@ def op11_merkle_tree(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.fingerprint_table(table(spark, sf, "documents"))
 
 
+def op12_trie_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_table(table(spark, sf, "documents"))
+
+
 def op13_block_rotation(spark: SparkSession, sf: str) -> DataFrame:
     return fill_middle.middle_digests(table(spark, sf, "documents"))
 
@@ -89,7 +94,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         op1_chat_prefix_tree, op2_line_blocks, op3_disclosure_control, op4_line_frequency, op5_hilbert_shards,
         op6_lattice_likelihood, op7_cgk_decontamination, op8_licence_sentences, op9_simhash_multi_index, op10_entropy_balancing,
-        op11_merkle_tree, op13_block_rotation,
+        op11_merkle_tree, op12_trie_frontier, op13_block_rotation,
     )
 }
 ORACLES: dict[str, str] = {
