@@ -21,14 +21,14 @@ def _hash(level: str, text: Column) -> Column:
     return F.sha2(F.concat(F.lit(level), text).cast("binary"), 256)
 
 
-def _runs(items: Column, ends) -> Column:
-    """``items`` cut after those for which ``ends`` holds: an array of arrays."""
-    last = F.filter(F.transform(items, lambda x, i: F.when(ends(x) | (i == F.size(items) - 1), i + 1)), lambda i: i.isNotNull())
-    return F.transform(last, lambda end, k: F.slice(items, _at(last, k) + 1, end - _at(last, k)))
-
-
-def _at(ends: Column, k: Column) -> Column:
-    return F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
+def _with_runs(rows: DataFrame, items: str, ends, out: str) -> DataFrame:
+    """``rows`` with ``out``: the array ``items`` cut after those for which ``ends`` holds, an array of arrays."""
+    marks = F.transform(items, lambda x, i: F.when(ends(x) | (i == F.size(F.col(items)) - 1), i + 1))
+    # the ends are a column of their own: inside the next function they would be computed again for each run
+    rows = rows.withColumn("_ends", F.array_compact(marks))
+    rows = rows.withColumn("_starts", F.concat(F.array(F.lit(0)), F.col("_ends")))
+    run = lambda end, k: F.slice(items, F.get("_starts", k) + 1, end - F.get("_starts", k))
+    return rows.withColumn(out, F.transform("_ends", run))
 
 
 def with_tree(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -42,21 +42,21 @@ def with_tree(rows: DataFrame, text: str, name: str) -> DataFrame:
         _hash("leaf:", x).alias("h"), x.endswith("\n").alias("line"), (x.endswith("\n\n")).alias("blank")
     )
     out = rows.withColumn("_leaves", F.transform(F.regexp_extract_all(F.col(text), F.lit(LEAVES), F.lit(0)), leaf))
-    out = out.withColumn("_lines", _runs(F.col("_leaves"), lambda x: x["line"]))
+    out = _with_runs(out, "_leaves", lambda x: x["line"], "_lines")
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: x["h"]), ",")
     short = lambda xs: F.array_join(F.transform(xs, lambda x: F.left(x["h"], F.lit(DIGITS))), ",")
     paragraph = lambda xs: F.struct(
         _hash("paragraph:", joined(xs)).alias("h"), F.element_at(xs, -1)["blank"].alias("blank"), short(xs).alias("below")
     )
     out = out.withColumn("_paragraphs", F.transform("_lines", paragraph))
-    out = out.withColumn("_runs", _runs(F.col("_paragraphs"), lambda x: x["blank"] | (x["h"] < SECTION_END)))
+    out = _with_runs(out, "_paragraphs", lambda x: x["blank"] | (x["h"] < SECTION_END), "_runs")
     lines = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.left(x["h"], F.lit(DIGITS)), F.lit(":"), x["below"])), ";")
     section = lambda xs: F.struct(_hash("section:", joined(xs)).alias("h"), lines(xs).alias("below"))
     out = out.withColumn("_sections", F.transform("_runs", section))
     root = _hash("text:", joined(F.col("_sections")))
     parts = F.transform("_sections", lambda s: F.concat(F.left(s["h"], F.lit(DIGITS)), F.lit("="), s["below"]))
     out = out.withColumn(name, F.array_join(F.concat(F.array(root), parts), "|"))
-    return out.drop("_leaves", "_lines", "_paragraphs", "_runs", "_sections")
+    return out.drop("_leaves", "_lines", "_paragraphs", "_runs", "_sections", "_ends", "_starts")
 
 
 def root_of(fingerprint: Column) -> Column:
