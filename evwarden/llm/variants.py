@@ -7,7 +7,7 @@ import zlib
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evwarden.llm.common import map_blocks, stored
@@ -22,6 +22,8 @@ LOSSES = 199
 SINGLE = 32
 #: Levels with no more edges than this are sent to the tasks (one code point and a short prefix each).
 SENT_EDGES = 100_000
+#: Levels that are joined before the states are written again, as long as their edges are sent.
+LEVELS_AT_ONCE = 4
 #: Nodes above more words than this are joined by sending their edges, of which there are at most 90 for each so many words.
 HOT_WORDS = 100_000
 
@@ -79,9 +81,10 @@ def level_ends(longest: int, single: int = SINGLE) -> list[int]:
 
 
 def trie_edges(words: DataFrame, ends: list[int]) -> DataFrame:
-    """(level, node, label, n, below): the edges of the trie of ``words``; a node is the text that leads to it.
+    """(level, node, label, n, below, spends): the edges of the trie of ``words``; a node is the text that leads to it.
 
-    ``n`` is the count of the word that ends with the edge, null if none does; ``below`` the words whose path takes the edge.
+    ``n`` is the count of the word that ends with the edge, null if none does; ``below`` the words whose path takes the edge. ``spends``: a
+    word at the node may spend its edit on the edge, since the node has others or a word ends here.
     """
     bounds = F.array(*[F.lit(e) for e in [0, *ends]])
     deep = words.select("word", "n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(ends) - 1)), lambda i: F.get(bounds, i) < F.length("word"))).alias("level"))
@@ -90,14 +93,16 @@ def trie_edges(words: DataFrame, ends: list[int]) -> DataFrame:
         "level", F.left("word", start).alias("node"), F.substring("word", start + 1, end - start).alias("label"),
         F.when(F.length("word") <= end, F.col("n")).alias("n"),
     )
-    return rows.groupBy("level", "node", "label").agg(F.max("n").alias("n"), F.count("*").alias("below"))
+    edges = rows.groupBy("level", "node", "label").agg(F.max("n").alias("n"), F.count("*").alias("below"))
+    fan = F.count("*").over(Window.partitionBy("level", "node"))
+    return edges.withColumn("spends", (fan > 1) | F.col("n").isNotNull())
 
 
 def near_words(words: DataFrame, single: int = SINGLE, sent_edges: int = SENT_EDGES, hot_words: int = HOT_WORDS) -> DataFrame:
     """(word, other, other_n): each pair of ``words`` (word, n; distinct) that are one inserted, deleted or replaced code point apart, both ways.
 
-    A state is (word, position, node, edits). Those without an edit are the word's own path, so each level has them from the words; the others are
-    written level by level. At a level, states without an edit join the edges of their node and spend the edit on one: a
+    A state is (word, position, node, edits). Those without an edit are the word's own path, so each level has them from the words; the others
+    go on from level to level, and are written every few levels. At a level, states without an edit join the edges of their node and spend the edit on one: a
     replaced code point (towards the greater word) or a deleted one (towards the shorter word; the reverse is the insertion). States that have spent it take the one edge that
     their word continues with. A state that has used up its word at the end of another is a pair. Nodes of the first levels,
     and nodes above very many words, are joined by sending their edges; no state is dropped.
@@ -109,35 +114,46 @@ def near_words(words: DataFrame, single: int = SINGLE, sent_edges: int = SENT_ED
     ends = level_ends(longest, single)
     edges = trie_edges(words, ends).repartitionByRange("level", "node").sortWithinPartitions("level", "node")
     edges = stored(edges, "edges")
-    sizes = {r.level: (r.n, r.hot) for r in edges.groupBy("level").agg(F.count("*").alias("n"), F.max("below").alias("hot")).collect()}
-    frontier, levels = None, []
+    sizes = edges.groupBy("level").agg(F.count("*").alias("n"), F.count_if("spends").alias("spending"), F.max("below").alias("below"))
+    sizes = {r.level: r for r in sizes.collect()}  # one row for each level
+    states, unwritten, levels = None, 0, []
     for level, end in enumerate(ends):
         start = ends[level - 1] if level else 0
         here = edges.where(F.col("level") == level)
-        small = sizes[level][0] <= sent_edges and level < SINGLE
-        hot = level > 0 and not small and sizes[level - 1][1] > hot_words
-        now = _spent(words, edges, here, level, start, end, small, hot_words if hot else None)
-        if frontier is not None:
-            now = now.unionByName(_continued(frontier, F.broadcast(here) if small else here.hint("merge"), end - start))
-        now = stored(now.where((F.col("position") < F.length("word")) | F.col("n").isNotNull()), f"level-{level}")
-        frontier = now.where(F.col("position") < F.length("word"))
-        levels.append(now.where((F.col("position") == F.length("word")) & F.col("n").isNotNull()).select("word", F.col("node").alias("other"), F.col("n").alias("other_n")))
-    found = reduce(DataFrame.unionByName, levels).distinct()
+        short = level < SINGLE
+        sent = short and sizes[level].n <= sent_edges
+        spending = here.where("spends").select("node", "label", "n")
+        hot = level > 0 and sizes[level - 1].below > hot_words
+        busy = edges.where((F.col("level") == level - 1) & (F.col("below") > hot_words)).select(F.concat("node", "label").alias("node")) if hot else None
+        now = _spent(words, spending, start, end, short and sizes[level].spending <= sent_edges, busy)
+        if states is not None:
+            now = now.unionByName(_continued(states, here, end - start, sent))
+        unwritten += 1
+        last = level == len(ends) - 1
+        if last or not sent or unwritten == LEVELS_AT_ONCE or not (short and sizes[level + 1].n <= sent_edges):
+            now = stored(now.where(_ALIVE), f"level-{level}")
+            levels.append(now.where(_DONE))
+            now, unwritten = now.where(_GOING), 0
+        states = now
+    found = reduce(DataFrame.unionByName, levels).select("word", F.col("node").alias("other"), F.col("n").alias("other_n")).distinct()
     counts = words.select("word", F.col("n").alias("word_n"))
     both = F.array(F.struct("word", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("word_n").alias("other_n")))
     return found.join(counts, "word").select(F.explode(both).alias("p")).select("p.*")
 
 
-def _spent(words: DataFrame, edges: DataFrame, here: DataFrame, level: int, start: int, end: int, small: bool, hot_words: int | None) -> DataFrame:
-    """The states that spend their edit on an edge of this level."""
+_GOING = "position < length(word)"
+_DONE = "position = length(word) AND n IS NOT NULL"
+_ALIVE = f"{_GOING} OR {_DONE}"
+
+
+def _spent(words: DataFrame, edges: DataFrame, start: int, end: int, sent: bool, busy: DataFrame | None) -> DataFrame:
+    """The states that spend their edit on one of the ``edges`` of a level; ``busy`` are nodes with very many words."""
     rows = words.where(F.length("word") > start).select("word", F.left("word", F.lit(start)).alias("node"))
-    here = here.select("node", "label", "n")
-    if hot_words is None:
-        return _edited(rows.join(F.broadcast(here) if small else here.hint("merge"), "node"), start, end)
-    busy = edges.where((F.col("level") == level - 1) & (F.col("below") > hot_words)).select(F.concat("node", "label").alias("node"))
+    if sent or busy is None:
+        return _edited(rows.join(F.broadcast(edges) if sent else edges.hint("merge"), "node"), start, end)
     busy = F.broadcast(busy)  # at most a node for each so many words
-    often = rows.join(busy, "node", "left_semi").join(F.broadcast(here.join(busy, "node", "left_semi")), "node")
-    seldom = rows.join(busy, "node", "left_anti").join(here.join(busy, "node", "left_anti").hint("merge"), "node")
+    often = rows.join(busy, "node", "left_semi").join(F.broadcast(edges.join(busy, "node", "left_semi")), "node")
+    seldom = rows.join(busy, "node", "left_anti").join(edges.join(busy, "node", "left_anti").hint("merge"), "node")
     return _edited(often, start, end).unionByName(_edited(seldom, start, end))
 
 
@@ -152,17 +168,20 @@ def _edited(rows: DataFrame, start: int, end: int) -> DataFrame:
     else:
         replaced = (label > own) & (F.length(label) == F.length(own)) & (F.levenshtein(label, own, 1) == 1)
         deleted = (F.length(rest) == F.length(label) + 1) & (F.levenshtein(label, rest, 1) == 1) & ((label != F.left(rest, F.length(label))) | last)
-    after = F.array(F.when(replaced, start + F.length(own)), F.when(deleted, start + F.length(rest)))
-    rows = rows.where(replaced | deleted).select("word", F.explode(F.filter(after, lambda p: p.isNotNull())).alias("position"), F.concat("node", "label").alias("node"), "n")
-    return rows
+    after = F.array_compact(F.array(F.when(replaced, start + F.length(own)), F.when(deleted, start + F.length(rest))))
+    return rows.where(replaced | deleted).select("word", F.explode(after).alias("position"), F.concat("node", "label").alias("node"), "n")
 
 
-def _continued(frontier: DataFrame, here: DataFrame, size: int) -> DataFrame:
-    """States that have spent their edit take the edge with the word's next code points."""
+def _continued(states: DataFrame, here: DataFrame, size: int, sent: bool) -> DataFrame:
+    """States that have spent their edit take the edge with the word's next code points; pairs found at an earlier level, not written yet, stay."""
     label = F.substring(F.col("word"), F.col("position") + 1, F.lit(size))
-    rows = frontier.select("word", "position", "node", label.alias("label"))
-    rows = rows.join(here.select("node", "label", "n"), ["node", "label"])
-    return rows.select("word", (F.col("position") + F.length("label")).alias("position"), F.concat("node", "label").alias("node"), "n")
+    rows = states.where(_ALIVE).select("word", "position", "node", "n", label.alias("label"))
+    edges = here.select("node", "label", F.col("n").alias("child_n"), F.lit(True).alias("met"))
+    rows = rows.join(F.broadcast(edges) if sent else edges.hint("merge"), ["node", "label"], "left").where(F.col("met") | (F.col("label") == ""))
+    return rows.select(
+        "word", (F.col("position") + F.length("label")).alias("position"), F.concat("node", "label").alias("node"),
+        F.when(F.col("met"), F.col("child_n")).otherwise(F.col("n")).alias("n"),
+    )
 
 
 def spelling_variants(words: DataFrame, ratio: int = RATIO, **trie) -> DataFrame:
