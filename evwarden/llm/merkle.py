@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, content, n, copies, before_key, before_content, before_n) of each distinct document: the one before it in ascending id.
+    """(key, content, id, n, copies, before_key, before_content, before_n) of each distinct document: the one before it in ascending id.
 
     Sorted by range; what a part needs of the part before it comes from a table with one row for each part. The first follows the last.
     """
@@ -129,7 +129,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     before = F.coalesce("inside", "end_before")
     out = rows.withColumn("inside", inside).join(F.broadcast(ends), "part")
     fields = [before[f].alias(f"before_{f}") for f in ("key", "content", "n")]
-    return stored(out.select("key", "content", "copies", "n", *fields), "neighbours")
+    return stored(out.select("key", "content", "id", "copies", "n", *fields), "neighbours")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,9 +145,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = _ordered(docs, id_col, text_col)
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("content"))
-    rows = rows.withColumn("key", F.xxhash64("id", "content"))
     on = ["key", "content"]
-    distinct = rows.groupBy(*on).agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    # both uses need the text alone, so they share this shuffle
+    distinct = rows.select(F.xxhash64("id", "content").alias("key"), "content", "text").groupBy(*on).agg(F.first("text").alias("text"))
     known = with_tree(distinct.join(order.hint("merge"), on), "text", "fingerprint")
     quarter = lambda n: F.floor(F.col(n) / 4).cast("int")
     heads = known.select(
