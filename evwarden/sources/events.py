@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evwarden.functions.members import members, require_event_time
@@ -34,11 +34,19 @@ def memory_events(spark: SparkSession, rows: Iterable[tuple[str, str, Any]]) ->
 
 
 def json_file_events(spark: SparkSession, path: str, time_member: str | Mapping[str, str]) -> DataFrame:
-    """Files that hold one JSON array of ``{"Type": …, "Content": {…}}`` objects."""
+    """Files that hold one JSON array of ``{"Type": …, "Content": {…}}`` objects.
+
+    ``seq`` counts the objects in the order of file paths and, inside a file, of the array, however the files are dealt to tasks.
+    """
     raw = spark.read.schema("Type string, Content string").json(path, multiLine=True)
-    return _decoded(raw.select(F.col("Type").alias("type"), F.col("Content").alias("content")), time_member).select(
-        "type", "content", "ts", F.monotonically_increasing_id().alias("seq")
+    # a file is read by one task, so its objects have consecutive numbers
+    raw = raw.select(
+        F.col("Type").alias("type"), F.col("Content").alias("content"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")
     )
+    files = raw.groupBy("file").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
+    files = files.select("file", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return _decoded(raw, time_member).join(files, "file").select("type", "content", "ts", (F.col("place") + F.col("shift")).alias("seq"))
 
 
 def kafka_options(

@@ -80,3 +80,39 @@ def test_records_of_violations(spark):
     log = json.loads(K.log_records(found).first().value)
     assert log["@t"] == "1970-01-01T00:00:00.001000Z" and log["@l"] == "Information" and log["InvariantName"] == "small"
     assert K.full_matches(found).count() == 1 and K.timed_out(found).count() == 0
+
+
+def test_json_files_keep_their_order(spark, tmp_path):
+    """``seq`` counts by file name and place in the array, at any number of partitions."""
+    places = {}
+    for name, n in (("b", 40), ("a", 7), ("d", 25), ("c", 1)):
+        rows = [{"Type": f"{name}{i}", "Content": {"at": f"2024-01-01T00:00:{i:02d}Z", "pad": "x" * (i % 5) * 40}} for i in range(n)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+        places[name] = n
+    want = [f"{name}{i}" for name in "abcd" for i in range(places[name])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    counts = set()
+    for cost in ("4194304", "1", "1073741824"):
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        events = json_file_events(spark, str(tmp_path), "at")
+        counts.add(events.rdd.getNumPartitions() if cost != "1" else -1)
+        rows = sorted((r.seq, r.type) for r in events.collect())
+        assert [t for _, t in rows] == want and [s for s, _ in rows] == list(range(len(want)))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_exact_percentiles_of_many_durations(spark):
+    from evwarden.plans.logs import elapsed
+
+    df = spark.range(60_000).select(
+        F.concat(F.when(F.col("id") % 3 == 0, "Operation").otherwise("Transaction"), F.lit(" finished in "), (F.pmod(F.col("id") * 7919, F.lit(40_009)) * 5).cast("string"), F.lit(" milliseconds")).alias("message")
+    )
+    values = {"Operation": [], "Transaction": []}
+    for i in range(60_000):
+        values["Operation" if i % 3 == 0 else "Transaction"].append(i * 7919 % 40_009 * 5)
+    for r in elapsed(df, (0.001, 0.5, 0.95, 1.0), block=1_000).collect():
+        mine = sorted(values[r.kind])
+        at = lambda p: mine[max(1, -(-len(mine) * p // 1000)) - 1]
+        assert (r.n, r.min_ms, r.max_ms, r.sum_ms) == (len(mine), mine[0], mine[-1], sum(mine))
+        assert (r.p0_ms, r.p50_ms, r.p95_ms, r.p100_ms) == (at(1), at(500), at(950), at(1000))
