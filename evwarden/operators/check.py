@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from evwarden.model import Invariant
 from evwarden.operators.cells import CellOptions
 from evwarden.operators.joins import loop_matches, loopable, pair_matches, pairable, tail_matches, tailable
+from evwarden.operators.loops import figure_matches, judged_by_extremes
+from evwarden.operators.nearest import nearest_matches, searches
 from evwarden.operators.project import Layout, shared_layouts
 from evwarden.operators.scan import Chain, key_signature, look_ahead, scan_matches, scannable
 from evwarden.operators.sweep import sweep_matches
@@ -23,22 +25,33 @@ def find_matches(
     end_of_input: str = "flush",
     strategy: str = "auto",
     cells: CellOptions = CellOptions(),
+    loops: Sequence[str] | None = None,
 ) -> DataFrame:
     """Full and timed-out matches of ``inv`` in ``events(type, content, ts, seq)``.
 
     ``end_of_input="flush"`` closes every open match at the end of the data;
     ``"open"`` leaves out those whose limit lies beyond the latest event.
+    ``loops`` asks for figures of a repeated step instead of its events, of
+    :data:`evwarden.operators.loops.FIGURES`; then no match collects its loop events.
     """
-    if strategy not in ("auto", "scan", "joins", "sweep"):
-        raise ValueError("strategy must be 'auto', 'scan', 'joins' or 'sweep'")
+    if strategy not in ("auto", "scan", "nearest", "joins", "sweep"):
+        raise ValueError("strategy must be 'auto', 'scan', 'nearest', 'joins' or 'sweep'")
+    if strategy == "nearest" and searches(inv) is None:
+        raise ValueError(f"invariant {inv.name!r} needs another strategy than nearest")
     if strategy == "joins" and not (pairable(inv) or loopable(inv) or tailable(inv)):
         raise ValueError(f"invariant {inv.name!r} needs another strategy than joins")
     if strategy == "scan" and not scannable(inv):
         raise ValueError(f"invariant {inv.name!r} needs the sweep strategy")
     open_until = None if inv.within_us is None else _open_until(events, end_of_input)
     layout = Layout(inv)
+    if loops is not None:
+        if not loopable(inv) or not judged_by_extremes(inv):
+            raise ValueError(f"invariant {inv.name!r} has no single loop tied by a key, or compares its members with !=")
+        return bindings(figure_matches(events, inv, layout, cells, open_until, loops), inv, layout, figures=True)
     if strategy == "scan" or (strategy == "auto" and scannable(inv)):
         found = scan_matches(events, inv, layout, cells, open_until)
+    elif strategy in ("auto", "nearest") and searches(inv) is not None:
+        found = nearest_matches(events, inv, layout, cells, open_until)
     elif strategy != "sweep" and pairable(inv):
         found = pair_matches(events, inv, layout, open_until)
     elif strategy != "sweep" and loopable(inv):
@@ -59,7 +72,7 @@ def _open_until(events: DataFrame, end_of_input: str) -> Column | None:
 
 def check(events: DataFrame, inv: Invariant, **options) -> DataFrame:
     """The violations of ``inv``: one row each, with a struct column per alias."""
-    return violations(find_matches(events, inv, **options), inv)
+    return violations(find_matches(events, inv, **options), inv, figures=options.get("loops") is not None)
 
 
 def check_all(

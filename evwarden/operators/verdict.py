@@ -12,16 +12,16 @@ from evwarden.operators.project import Layout, _literal
 from evwarden.predicates import Comparison, Literal, Predicate, Ref, compare, to_column
 
 
-def bindings(matches: DataFrame, inv: Invariant, layout: Layout) -> DataFrame:
+def bindings(matches: DataFrame, inv: Invariant, layout: Layout, figures: bool = False) -> DataFrame:
     """Match rows with one column per alias instead of one per step.
 
     An alias holds ``struct<ts, seq, member…>``, or an array of them for a
-    repeated step.  An alias of an OR step is set only if the event has its type.
+    repeated step (with ``figures``, the struct of its figures).  An alias of an OR step is set only if the event has its type.
     """
-    return matches.select(*binding_columns(inv, layout))
+    return matches.select(*binding_columns(inv, layout, figures=figures))
 
 
-def binding_columns(inv: Invariant, layout: Layout, col: Callable[[str], Column] = F.col) -> list[Column]:
+def binding_columns(inv: Invariant, layout: Layout, col: Callable[[str], Column] = F.col, figures: bool = False) -> list[Column]:
     """The columns of :func:`bindings`; ``col`` gives a column of the match row."""
     cols = [
         F.lit(inv.name).alias("invariant"),
@@ -33,7 +33,11 @@ def binding_columns(inv: Invariant, layout: Layout, col: Callable[[str], Column]
         col("bound").alias("bound"),
     ]
     for i in inv.positive:
-        step, slot = inv.steps[i], col(f"s{i}")
+        step = inv.steps[i]
+        if step.loop and figures:
+            cols += [col(f"f_{a}").alias(a) for a in step.aliases]
+            continue
+        slot = col(f"s{i}")
         for a in step.aliases:
             if step.loop:
                 cols.append(_alias_array(slot, inv, layout, a).alias(a))
@@ -55,21 +59,40 @@ def _alias_struct(event: Column, inv: Invariant, layout: Layout, alias: str) ->
     return F.struct(*fields)
 
 
-def violated(inv: Invariant, col: Callable[[str], Column] = F.col) -> Column:
+def violated(inv: Invariant, col: Callable[[str], Column] = F.col, figures: bool = False) -> Column:
     """Whether a row of :func:`bindings` breaks a clause; a kind without a clause never does."""
-    full = F.lit(False) if inv.on_full_match is None else _breaks(inv.on_full_match, inv, col)
+    breaks = lambda clause: _breaks(clause, inv, col, figures)
+    full = F.lit(False) if inv.on_full_match is None else breaks(inv.on_full_match)
     default = inv.on_prefix_match.get(DEFAULT)
-    prefix = F.lit(False) if default is None else _breaks(default, inv, col)
+    prefix = F.lit(False) if default is None else breaks(default)
     for steps, clause in inv.prefixes:
         mask = sum(1 << i for i in steps)
-        prefix = F.when(col("bound") == F.lit(mask), _breaks(clause, inv, col)).otherwise(prefix)
+        prefix = F.when(col("bound") == F.lit(mask), breaks(clause)).otherwise(prefix)
     return F.when(col("kind") == "full", full).when(col("kind") == "timeout", prefix).otherwise(F.lit(False))
 
 
-def _breaks(clause: Clause, inv: Invariant, col: Callable[[str], Column]) -> Column:
+def _breaks(clause: Clause, inv: Invariant, col: Callable[[str], Column], figures: bool) -> Column:
     if isinstance(clause, bool):
         return F.lit(not clause)
-    return ~to_column(clause, lambda c: _universal(c, inv, col))
+    return ~to_column(clause, lambda c: _by_figures(c, inv, col) if figures else _universal(c, inv, col))
+
+
+def _by_figures(c: Comparison, inv: Invariant, col: Callable[[str], Column]) -> Column:
+    """:func:`_universal` where a repeated step holds its figures: the extremes decide, and no event may miss the member."""
+
+    def ends(side: Ref | Literal) -> tuple[Column, Column, Column]:
+        if isinstance(side, Ref) and inv.steps[inv.step_of[side.alias]].loop:
+            loop = col(side.alias)
+            return loop["min"][side.path], loop["max"][side.path], (loop["n"] > 0) & (loop["missing"][side.path] == 0)
+        value, _ = _values(side, inv, col)
+        return value, value, F.lit(True)
+
+    (least, most, some), (other_least, other_most, others) = ends(c.left), ends(c.right)
+    if c.op == "=":
+        holds = (least == most) & (other_least == other_most) & (least == other_least)
+    else:
+        holds = {"<": most < other_least, "<=": most <= other_least, ">": least > other_most, ">=": least >= other_most, "!=": least != other_least}[c.op]
+    return F.coalesce(holds & some & others, F.lit(False))
 
 
 def _universal(c: Comparison, inv: Invariant, col: Callable[[str], Column]) -> Column:
@@ -79,13 +102,33 @@ def _universal(c: Comparison, inv: Invariant, col: Callable[[str], Column]) -> C
     if not l_many and not r_many:
         return compare(c.op, lv, rv)
     if l_many and r_many:
-        inner = F.forall(lv, lambda x: F.forall(rv, lambda y: compare(c.op, x, y)))
-        return F.coalesce((F.size(lv) > 0) & (F.size(rv) > 0) & inner, F.lit(False))
+        numbers = inv._kind(c.left) == "number"
+        return all_pairs(c.op, lv, rv, numbers)
     if l_many:
         return F.coalesce((F.size(lv) > 0) & F.forall(lv, lambda x: compare(c.op, x, rv)), F.lit(False))
     return F.coalesce((F.size(rv) > 0) & F.forall(rv, lambda y: compare(c.op, lv, y)), F.lit(False))
 
 
+def all_pairs(op: str, left: Column, right: Column, numbers: bool = False) -> Column:
+    """Whether two lists have elements, none missing, and every pair of them compares true: decided by the extremes of each list.
+
+    ``!=`` holds for every pair if the lists have no element in common, zeros of both signs being one.
+    """
+    if numbers and op == "!=":
+        left, right = (F.transform(side, lambda x: x + F.lit(0.0)) for side in (left, right))
+    known = F.lit(True)
+    for side in (left, right):
+        known = known & (F.size(side) > 0) & F.forall(side, lambda x: x.isNotNull())
+    least, most = F.array_min, F.array_max
+    holds = {
+        "<": lambda: most(left) < least(right), "<=": lambda: most(left) <= least(right),
+        ">": lambda: least(left) > most(right), ">=": lambda: least(left) >= most(right),
+        "=": lambda: (least(left) == most(left)) & (least(right) == most(right)) & (least(left) == least(right)),
+        "!=": lambda: ~F.arrays_overlap(left, right),
+    }[op]()
+    return F.coalesce(known & holds, F.lit(False))
+
+
 def _values(side: Ref | Literal, inv: Invariant, col: Callable[[str], Column]) -> tuple[Column, bool]:
     if isinstance(side, Literal):
         return F.lit(_literal(side)), False
@@ -95,10 +138,14 @@ def _values(side: Ref | Literal, inv: Invariant, col: Callable[[str], Column]) -
     return col(side.alias).getField(side.path), False
 
 
-def violations(bound: DataFrame, inv: Invariant) -> DataFrame:
+def clause_kinds(inv: Invariant) -> list[str]:
+    """The kinds of matches that a clause of the invariant judges."""
+    return [k for k, has in (("full", inv.on_full_match is not None), ("timeout", bool(inv.on_prefix_match))) if has]
+
+
+def violations(bound: DataFrame, inv: Invariant, figures: bool = False) -> DataFrame:
     """Only the rows that break a clause; kinds without a clause never reach the expression."""
-    kinds = [k for k, has in (("full", inv.on_full_match is not None), ("timeout", bool(inv.on_prefix_match))) if has]
-    return bound.filter(F.col("kind").isin(kinds) & violated(inv))
+    return bound.filter(F.col("kind").isin(clause_kinds(inv)) & violated(inv, figures=figures))
 
 
 RECORD = ("invariant", "kind", "start_ts", "start_id", "end_ts", "end_id")

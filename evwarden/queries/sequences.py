@@ -79,11 +79,7 @@ def seq_or(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _loop_figures(loop: str) -> list:
-    return [
-        F.size(loop).alias("n_loop"),
-        F.element_at(loop, 1)["seq"].alias("first_loop_id"),
-        F.element_at(loop, -1)["seq"].alias("last_loop_id"),
-    ]
+    return [F.col(f"{loop}.n").alias("n_loop"), F.col(f"{loop}.first.seq").alias("first_loop_id"), F.col(f"{loop}.last.seq").alias("last_loop_id")]
 
 
 def _loop(name: str, step, loop_aliases: dict[str, str], verdict) -> Invariant:
@@ -95,20 +91,56 @@ def _loop(name: str, step, loop_aliases: dict[str, str], verdict) -> Invariant:
 
 def seq_plus(spark: SparkSession, sf: str) -> DataFrame:
     inv = _loop("clicks_before_purchase", Plus("c"), {"c": "click"}, attr("c.value") < 60)
-    return _ids(check(user_events(spark, sf), inv), *_loop_figures("c"))
+    return _ids(check(user_events(spark, sf), inv, loops=["n", "first", "last"]), *_loop_figures("c"))
 
 
 def seq_star(spark: SparkSession, sf: str) -> DataFrame:
     inv = _loop("views_before_purchase", Star("v"), {"v": "view"}, False)
-    return _ids(check(user_events(spark, sf), inv), F.size("v").alias("n_loop"))
+    return _ids(check(user_events(spark, sf), inv, loops=["n"]), F.col("v.n").alias("n_loop"))
 
 
 def seq_or_plus(spark: SparkSession, sf: str) -> DataFrame:
     inv = _loop(
         "activity_before_purchase", Plus("c", "v"), {"c": "click", "v": "view"}, attr("c.value") < attr("p.value")
     )
+    found = check(user_events(spark, sf), inv, loops=["n"])
+    return _ids(found, F.col("c.n").alias("n_clicks"), F.col("v.n").alias("n_views"))
+
+
+def seq_loop_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The loop events themselves, and a verdict that compares every event of one list with every one of another."""
+    inv = _loop("clicks_below_views", Plus("c", "v"), {"c": "click", "v": "view"}, attr("c.value") <= attr("v.value"))
     found = check(user_events(spark, sf), inv)
-    return _ids(found, F.size("c").alias("n_clicks"), F.size("v").alias("n_views"))
+    ids = lambda loop: F.array_join(F.transform(loop, lambda e: e["seq"].cast("string")), ",")
+    return _ids(found, ids("c").alias("clicks"), ids("v").alias("views"))
+
+
+def verdict_two_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The same verdict from the figures of both lists."""
+    inv = _loop("clicks_below_views", Plus("c", "v"), {"c": "click", "v": "view"}, attr("c.value") <= attr("v.value"))
+    found = check(user_events(spark, sf), inv, loops=["n", "sum", "max"])
+    return _ids(found, F.col("c.n").alias("n_clicks"), F.round("v.sum.value", 4).alias("views_total"), F.col("c.max.value").alias("highest_click"))
+
+
+def seq_five_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Five steps with an absence and an alternative; named prefixes and a default judge what stays unfinished."""
+    inv = Invariant(
+        "five_steps", user_aliases(s="signup", e="error", c="click", v="view", p="purchase", w="view"), ["s", Not("e"), Or("c", "v"), "p", "w"],
+        within="36 hours", where=[*same_user("s", "e", "p", "w"), (attr("s.user_id") == attr("c.user_id")) | (attr("s.user_id") == attr("v.user_id"))],
+        where_eval="eager", on_full_match=attr("w.value") > 20,
+        on_prefix_match={("s",): attr("s.value") > 30, ("s", ("c", "v")): (attr("c.value") > 25) | (attr("v.value") > 50), DEFAULT: attr("p.value") > 40},
+    )
+    found = check(user_events(spark, sf), inv)
+    return found.select("start_id", "kind", F.col("bound").cast("int").alias("bound"))
+
+
+def seq_late_neg(spark: SparkSession, sf: str) -> DataFrame:
+    """Two events, an absence and a closing event."""
+    inv = Invariant(
+        "late_negation", user_aliases(s="signup", c="click", e="error", p="purchase"), ["s", "c", Not("e"), "p"], within="48 hours",
+        where=same_user("s", "c", "e", "p"), where_eval="eager", on_full_match=attr("p.value") < 80,
+    )
+    return _ids(check(user_events(spark, sf), inv), F.col("c.seq").alias("mid_id"))
 
 
 def seq_theta(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,8 +246,8 @@ def verdict_forall(spark: SparkSession, sf: str) -> DataFrame:
         ["o", Plus("l"), "c"], within="1461 days",
         where=[attr("o.k") == attr("l.k"), attr("o.k") == attr("c.k")], on_full_match=attr("l.q") < 48,
     )
-    found = check(_order_events(spark, sf, close_days=1460), inv)
-    return found.select(F.col("o.k").cast("bigint").alias("orderkey"), F.size("l").alias("n_lines"))
+    found = check(_order_events(spark, sf, close_days=1460), inv, loops=["n"])
+    return found.select(F.col("o.k").cast("bigint").alias("orderkey"), F.col("l.n").alias("n_lines"))
 
 
 def json_member(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +314,7 @@ QUERIES = {
         seq_single, seq_follow, seq_neg_full, seq_self_neg, seq_trailing_neg, seq_or, seq_plus, seq_star, seq_or_plus,
         seq_theta, seq_where_or, seq_three_deferred, seq_three_eager, seq_any, prefix_default, prefix_named, open_end,
         order_late_ship, verdict_forall, json_member, schema_projection, kafka_decode, many_invariants,
-        violation_records, match_bindings,
+        violation_records, match_bindings, seq_loop_events, verdict_two_lists, seq_five_prefixes, seq_late_neg,
     )
 }
 
@@ -359,6 +391,9 @@ _THREE_EAGER = (
     "m2 AS (SELECT id AS sid, us AS sus, u, nid AS id, nus AS us FROM m)"
 )
 
+#: Not every click is at most every view, or one of them is missing.
+_ABOVE = "NOT coalesce(max(kv) FILTER (kt = 'click') <= min(kv) FILTER (kt = 'view'), false)"
+
 #: Violations of two invariants with the time at which each is known.
 CHECKED = (
     f"{_SLICE}, found AS (SELECT nus AS us, 'purchase_after_signup' AS invariant FROM f WHERE NOT nv < 100 "
@@ -392,6 +427,34 @@ ORACLES = {
         "CAST(count(*) FILTER (kt = 'click') AS INTEGER) AS n_clicks, CAST(count(*) FILTER (kt = 'view') AS INTEGER) AS n_views "
         "FROM x GROUP BY id, cid HAVING NOT coalesce(bool_and(kv < cv) FILTER (kt = 'click'), false)"
     ),
+    "seq_loop_events": (
+        f"{_loop_sql('click|view', 1)} SELECT id AS start_id, cid AS end_id, "
+        "coalesce(string_agg(CAST(kid AS VARCHAR), ',' ORDER BY kus, kid) FILTER (kt = 'click'), '') AS clicks, "
+        "coalesce(string_agg(CAST(kid AS VARCHAR), ',' ORDER BY kus, kid) FILTER (kt = 'view'), '') AS views "
+        f"FROM x GROUP BY id, cid HAVING {_ABOVE}"
+    ),
+    "verdict_two_lists": (
+        f"{_loop_sql('click|view', 1)} SELECT id AS start_id, cid AS end_id, CAST(count(*) FILTER (kt = 'click') AS INTEGER) AS n_clicks, "
+        "round(sum(kv) FILTER (kt = 'view'), 4) AS views_total, max(kv) FILTER (kt = 'click') AS highest_click "
+        f"FROM x GROUP BY id, cid HAVING {_ABOVE}"
+    ),
+    "seq_late_neg": (
+        f"WITH {_E}, {_first('m', _of('signup'), 'click', 48, 'b.u = a.u')}, "
+        "m2 AS (SELECT id AS sid, us AS sus, u, nid AS id, nus AS us FROM m), "
+        f"{_first('n', 'm2', 'purchase', 48, 'b.u = a.u', 'sid', 'sus')} SELECT sid AS start_id, nid AS end_id, id AS mid_id FROM n "
+        f"WHERE NOT nv < 80 AND {_no_between('n', 'error', 'k.u = n.u')}"
+    ),
+    "seq_five_prefixes": (
+        f"WITH {_E}, {_first('m', _of('signup'), 'click|view', 36, 'b.u = a.u')}, "
+        f"q AS (SELECT id AS sid, us AS sus, u, nid AS id, nus AS us, nv AS mv, nt AS mt FROM m WHERE {_no_between('m', 'error')}), "
+        f"{_first('p', 'q', 'purchase', 36, 'b.u = a.u', 'sid', 'sus')}, p2 AS (SELECT sid, sus, u, nv AS pv, nid AS id, nus AS us FROM p), "
+        f"{_first('w', 'p2', 'view', 36, 'b.u = a.u', 'sid', 'sus')} "
+        "SELECT sid AS start_id, 'full' AS kind, 29 AS bound FROM w WHERE NOT nv > 20 "
+        "UNION ALL SELECT sid, 'timeout', 13 FROM p2 WHERE sid NOT IN (SELECT sid FROM w) AND NOT pv > 40 "
+        "UNION ALL SELECT sid, 'timeout', 5 FROM q WHERE sid NOT IN (SELECT sid FROM p) AND NOT ((mt = 'click' AND mv > 25) OR (mt = 'view' AND mv > 50)) "
+        "UNION ALL SELECT id, 'timeout', 1 FROM e s WHERE t = 'signup' AND id NOT IN (SELECT id FROM m) AND NOT v > 30 "
+        f"AND NOT EXISTS (SELECT 1 FROM e k WHERE k.t = 'error' AND k.u = s.u AND {_later('s', 'k')} AND k.us < s.us + {36 * _H})"
+    ),
     "seq_theta": f"WITH {_E}, {_first('m', _of('purchase'), 'purchase', 168, 'b.u = a.u AND b.v > a.v')} SELECT id AS start_id, nid AS end_id FROM m",
     "seq_where_or": (
         f"WITH {_E}, {_first('m', _of('signup'), 'purchase', 24, 'b.u = a.u')} SELECT id AS start_id, nid AS end_id FROM m "

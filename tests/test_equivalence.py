@@ -6,11 +6,15 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 import naive
-from evwarden import DEFAULT, Alias, CellOptions, Invariant, Not, Or, Plus, Star, attr, check_all, find_matches
+from evwarden import DEFAULT, Alias, CellOptions, Invariant, Not, Or, Plus, Star, attr, check, check_all, find_matches
 from evwarden.operators.joins import loopable, pairable, tailable
+from evwarden.operators.nearest import searches
 from evwarden.operators.scan import key_signature, scannable
+from evwarden.operators.verdict import all_pairs
+from evwarden.predicates import compare
 from evwarden.sources.events import memory_events
 
 AL = {n: Alias(n.upper(), {"k": "number", "v": "number", "s": "string"}) for n in "abcd"}
@@ -36,6 +40,7 @@ SPECS = {
     "or_step": dict(seq=["a", Or("b", "c"), "d"], where=[*on_key("b", "d")]),
     "chain": dict(seq=["a", "b", Not("d"), "c", Not("a2")], where=[*on_key("b", "c", "d", "a2"), V["c"] > 2]),
     "theta": dict(seq=["a", "b"], where=[*on_key("b"), V["b"] > V["a"]]),
+    "theta_below": dict(seq=["a", Not("c"), "b"], where=[*on_key("b", "c"), V["b"] <= V["a"], (V["c"] < V["a"]) | (V["c"] > 7) & (V["a"] > 3)]),
     "theta_or": dict(seq=["a", Not("c"), "b"], where=[(V["b"] > V["a"]) | (attr("b.s") == attr("a.s")), V["c"] != V["a"]]),
     "three": dict(seq=["a", "b", "c"], where=[*on_key("b", "c"), V["b"] > 3]),
     "tail": dict(seq=["a", "b", "c"], where=[K["a"] == K["c"], V["c"] > V["b"]]),
@@ -75,6 +80,8 @@ def test_strategies_agree(spark, name, where_eval):
     if scannable(inv):
         runs += [("scan", CellOptions()), ("scan", CellOptions(cell_rows=25, grain_us=3000))]
 
+    if searches(inv) is not None:
+        runs += [("nearest", CellOptions()), ("nearest", CellOptions(cell_rows=25, grain_us=3000))]
     if pairable(inv) or loopable(inv) or tailable(inv):
         runs += [("joins", CellOptions()), ("joins", CellOptions(cell_rows=25, grain_us=3000))]
 
@@ -87,6 +94,73 @@ def test_strategies_agree(spark, name, where_eval):
             assert got == expected, run
 
 
+@pytest.mark.parametrize("cells", [CellOptions(), CellOptions(cell_rows=25, grain_us=3000)])
+@pytest.mark.parametrize("name", ["plus", "star_only", "plus_two"])
+def test_loop_figures(spark, name, cells, monkeypatch):
+    """Figures of loops are those of the lists that the naive matcher binds, in blocks of any size."""
+    spec = {
+        "plus": SPECS["plus"], "star_only": dict(seq=["a", Star("b"), "d"], where=on_key("b", "d")),
+        "plus_two": dict(seq=["a", Plus("b", "c"), "d"], where=[*on_key("d"), (K["a"] == K["b"]) | (K["a"] == K["c"])], within="200 msec"),
+    }[name]
+    inv = Invariant(name, AL, on_full_match=V["b"] < V["a"], **{"within": "40 msec", **spec})
+    rows, plain = table(5, 400)
+    events = memory_events(spark, rows)
+    from evwarden.operators import loops as module
+
+    figures = ["n", "first", "last", "sum", "min", "max", "missing"]
+    step = next(i for i, s in enumerate(inv.steps) if s.loop)
+    expected = {}
+    for kind, start, end, bound in naive.matches(inv, plain):
+        held = bound.get(step, [])
+        for alias in inv.steps[step].aliases:
+            mine = [e for e in held if e["type"] == AL[alias].type]
+            values = [x for x in (naive.member(e["content"], "v", "number") for e in mine) if x is not None]
+            ends = (mine[0]["seq"], mine[-1]["seq"]) if mine else (None, None)
+            expected[kind, start, alias] = (len(mine), *ends, sum(values) if mine else None, min(values, default=None), max(values, default=None), len(mine) - len(values) if mine else None)
+    for block in (1024, 3):
+        monkeypatch.setattr(module, "BLOCK", block)
+        got = {}
+        found = find_matches(events, inv, cells=cells, loops=figures)
+        for r in found.collect():
+            for alias in inv.steps[step].aliases:
+                f = r[alias]
+                some = f["n"] > 0
+                got[r.kind, r.start_id, alias] = (
+                    f["n"], f["first"]["seq"] if some else None, f["last"]["seq"] if some else None, f["sum"]["v"], f["min"]["v"], f["max"]["v"], f["missing"]["v"],
+                )
+        assert got == expected and max(v[0] for v in got.values()) > (3 if name == "plus_two" else 1)
+        judged = sorted((r.kind, r.start_id) for r in check(events, inv, cells=cells, loops=["n"]).collect())
+        assert judged == sorted((m[0], m[1]) for m in naive.violations(inv, plain))
+
+
+def test_all_pairs_by_extremes(spark):
+    """The extremes of two lists decide what comparing every pair does, missing values, NaN and signed zeros included."""
+    rnd = random.Random(9)
+    draw = lambda: rnd.choice([None, 0.0, -0.0, 1.0, 2.0, 2.0, 3.0, float("nan")] if rnd.random() < 0.2 else [1.0, 2.0, 3.0])
+    rows = [([draw() for _ in range(rnd.randrange(4))], [draw() for _ in range(rnd.randrange(4))]) for _ in range(400)]
+    df = spark.createDataFrame(rows, "l array<double>, r array<double>")
+    left, right = F.col("l"), F.col("r")
+    for op in ("<", "<=", ">", ">=", "=", "!="):
+        pairs = F.forall(left, lambda x: F.forall(right, lambda y: compare(op, x, y)))  # noqa: B023
+        want = F.coalesce((F.size(left) > 0) & (F.size(right) > 0) & pairs, F.lit(False))
+        assert df.where(want != all_pairs(op, left, right, numbers=True)).count() == 0, op
+
+
+def test_nearest_is_linear_on_a_hot_key(spark):
+    """One key, falling starts and one late event: every start waits to the end, and none is joined with the events between."""
+    n = 20_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("type"), F.lit('{"k": 1, "v": 1}').alias("content"),
+        F.timestamp_micros(F.col("id") * 1000).alias("ts"), F.col("id").alias("seq"),
+    )
+    last = spark.createDataFrame([("B", '{"k": 1, "v": 5}')], "type string, content string").select("type", "content", F.timestamp_micros(F.lit(n * 1000)).alias("ts"), F.lit(n).cast("bigint").alias("seq"))
+    inv = Invariant("hot", AL, ["a", "b"], within=None, where=[*on_key("b"), V["b"] > V["a"]], on_full_match=False)
+    found = find_matches(rows.unionByName(last), inv, cells=CellOptions(cell_rows=3_000, grain_us=1_000_000))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert found.groupBy("end_id").count().collect() == [(n, n // 2)]
+
+
 def test_chunk_borders(monkeypatch):
     """The frontier gives the same matches however its input is cut."""
     import numpy as np
