@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evwarden.model import DEFAULT, Invariant, Not
 from evwarden.predicates import attr
 from evwarden.queries.sequences import _H, _SLICE, purchase_after_signup, same_user
 from evwarden.queries.tables import micros, table, user_aliases
+from evwarden.sinks.batches import in_time, late_rows, manifest, read_batches, split_late, to_batches, write_batch
 from evwarden.sinks.scratch import scratch_dir
 from evwarden.sinks.violations import to_files
 from evwarden.sources.events import table_events
-from evwarden.streaming import check_stream, check_streams, use_rocksdb, windowed_counts
+from evwarden.streaming import check_stream, check_streams, latest_watermark, sources_together, use_rocksdb, windowed_counts
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +53,7 @@ def stream_timeouts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_single(spark: SparkSession, sf: str) -> DataFrame:
-    inv = Invariant("small_purchase", user_aliases(p="purchase"), ["p"], on_full_match=attr("p.value") < 150)
-    return run(spark, check_stream(event_stream(spark, sf), inv), "single").select("start_id")
+    return run(spark, check_stream(event_stream(spark, sf), _small_purchase()), "single").select("start_id")
 
 
 def stream_many(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +65,68 @@ def stream_many(spark: SparkSession, sf: str) -> DataFrame:
     return run(spark, found, "many").select("invariant", "kind", "start_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_many, stream_window_counts, stream_full_matches, stream_timeouts, stream_single)}
+def stream_idle_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts over two sources of which one falls silent after three days; the other one closes the windows."""
+    first = table(spark, sf, "events").agg(F.min("ts")).scalar().cast("timestamp")
+    signup = F.col("type") == "signup"
+    silent = event_stream(spark, sf).filter(signup & (F.col("ts") < first + F.expr("INTERVAL 3 DAYS")))
+    both = sources_together([event_stream(spark, sf).filter(~signup), silent], "10 minutes")
+    with latest_watermark(spark):
+        counts = run(spark, windowed_counts(both, "type", "6 hours", None), "idle")
+    return counts.select(F.unix_micros("window_start").alias("start_us"), "type", "n")
+
+
+def _arriving(spark: SparkSession, sf: str, slice_of: Column, base: str) -> tuple[str, list[int], Callable[[int], None]]:
+    """A folder for files of events, the slices that they make up, and what writes the file of one slice."""
+    df = table(spark, sf, "events").withColumn("_slice", slice_of.cast("bigint"))
+    slices = sorted(r[0] for r in df.select("_slice").distinct().collect())  # a few slices of time
+    folder = f"{base}/in"
+    return folder, slices, lambda k: df.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _file_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    files = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return table_events(files, "event_type", "ts", "event_id", ["user_id", "value"])
+
+
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that come in files of eight days, one in fifty a file too late: which of them are behind the watermark."""
+    base = scratch_dir(spark, "late")
+    eight_days = F.floor(micros("ts") / F.lit(8 * 24 * _H)) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    folder, slices, put = _arriving(spark, sf, eight_days, base)
+    for k in slices:
+        put(k)
+    events = _file_stream(spark, sf, folder).select(F.col("seq").alias("event_id"), "ts")
+    split_late(events, "1 hour", f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parts = [f(spark, f"{base}/out", events.schema).select("event_id", F.lit(late).alias("late")) for f, late in ((in_time, False), (late_rows, True))]
+    return parts[0].unionByName(parts[1])
+
+
+def stream_redelivered(spark: SparkSession, sf: str) -> DataFrame:
+    """Small purchases of a stream that stops, delivers its last batch once more and goes on when further files are there."""
+    base = scratch_dir(spark, "redelivered")
+    folder, slices, put = _arriving(spark, sf, F.floor(micros("ts") / F.lit(8 * 24 * _H)), base)
+    out, half = f"{base}/out", (len(slices) + 1) // 2
+    for part in (slices[:half], slices[half:]):
+        for k in part:
+            put(k)
+        found = check_stream(_file_stream(spark, sf, folder), _small_purchase()).select("start_id")
+        to_batches(found, out, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        last = manifest(spark, out).agg(F.max(F.struct("batch", "attempt")).alias("last")).first()["last"]
+        write_batch(spark.read.parquet(f"{out}/data/batch={last.batch}/attempt={last.attempt}"), last.batch, out)  # as after a stop before the commit
+    return read_batches(spark, out, found.schema)
+
+
+def _small_purchase() -> Invariant:
+    return Invariant("small_purchase", user_aliases(p="purchase"), ["p"], on_full_match=attr("p.value") < 150)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        stream_many, stream_window_counts, stream_full_matches, stream_timeouts, stream_single, stream_idle_source, stream_late_rows, stream_redelivered,
+    )
+}
 
 _WATERMARK = "(SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM events)"
 
@@ -84,4 +147,16 @@ ORACLES = {
         f"UNION ALL SELECT 'no_purchase', 'full', id FROM e WHERE t = 'signup' AND id NOT IN (SELECT id FROM m) AND us + {24 * _H} <= {_WATERMARK} - 5000000"
     ),
     "stream_single": "SELECT event_id AS start_id FROM events WHERE event_type = 'purchase' AND NOT value < 150",
+    "stream_redelivered": "SELECT event_id AS start_id FROM events WHERE event_type = 'purchase' AND NOT value < 150",
+    "stream_idle_source": (
+        "WITH l AS (SELECT epoch_us(ts) AS us, event_type AS type, (SELECT min(epoch_us(ts)) FROM events) AS first FROM events) "
+        f"SELECT us - us % {6 * _H} AS start_us, type, count(*) AS n FROM l WHERE (type <> 'signup' OR us < first + {72 * _H}) AND us - us % {6 * _H} + {6 * _H} <= "
+        "(SELECT max(us) // 1000 * 1000 FROM l WHERE type <> 'signup') - 600000000 GROUP BY 1, 2"
+    ),
+    "stream_late_rows": (
+        f"WITH s AS (SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // {8 * 24 * _H} + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS k FROM events), "
+        "m AS (SELECT k, max(us) AS top FROM s GROUP BY k), "
+        "w AS (SELECT k, max(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passed FROM m) "
+        f"SELECT event_id, coalesce(us <= passed // 1000 * 1000 - {_H}, false) AS late FROM s JOIN w USING (k)"
+    ),
 }

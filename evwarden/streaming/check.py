@@ -1,6 +1,8 @@
 """Invariants over event streams.
 
-Events of a key are buffered in state until the watermark has passed them,
+A start with its closing event, or with an absence, is answered by stream-stream joins
+(:mod:`evwarden.streaming.joins`).  Longer patterns, loops and predicates between events need the
+state operator below.  There, events of a key are buffered in state until the watermark has passed them,
 then fed in time order to the same matcher as in batch.  Timers stand at the
 oldest buffered event and at the earliest limit of an open match, so full
 matches come out as soon as their order is certain and timeouts when their
@@ -26,30 +28,45 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from evwarden.model import Invariant, InvariantError
 from evwarden.operators.advance import Frontier, Open
 from evwarden.operators.project import Layout, behind_watermark, fits, key_columns, project_events, shared_layouts
-from evwarden.operators.verdict import as_records, bindings, records_together, violations
+from evwarden.operators.verdict import as_records, bindings, clause_kinds, records_together, violations
+from evwarden.streaming.joins import KINDS, join_matches, joinable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _NULL_KEY_SALTS = 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """The state store the stateful operator needs."""
+    """What the stateful operators need: a store on disk, and one watermark for all operators of a query.
+
+    With one watermark, the count of a closing event's earlier events ends when the watermark passes that event; else
+    the joins before it would hold it back by the whole limit.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.statefulOperator.allowMultiple", "false")
 
 
-def match_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds", salts: int = 1) -> DataFrame:
-    """Full and timed-out matches of a stream ``events(type, content, ts, seq)``.
+def match_stream(
+    events: DataFrame, inv: Invariant, lateness: str = "5 seconds", salts: int = 1, strategy: str = "auto", kinds: Sequence[str] = KINDS
+) -> DataFrame:
+    """Full and timed-out matches of a stream ``events(type, content, ts, seq)``; of the ``kinds`` wanted, where joins answer it.
 
     ``lateness`` is the out-of-orderness bound; events behind the watermark are
-    dropped.  With ``salts`` > 1 the starts of a hot key are spread over that
-    many tasks, each of which also sees the key's other events.
+    dropped.  With ``salts`` > 1 a hot key is spread: by stretches of time over joins, else its
+    starts over that many tasks, each of which also sees the key's other events.
+    ``strategy`` is ``"joins"``, ``"state"`` or ``"auto"``, which takes joins where they can express the pattern.
     """
+    if strategy not in ("auto", "joins", "state"):
+        raise ValueError("strategy must be 'auto', 'joins' or 'state'")
     if inv.within_us is None and len(inv.steps) > 1:
         raise InvariantError("a stream needs a time limit, or its state grows for ever")
     layout = Layout(inv)
     stamped = events.withWatermark("ts", lateness)
     if len(inv.steps) == 1:
         return bindings(_single(stamped, inv, layout), inv, layout)
+    if strategy != "state" and joinable(inv):
+        return bindings(join_matches(stamped, inv, layout, kinds, salts > 1), inv, layout)
+    if strategy == "joins":
+        raise ValueError(f"invariant {inv.name!r} needs the state operator")
     raw = _matched(stamped, [(inv, layout)], salts)
     return bindings(raw.select(*_HEAD, *_slots(inv, layout)), inv, layout)
 
@@ -95,7 +112,7 @@ def _matched(stamped: DataFrame, patterns: Sequence[Pattern], salts: int) -> Dat
 
 def check_stream(events: DataFrame, inv: Invariant, lateness: str = "5 seconds", salts: int = 1) -> DataFrame:
     """The violations of ``inv`` on a stream, in append mode."""
-    return violations(match_stream(events, inv, lateness, salts), inv)
+    return violations(match_stream(events, inv, lateness, salts, kinds=clause_kinds(inv)), inv)
 
 
 def check_streams(
@@ -103,13 +120,14 @@ def check_streams(
 ) -> DataFrame:
     """Violations of several invariants as one stream, the match as JSON text; one query, one checkpoint.
 
-    Invariants with the same key members share the read, the shuffle and the state operator.
+    Those that joins can answer are joined on their own; others with the same key members share the read, the shuffle and the state operator.
     """
     if not invariants:
         raise ValueError("no invariants given")
     shared: dict[tuple, list[Invariant]] = {}
     for n, inv in enumerate(invariants):
-        shared.setdefault(_signature(inv) or ("alone", n), []).append(inv)
+        signature = None if joinable(inv) else _signature(inv)
+        shared.setdefault(signature or ("alone", n), []).append(inv)
     found = []
     for group in shared.values():
         if len(group) == 1:

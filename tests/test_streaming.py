@@ -9,8 +9,11 @@ from evwarden import DEFAULT, Alias, Invariant, Not, Plus, Star, attr, find_matc
 from evwarden.queries.streams import run
 from evwarden.queries.tables import MEMBERS, table
 from evwarden.sources.events import table_events
+from evwarden.sinks.batches import in_time, late_rows, manifest, read_batches, split_late, write_batch
 from evwarden.sinks.violations import to_files
-from evwarden.streaming import check_stream, check_streams, match_stream, use_latest_watermark, use_rocksdb, windowed_counts
+from evwarden.streaming import (
+    check_stream, check_streams, latest_watermark, match_stream, sources_together, use_latest_watermark, use_rocksdb, windowed_counts,
+)
 
 AL = {n: Alias(t, MEMBERS) for n, t in (("s", "signup"), ("e", "error"), ("p", "purchase"), ("c", "click"))}
 
@@ -65,6 +68,84 @@ def test_stream_equals_batch(spark, sf, parts, name):
     assert got == rows(decided) and got
 
 
+def test_joins_keep_their_state_in_spark(spark, sf, parts):
+    """A start with a closing event or an absence needs neither a state operator nor Python, and only the kinds that clauses judge are joined."""
+    schema = table(spark, sf, "events").schema
+    stream = lambda: as_events(spark.readStream.schema(schema).parquet(parts))
+    pair = Invariant("pair", AL, ["s", Not("e"), "p"], within="24 hours", where=same("e", "p"), on_full_match=False, on_prefix_match={DEFAULT: False})
+    trailing = Invariant("trailing", AL, ["s", Not("p")], within="24 hours", where=same("p"), on_full_match=False)
+    for inv in (pair, trailing):
+        plan = check_stream(stream(), inv)._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithState" not in plan and "Python" not in plan and "Join" in plan
+    full = Invariant("full", AL, ["s", "p"], within="24 hours", where=same("p"), on_full_match=False)
+    assert "LeftOuter" not in check_stream(stream(), full)._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(ValueError):
+        match_stream(stream(), Invariant("loop", AL, ["s", Plus("c"), "p"], within="24 hours", where=same("c", "p")), strategy="joins")
+
+
+@pytest.mark.parametrize("strategy", ["joins", "state"])
+def test_strategies_of_streams_agree(spark, sf, parts, strategy):
+    inv = Invariant("both", AL, ["s", Not("e"), "p"], within="24 hours", where=[*same("e", "p"), attr("s.value") > 10], on_prefix_match={DEFAULT: False})
+    batch = table(spark, sf, "events")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    got = [(r.kind, r.start_id, r.end_id or -1) for r in run(spark, match_stream(as_events(stream), inv, strategy=strategy, salts=2), strategy).collect()]
+    mark = batch.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] // 1000 * 1000 - 5_000_000
+    end = F.unix_micros("end_ts")
+    decided = find_matches(as_events(batch), inv).filter(F.when(F.col("end_id").isNull(), end <= mark).otherwise(end < mark))
+    assert sorted(got) == sorted((r.kind, r.start_id, r.end_id or -1) for r in decided.collect()) and len({g[0] for g in got}) == 2
+
+
+def put_file(spark, folder, *events):
+    data = [(t, s, n, 1, 1.0) for t, s, n in events]
+    df = spark.createDataFrame(data, "event_type string, s long, event_id long, user_id long, value double")
+    df.select("event_type", F.timestamp_seconds("s").alias("ts"), "event_id", "user_id", "value").coalesce(1).write.mode("append").parquet(folder)
+    time.sleep(1.1)
+
+
+FILE = "event_type string, ts timestamp, event_id long, user_id long, value double"
+
+
+def test_late_rows_are_an_output(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    put_file(spark, folder, ("signup", 100, 1), ("view", 200, 2), ("view", 90, 3))
+    put_file(spark, folder, ("purchase", 150, 4), ("view", 400, 5), ("view", 195, 6), ("view", 196, 7))
+    put_file(spark, folder, ("view", 401, 8), ("view", 395, 9), ("view", 10, 10))
+    stream = lambda: spark.readStream.schema(FILE).option("maxFilesPerTrigger", 1).parquet(folder)
+    split_late(stream(), "5 seconds", out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    put_file(spark, folder, ("view", 396, 11), ("view", 500, 12), ("view", 300, 13))
+    split_late(stream(), "5 seconds", out, checkpoint).trigger(availableNow=True).start().awaitTermination()  # a restart goes on with the same mark
+    schema = stream().schema
+    ids = lambda df: sorted(r.event_id for r in df.collect())
+    assert ids(late_rows(spark, out, schema)) == [4, 6, 9, 10, 11, 13]
+    assert ids(in_time(spark, out, schema)) == [1, 2, 3, 5, 7, 8, 12]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    write_batch(rows(1, 2), 0, path)
+    write_batch(rows(3), 1, path)
+    write_batch(rows(3, 4), 1, path)
+    (tmp_path / "out/data/batch=2/attempt=x").mkdir(parents=True)
+    rows(9).write.mode("overwrite").parquet(f"{path}/data/batch=2/attempt=x")  # an attempt that never reached the manifest
+    assert sorted(r.id for r in read_batches(spark, path, rows().schema).collect()) == [1, 2, 3, 4]
+    assert sorted((r.batch, r.rows) for r in manifest(spark, path).collect()) == [(0, 2), (1, 2)]
+
+
+def test_an_idle_source_holds_nothing_back(spark, tmp_path):
+    busy, idle = str(tmp_path / "busy"), str(tmp_path / "idle")
+    put_file(spark, busy, ("view", 100, 1), ("view", 700, 2))
+    put_file(spark, busy, ("view", 1300, 3))
+    put_file(spark, idle, ("signup", 110, 4))
+    both = sources_together([as_events(spark.readStream.schema(FILE).parquet(p)) for p in (busy, idle)], "5 seconds")
+    counts = windowed_counts(both, "type", "10 minutes", None)
+    with latest_watermark(spark):
+        got = run(spark, counts, "latest")
+    assert sorted((r.window_start.timestamp(), r.type, r.n) for r in got.collect()) == [(0, "signup", 1), (0, "view", 1), (600, "view", 1)]
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    assert run(spark, counts, "least").count() == 0
+
+
 def test_restart_loses_and_repeats_nothing(spark, sf, tmp_path):
     """Two runs on one checkpoint give what is decided by then, each match once."""
     folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
