@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -12,14 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from evwarden.llm.common import map_blocks, stored, text_of
-from evwarden.llm.near import BANDS, ROWS, band_keys, compared, least_hashes, near_components, shingles
+from evwarden.llm.near import near_roots, text_bands
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: A line is removed where more documents than this of one host have it; those that are near copies without it count as one.
+#: A line is removed where more documents than this of one host have it; near copies count as one.
 MAX_DOCUMENTS = 10
 #: A document of which a larger share of words is removed is depleted.
 MAX_REMOVED = 0.5
+#: Lines to remove are sent to the tasks up to so many (host, hash), beyond that they are joined.
+SENT_LINES = 500_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -73,72 +74,17 @@ def _scan(block: dict[str, list]) -> dict[str, list]:
     texts = [t or "" for t in block["text"]]
     rows = [base_counts(t) for t in texts]
     out = {k: [r[k] for r in rows] for k in rows[0]} if rows else {}
-    return out | {"id": block["id"], "host": block["host"], "lines": [_line_words(t) for t in texts]}
+    return out | {"id": block["id"], "host": block["host"], "lines": [_line_words(t) for t in texts], "keys": [text_bands(t) for t in texts]}
 
 
-def line_shingles(text: str) -> dict[int, set[int]]:
-    """The shingles of each line of a text by the line's key; none goes over a line end."""
-    out: dict[int, set[int]] = {}
-    for line in text.split("\n"):
-        key = line_key(line)
-        if key is not None:
-            out[key] = out.get(key, set()) | shingles(line)
-    return out
-
-
-def other_shingles(text: str, line: int) -> set[int]:
-    """The shingles of a text without one of its lines; those of an empty text if it has no other."""
-    return set().union(*(s for k, s in line_shingles(text).items() if k != line)) or shingles("")
-
-
-def _fingerprints(block: dict[str, list]) -> dict[str, list]:
-    """For each of the listed lines of a text the fingerprints and the number of shingles of the rest."""
-    out: dict[str, list] = {c: [] for c in ("host", "content", "line", "keys", "size")}
-    for host, content, listed, scopes, text in zip(*(block[c] for c in ("host", "content", "listed", "scopes", "text"))):
-        by = line_shingles(text)
-        often = Counter(s for part in by.values() for s in part)
-        least = {k: least_hashes(list(part)) for k, part in by.items()}
-        first = np.full((2, BANDS * ROWS), (1 << 64) - 1, np.uint64)  # the least values, and those of all lines but theirs
-        owner = np.zeros(BANDS * ROWS, np.int64)
-        for key, values in least.items():
-            lower = values < first[0]
-            first[1] = np.where(lower, first[0], np.minimum(first[1], values))
-            first[0], owner = np.where(lower, values, first[0]), np.where(lower, key, owner)
-        for line, scope in zip(listed, scopes):
-            rest = np.where(owner == line, first[1], first[0]) if len(by) > 1 else least_hashes(list(shingles("")))
-            size = len(often) - sum(often[s] == 1 for s in by[line])
-            for c, v in zip(out, (host, content, line, band_keys(rest, scope), max(size, 1))):
-                out[c].append(v)
-    return out
-
-
-def _bad_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, max_documents: int) -> DataFrame:
+def _bad_lines(rows: DataFrame, docs: DataFrame, text_col: str, max_documents: int) -> DataFrame:
     """(bad_host, bad_line): the lines that more than ``max_documents`` documents of a host have, near copies counted once."""
-    by = ["host", "line"]
-    seen = lines.groupBy(*by, "content").agg(F.min("id").alias("id"))
-    often = seen.groupBy(*by).agg(F.count("*").alias("texts")).where(F.col("texts") > max_documents)
-    often = stored(often.select(*(F.col(c).alias(f"_{c}") for c in by), "texts"), "common-lines")
-    here = (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))
-    node = F.xxhash64("host", "line", "content").alias("node")
-    nodes = stored(seen.join(often, here).select("host", "line", "content", "id", F.xxhash64("host", "line").alias("scope"), node), "common-rows")
-
-    listed = nodes.groupBy("host", "content").agg(
-        F.min("id").alias("_id"), F.collect_list("line").alias("listed"), F.collect_list("scope").alias("scopes")
-    )
-    keyed = docs.select(docs[id_col].alias("_doc_id"), text_of(docs, text_col).alias("text"))
-    keyed = keyed.withColumn("_content", F.xxhash64("text"))
-    texts = keyed.join(listed.hint("merge"), F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("content")))
-    texts = texts.select("host", "content", "listed", "scopes", "text")
-    kind = lines.schema["host"].dataType.simpleString()
-    found = map_blocks(texts, _fingerprints, f"host {kind}, content bigint, line bigint, keys array<bigint>, size int")
-    entries = stored(found.select(F.explode("keys").alias("key"), node, "size").distinct(), "line-bands")
-    same = compared(docs, nodes.select("node", "id", "content", "line"), id_col, text_col, other_shingles)
-    roots = near_components(entries, same)
-    spare = roots.where("node != root").join(nodes, "node").groupBy(*by).agg(F.count("*").alias("spare"))
-    spare = spare.select(F.col("host").alias("spare_host"), F.col("line").alias("spare_line"), "spare")
-    its = (F.col("spare_line") == F.col("_line")) & F.col("spare_host").eqNullSafe(F.col("_host"))
-    bad = often.join(spare, its, "left").where(F.col("texts") - F.coalesce("spare", F.lit(0)) > max_documents)
-    return stored(bad.select(F.col("_host").alias("bad_host"), F.col("_line").alias("bad_line")), "bad-lines")
+    bands = rows.groupBy(F.col("content").alias("node")).agg(F.first("keys").alias("keys"))
+    roots = near_roots(bands, docs, text_col)
+    known = rows.select("host", "content", "lines").join(roots, F.col("node") == F.col("content"), "left")
+    each = known.select("host", F.coalesce("root", "content").alias("text"), F.explode("lines.line").alias("line"))
+    often = each.distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > max_documents)
+    return stored(often.select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line")), "bad-lines")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -151,8 +97,8 @@ def line_rules(
     """Counts and verdict of each row of ``docs``: id, host, content, the base counts, removed_words, bad_lines, base_failed, kept.
 
     Lines are compared without case, digits and spacing.  For each host the documents
-    with a line are counted, near copies once: those linked by a similarity of 0.8 or more of their
-    five-word shingles, the line itself left out.  ``bad_lines`` holds the keys
+    with a line are counted, near copies once: those of one component of texts linked by a similarity of 0.8 or more of their
+    five-word shingles (``near.near_roots``).  ``bad_lines`` holds the keys
     of the lines to remove, ``removed_words`` their words.  A document is kept if it passes the base rules and
     at most ``max_removed`` of its words are removed.
 
@@ -160,16 +106,16 @@ def line_rules(
     repeated rows and null ids each get their own result.  An empty table gives no rows.
     """
     kind, host = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
-    schema = f"id {kind}, host {host}, {', '.join(f'{c} bigint' for c in [*COUNTS, 'content'])}, lines array<struct<line: bigint, words: bigint>>"
+    schema = f"id {kind}, host {host}, {', '.join(f'{c} bigint' for c in [*COUNTS, 'content'])}, lines array<struct<line: bigint, words: bigint>>, keys array<bigint>"
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[host_col].alias("host"))
     rows = stored(map_blocks(rows, _scan, schema).withColumn("row", F.monotonically_increasing_id()), "line-counts")
 
-    lines = rows.select("row", "id", "host", "content", F.explode("lines").alias("l")).select("*", "l.*").drop("l")
-    bad = _bad_lines(docs, lines, id_col, text_col, max_documents)
-
-    hit = lines.join(bad, (F.col("line") == F.col("bad_line")) & F.col("host").eqNullSafe(F.col("bad_host")))
+    bad = _bad_lines(rows, docs, text_col, max_documents)
+    lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
+    sent = F.broadcast(bad) if bad.count() <= SENT_LINES else bad.hint("merge")
+    hit = lines.join(sent, (F.col("line") == F.col("bad_line")) & F.col("host").eqNullSafe(F.col("bad_host")))
     removed = hit.groupBy("row").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("bad"))
-    out = rows.drop("lines").join(removed, "row", "left")
+    out = rows.drop("lines", "keys").join(removed, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     lost = F.coalesce("removed", F.lit(0))
     return out.select(

@@ -6,27 +6,29 @@ from collections import OrderedDict
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evwarden.llm.common import map_blocks, stored, text_of
 from evwarden.llm.components import components
-from evwarden.llm.simhash import one_row_each
 
 WIDTH = 5
 SIMILAR = 0.8
+#: Sets of sizes s and t are similar if they differ in no more than (s + t) / APART elements.
+APART = 9
 #: Fingerprints of a text, and least hashes that make up one. At a similarity of 0.8 one or more are equal in 0.999 of all pairs.
-BANDS = 24
-ROWS = 6
-#: Buckets with more entries of several components are divided by the other fingerprints before their entries are compared.
-BUCKET = 64
+BANDS = 18
+ROWS = 5
 SEED = 42
+#: Texts to fetch are sent to the tasks as a list of hashes up to so many, beyond that texts and hashes are dealt out.
+SENT_NODES = 2_000_000
 
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _FACTORS, _SHIFTS = _DRAWS[0] | np.uint64(1), _DRAWS[1]
 _HASHES = 256
-#: Shingle sets that a task keeps while it compares pairs.
+#: Shingle sets that a task keeps while it compares pairs, and pairs with their texts that it takes at a time.
 _KEPT = 64
+_PAIRS = 64
 
 
 def _hashes(words: list[bytes], width: int) -> list[int]:
@@ -55,92 +57,133 @@ def least_hashes(hashes: list[int]) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray, scope: int = 0) -> list[int]:
-    """The fingerprints, as signed numbers of 64 bits; those of different ``scope`` are different."""
+def band_keys(least: np.ndarray) -> list[int]:
+    """The fingerprints, as signed numbers of 64 bits."""
     part = least.astype("<u8").reshape(BANDS, ROWS)
-    keys = [xxhash.xxh64_intdigest(part[i].tobytes() + scope.to_bytes(8, "little", signed=True), i) for i in range(BANDS)]
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+    return [_signed(xxhash.xxh64_intdigest(part[i].tobytes(), i)) for i in range(BANDS)]
 
 
-def near_components(entries: DataFrame, similar) -> DataFrame:
-    """(node, root) for the nodes that are near copies of another, over links that ``similar`` verifies.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    ``entries`` holds (key, node, size): the fingerprints and the number of shingles of each node. ``similar`` takes pairs (a, b) and
-    returns those that are near copies. Each node is first compared with the least node of each of its buckets, so that a dense
-    group becomes one component without its pairs being listed. Then all pairs of a bucket that are in different components
-    are compared; buckets with more than ``BUCKET`` entries are divided by each of the other fingerprints for that. No bucket is capped.
+
+def text_bands(text: str) -> list[int]:
+    return band_keys(least_hashes(_hashes(text.encode().lower().split(), WIDTH)))
+
+
+def near_roots(bands: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, root) for the nodes that are near copies of another; ``root`` is the least node of the component.
+
+    ``bands`` holds (node, keys): a hash of a text, each once, and its fingerprints; ``docs`` the texts. Texts with a fingerprint in common form
+    a bucket. Each member is compared exactly with the hub of its bucket, the member that shares most with others, and what the two do not have
+    in common is kept. Two members that are similar to each other but not both to the hub must have much of these differences in common, so
+    further pairs come from the rarest differences of each member to a hub: every pair of a bucket that is similar is found, while
+    the pairs of a large group are never listed. Nothing depends on the size of a bucket.
     """
-    buckets = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(buckets, "buckets")
-    live = stored(entries.join(buckets, "key"), "entries")
-    hubs = live.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    close = stored(similar(hubs), "near")
-    dense = components(close)
-    known = live.drop("hub", "n").join(dense, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    known = stored(known, "parts")
-    mixed = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    left = stored(known.join(mixed.select("key", "n"), "key"), "mixed")
-    pairs = _pairs(left.where(F.col("n") <= BUCKET), ["key"])
-    large = left.where(F.col("n") > BUCKET)
-    finer = large.select("key", "node", "size", "part").join(left.select("node", F.col("key").alias("other")), "node").where("key < other")
-    pairs = pairs.union(_pairs(finer, ["key", "other"])).distinct()
-    far = stored(similar(pairs.join(hubs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")), "far")
+    entries = stored(bands, "bands").select("node", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    live = stored(entries.join(shared, "key"), "shared")
+    weight = live.groupBy("node").agg(F.sum("n").alias("weight"))
+    first = F.max(F.struct("weight", "node")).alias("top")
+    hubs = live.join(weight, "node").groupBy("key").agg(first).select("key", F.col("top.node").alias("hub"))
+    pairs = live.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(pairs, "pairs")
+    texts = _texts(docs, text_col, pairs.select("a").union(pairs.select("b")).distinct())
+    met = stored(_compared(pairs, texts, True), "compared")
+    close = met.where("same").select("a", "b")
+    parts = components(close)
+    further = stored(_further(met, parts), "further")
+    far = stored(_compared(further, texts, False), "far").where("same").select("a", "b")
     return components(close.union(far))
 
 
-def _pairs(entries: DataFrame, keys: list[str]) -> DataFrame:
-    a = entries.select(*keys, F.col("node").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"))
-    b = entries.select(*keys, F.col("node").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"))
-    far = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))
-    return a.join(b, keys).where(far & (F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))).select("a", "b")
+def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(node, text) for the wanted nodes, each text once."""
+    nodes = stored(nodes.toDF("node"), "wanted")
+    text = text_of(docs, text_col)
+    keyed = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    wanted = F.broadcast(nodes) if nodes.count() <= SENT_NODES else nodes.hint("merge")
+    return stored(keyed.join(wanted, "node").dropDuplicates(["node"]), "texts")
 
 
-def compared(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, parts):
-    """A ``similar`` for ``near_components``: the set of a node is ``parts`` of its text and ``line``.
-
-    ``nodes`` holds (node, id, content, line): a row of ``docs`` with this id and this hash of its text has the node's text.
-    """
-    kind = nodes.select("node").schema["node"].dataType.simpleString()
+def _compared(pairs: DataFrame, texts: DataFrame, differences: bool) -> DataFrame:
+    """(a, b, same, size_a, size_b, apart) of pairs (a, b): whether their texts are near copies, the sizes of their sets, and the elements that one of them alone has."""
 
     def rows(block: dict[str, list]) -> dict[str, list]:
         kept: OrderedDict = OrderedDict()
 
-        def of(node, text, line):
+        def of(node, text):
             if node not in kept:
-                kept[node] = parts(text, line)
+                kept[node] = shingles(text)
                 if len(kept) > _KEPT:
                     kept.popitem(last=False)
             kept.move_to_end(node)
             return kept[node]
 
-        same = [
-            similarity(of(a, s, k), of(b, t, m)) >= SIMILAR
-            for a, s, k, b, t, m in zip(*(block[c] for c in ("a", "text_a", "line_a", "b", "text_b", "line_b")))
-        ]
-        return {c: [x for x, y in zip(block[c], same) if y] for c in ("a", "b")}
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        named = nodes.join(wanted, "node").select("node", "line", F.col("id").alias("_id"), F.col("content").alias("_content"))
-        keyed = docs.select(docs[id_col].alias("_doc_id"), text_of(docs, text_col).alias("_text"))
-        keyed = keyed.withColumn("_doc_content", F.xxhash64("_text"))
-        here = F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_content") == F.col("_content"))
-        texts = keyed.join(named.hint("merge"), here).select("node", "line", F.col("_text").alias("text"))
-        texts = stored(texts.dropDuplicates(["node"]), "texts")
-        for end in "ab":
-            side = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"), F.col("line").alias(f"line_{end}"))
-            pairs = pairs.join(side.hint("merge"), end)
-        return map_blocks(pairs, rows, f"a {kind}, b {kind}")
-
-    return similar
+        out: dict[str, list] = {c: [] for c in ("same", "size_a", "size_b", "apart")}
+        for a, s, b, t in zip(*(block[c] for c in ("a", "text_a", "b", "text_b"))):
+            x, y = of(a, s), of(b, t)
+            apart = x ^ y
+            out["same"].append(APART * len(apart) <= len(x) + len(y))
+            out["size_a"].append(len(x))
+            out["size_b"].append(len(y))
+            out["apart"].append(np.array(list(apart), np.uint64).view(np.int64) if differences else None)
+        return {"a": block["a"], "b": block["b"]} | out
+
+    for end in "ab":
+        side = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+        pairs = pairs.join(side.hint("merge"), end)
+    return map_blocks(pairs, rows, "a bigint, b bigint, same boolean, size_a int, size_b int, apart array<bigint>", _PAIRS)
+
+
+def _further(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that may be similar, from the differences ``apart`` of members ``a`` to hubs ``b``.
+
+    For members p and q of sizes s and t with differences P and Q to a hub of size h, P ^ Q is what p and q do not have in common, so they are
+    similar only if ``2 * |P & Q| >= |P| + |Q| - (s + t) / 9``. One of them, q, is not similar to the hub: ``|Q| > (t + h) / 9``. So more than
+    ``(|P| + (h - s) / 9) / 2`` elements of P are in Q, and ``|Q| - t / 4`` of Q or more in P. In one order of all elements, rare ones first, the two
+    then share one of the first elements: of P as many as leave fewer than that, and of Q likewise.
+    """
+    mixed = met.groupBy("b").agg(F.count("*").alias("n"), F.bool_and("same").alias("all")).where("n > 1 and not all").select("b")
+    members = met.where(F.size("apart") > 0).join(mixed, "b", "left_semi")
+    members = members.join(parts.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    count, size, hub = F.size("apart"), F.col("size_a"), F.col("size_b")
+    half = count - F.floor((APART * count + hub - size) / (2 * APART) + 1e-6)  # of whole numbers by 18: rounding moves none
+    most = F.least(count, F.floor(size / 4) + 1)
+    members = members.select("b", "a", "same", "size_a", "root", count.alias("count"), half.alias("half"), most.alias("most"), "apart")
+    members = stored(members, "members")
+    tokens = members.select("b", "a", F.explode("apart").alias("token"))
+    often = tokens.groupBy("b", "token").agg(F.count("*").alias("often")).where("often > 1")
+    mine = Window.partitionBy("b", "a")  # the differences of one member
+    place = F.row_number().over(mine.orderBy("often", "token")) - F.count("*").over(mine)
+    ranked = tokens.join(often, ["b", "token"]).select("b", "a", "token", place.alias("place"))
+    ranked = ranked.join(members.drop("apart"), ["b", "a"]).withColumn("place", F.col("place") + F.col("count"))
+    ranked = stored(ranked.where((F.col("place") <= F.col("half")) | (~F.col("same") & (F.col("place") <= F.col("most")))), "ranked")
+    near = F.col("place") <= F.col("half")
+    one = ranked.where(near).select("b", "token", F.col("a").alias("p"), F.col("same").alias("p_same"), F.col("root").alias("p_root"), F.col("size_a").alias("p_size"))
+    two = ranked.where("not same").select("b", "token", F.col("a").alias("q"), near.alias("q_near"), F.col("root").alias("q_root"), F.col("size_a").alias("q_size"))
+    fits = (F.col("p_root") != F.col("q_root")) & (F.least("p_size", "q_size") >= SIMILAR * F.greatest("p_size", "q_size"))
+    found = one.join(two, ["b", "token"]).where(fits & (F.col("p_same") | (F.col("q_near") & (F.col("p") < F.col("q")))))
+    found = found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    known = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.join(known, ["a", "b"], "left_anti")
 
 
 def _scan(block: dict[str, list]) -> dict[str, list]:
-    found = [_hashes(t.encode().lower().split(), WIDTH) for t in block["text"]]
-    return {
-        "id": block["id"], "content": block["content"], "keys": [band_keys(least_hashes(h)) for h in found], "size": [len(set(h)) for h in found]
-    }
+    return {"id": block["id"], "content": block["content"], "keys": [text_bands(t) for t in block["text"]]}
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, content, keys) of each row of ``docs``, and (content, root) of the texts that are near copies of another.
+
+    Texts are told apart by a hash of 64 bits.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = text_of(docs, text_col)
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
+    rows = stored(map_blocks(rows, _scan, f"id {kind}, content bigint, keys array<bigint>"), "bands")
+    bands = rows.groupBy(F.col("content").alias("node")).agg(F.first("keys").alias("keys"))
+    return rows, near_roots(bands, docs, text_col).withColumnRenamed("node", "content")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,22 +192,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``component`` is the smallest id of the rows reachable over near copies. Null text is empty text; texts
     without words are copies of each other. Null ids name a component only as null where no row of it has an id.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text_of(docs, text_col)).alias("content"), text_of(docs, text_col).alias("text"))
-    rows = stored(map_blocks(rows, _scan, f"id {kind}, content bigint, keys array<bigint>, size int"), "bands")
-    named = stored(rows.groupBy("content").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size")), "named")
-    entries = named.select(F.explode("keys").alias("key"), F.col("content").alias("node"), "size")
-    nodes = named.select(F.col("content").alias("node"), F.col("least").alias("id"), "content", F.lit(None).cast("bigint").alias("line"))
-    roots = near_components(entries, compared(docs, nodes, id_col, text_col, lambda text, line: shingles(text)))
-    linked = stored(named.select("content", "least").join(roots.withColumnRenamed("node", "content"), "content"), "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("of_root"))
-    moved = stored(linked.join(least, "root").select("content", "of_root"), "classes")
+    rows, roots = _classes(docs, id_col, text_col)
+    named = stored(rows.groupBy("content").agg(F.min("id").alias("least")).join(roots, "content", "left"), "named")
+    least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
     # a class with ids takes the smallest; one without has null in all of its rows
-    classes = named.select("content", "least").join(moved, "content", "left")
-    classes = classes.select("content", F.coalesce("of_root", "least").alias("component"))
+    classes = named.join(least, "root", "left").select("content", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("component"))
     return rows.select("id", "content").join(classes, "content").select("id", "component")
 
 
 def one_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of near copies; which, is as in ``one_of_each``."""
-    return one_row_each(docs, near_copies(docs, id_col, text_col), id_col)
+    """``docs`` with one row of each component of near copies: the row of the smallest id, ties by a hash of the text.
+
+    Components are of texts, so documents that only share an id, or have none, all stay. Rows without an id give way to those
+    with one. Of rows with equal id and text the one of the least hash over all columns stays. Columns are those of ``docs``, whatever their names.
+    """
+    rows, roots = _classes(docs, id_col, text_col)
+    found = rows.groupBy("id", "content").agg(F.count("*").alias("n")).join(roots, "content", "left")
+    found = found.withColumn("root", F.coalesce("root", "content"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content", "n")).alias("first")
+    keep = found.groupBy("root").agg(first).select(
+        F.col("first.id").alias("_keep_id"), F.col("first.content").alias("_keep_content"), F.col("first.n").alias("_keep_n")
+    )
+    return _rows_of(docs, stored(keep, "keepers"), id_col, text_col)
+
+
+def _rows_of(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with an id and text of ``keep``, one for each."""
+    # as many keepers as groups: no side of a known size, so texts are dealt out at every size
+    here = (F.col("_keep_content") == F.xxhash64(text_of(docs, text_col))) & F.col("_keep_id").eqNullSafe(docs[id_col])
+    kept = docs.join(keep.hint("merge"), here)
+    once = kept.where("_keep_n = 1").select(*(docs[c] for c in docs.columns))
+    if keep.where("_keep_n > 1").isEmpty():
+        return once
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    again = kept.where("_keep_n > 1").groupBy("_keep_id", "_keep_content").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_keep_row"))
+    return once.unionByName(again.select("_keep_row.*"))

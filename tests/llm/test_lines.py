@@ -1,4 +1,6 @@
-from collections import Counter
+import random
+import re
+from collections import Counter, defaultdict
 
 from tables import awkward, docs, empty, prose
 
@@ -86,3 +88,55 @@ def test_near_copies_count_as_one_beside_others(spark):
         rows += [(i, "\n".join([" ".join(base[:100]), line, " ".join([*base[100:140], f"e{i}", *base[141:]])]), host) for i in range(30)]
         rows += [(100 + i, f"{line}\n" + " ".join(prose(7_100 + i, 80, 400_000)), host) for i in range(others)]
     assert all(r.removed_words == (7 if r.host == "eleven" else 0) for r in line_rules(docs(spark, rows)).collect())
+
+
+def random_hosts(seed):
+    """Hosts of documents made of a few common lines, own lines and copies with edits."""
+    draw = random.Random(seed)
+    rows = []
+    for host in ("a", "b", None):
+        common = [" ".join(prose(draw.randrange(10**6), draw.choice([4, 12, 60]))) for _ in range(6)]
+        for _ in range(45):
+            own = [" ".join(prose(draw.randrange(10**6), draw.choice([20, 50, 90]), 400_000)) for _ in range(draw.choice([1, 2]))]
+            lines = own + draw.sample(common, draw.choice([0, 1, 2, 4]))
+            draw.shuffle(lines)
+            text = "\n".join(lines)
+            for _ in range(draw.choice([1, 1, 1, 2, 6])):
+                words = text.split(" ")
+                words[draw.randrange(len(words))] = f"e{draw.randrange(10**6)}"
+                rows.append((len(rows), text if draw.random() < 0.5 else " ".join(words), host))
+    return rows
+
+
+def naive_verdicts(rows, limit):
+    """Words to remove of each document: lines of more than ``limit`` groups of near copies of one host."""
+    def form(line):
+        return " ".join(re.sub("[0-9]", "0", line.lower()).split())
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in ((i, t.lower().split()) for i, t, _ in rows)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 9 * len(sets[a] ^ sets[b]) <= len(sets[a]) + len(sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    seen = defaultdict(set)
+    for i, t, host in rows:
+        for line in t.split("\n"):
+            seen[host, form(line)].add(find(i))
+    return {i: sum(len(x.split()) for x in t.split("\n") if form(x) and len(seen[host, form(x)]) > limit) for i, t, host in rows}
+
+
+def test_line_verdict_on_random_hosts(spark):
+    for seed in (1, 2):
+        rows = random_hosts(seed)
+        want = naive_verdicts(rows, 7)
+        got = {r.id: r for r in line_rules(docs(spark, rows), max_documents=7).collect()}
+        assert {i: r.removed_words for i, r in got.items()} == want and len({n > 0 for n in want.values()}) == 2
+        assert all(r.kept == (not r.base_failed and 2 * r.removed_words <= r.n_words) for r in got.values())
