@@ -7,13 +7,15 @@ seed, so the tables need no shared generator state and no order of execution.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evwarden.functions.draws import guid, hashed_raw, sample, uniform_int, zipf
 from evwarden.operators.running import latest_before, running_total
+from evwarden.sinks.scratch import stored
 from evwarden.functions.templates import (
     missing_arguments,
     query_string,
@@ -115,6 +117,83 @@ def bind(expanded: DataFrame, workload: Mapping[str, Any], seed: int, draw: Draw
     return expanded.select(*base, values.alias("values"))
 
 
+# Raw draw of a row for the purpose in a column.
+ColumnDraw = Callable[[Column], Column]
+
+
+def bindings(workloads: DataFrame) -> DataFrame:
+    """(workload, tx_ref, bound): for each transaction reference of the parsed workloads what its arguments draw from.
+
+    ``bound`` holds, in the order of the document, the argument's name, the fields of its generator, the purpose of the draw and, for
+    a counter, the draws made before the transaction, those in one transaction and the place among them.
+    """
+    tx = workloads.select(F.col("templateId").alias("workload"), "generators", F.posexplode("transactions").alias("t", "tx"))
+    refs = tx.select("workload", "generators", "t", F.col("tx.id").alias("tx_ref"), F.col("tx.count").alias("count"), F.posexplode("tx.data").alias("d", "ref"))
+    gen = F.get(F.filter("generators", lambda g: g["id"] == F.col("ref.generatorReferenceId")), 0)
+    refs = refs.withColumn("gen", gen).where("gen IS NOT NULL")
+    # tables of definitions: a row for each reference to a generator
+    here = Window.partitionBy("workload", "t", "gen.id")
+    earlier = Window.partitionBy("workload", "gen.id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    refs = refs.select(
+        "*", F.count("*").over(here).alias("uses"), (F.row_number().over(here.orderBy("d")) - 1).alias("place"),
+        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"),
+    )
+    one = F.struct(
+        "d", F.col("ref.name").alias("name"), F.concat("gen.id", F.lit("/"), "ref.name").alias("purpose"), F.lower("gen.type").alias("kind"),
+        (F.lower(F.coalesce("gen.distribution", F.lit(""))) == "zipfian").alias("zipfian"), "gen", "uses", "place", "before",
+    )
+    return refs.groupBy("workload", "tx_ref").agg(F.sort_array(F.collect_list(one)).alias("bound"))
+
+
+def bind_all(expanded: DataFrame, workloads: DataFrame, seed: int, draw: ColumnDraw | None = None) -> DataFrame:
+    """As :func:`bind`, for the transactions of all ``workloads`` (a table as :func:`evwarden.sources.definitions.parse` gives it).
+
+    Definitions are joined, one row for each transaction reference; values come from array functions. Zipfian draws, whose tables of ranks do not fit
+    a row, are made by a join for each size of such a table and put together for each transaction. References to unknown generators bind nothing.
+    """
+    draw = draw or (lambda purpose: hashed_raw(seed, purpose, *_IDS))
+    found = stored(bindings(workloads), "bindings")
+    joined = expanded.join(found, ["workload", "tx_ref"], "left")
+    plain = F.filter(last_named(F.col("bound")), lambda b: ~(b["zipfian"] & (b["kind"] != "counter")))
+    pairs = F.transform(plain, lambda b: F.struct(b["name"], _drawn(b, draw(b["purpose"]), seed)))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    out = joined.withColumn("values", F.coalesce(F.map_from_entries(pairs), none)).drop("bound")
+    skewed = found.select("workload", "tx_ref", F.explode(last_named(F.col("bound"))).alias("b")).where("b.zipfian AND b.kind <> 'counter'")
+    space, size = F.col("b.gen.sampleSpace"), F.col("b.gen.max") - F.col("b.gen.min")
+    skewed = skewed.withColumn("ranks", F.when(F.size(space) > 0, F.size(space)).otherwise(size)).withColumn("exponent", F.coalesce("b.gen.exponent", F.lit(1.0)))
+    parts = []
+    for ranks, exponent in skewed.select("ranks", "exponent").distinct().collect():  # as many as definitions have generators
+        if ranks is None:
+            raise ValueError("a zipfian draw needs bounds or a sample space")
+        mine = skewed.where((F.col("ranks") == ranks) & (F.col("exponent") == exponent)).select("workload", "tx_ref", "b")
+        rows = expanded.select(*_IDS).join(mine, ["workload", "tx_ref"]).withColumn("raw", draw(F.col("b.purpose")))
+        rank = zipf(rows, "raw", ranks, "rank", exponent)
+        value = F.when(F.size("b.gen.sampleSpace") > 0, F.get("b.gen.sampleSpace", (F.col("rank") - 1).cast("int"))).otherwise((F.col("rank") - 1 + F.col("b.gen.min")).cast("string"))
+        parts.append(rank.select(*_IDS, F.struct(F.col("b.name"), value).alias("pair")))
+    if not parts:
+        return out
+    more = reduce(DataFrame.unionByName, parts).groupBy(*_IDS).agg(F.map_from_entries(F.collect_list("pair")).alias("_more"))
+    out = out.join(more, _IDS, "left")
+    return out.select(*expanded.columns, F.when(F.col("_more").isNull(), F.col("values")).otherwise(F.map_concat("values", "_more")).alias("values"))
+
+
+def _drawn(b: Column, raw: Column, seed: int) -> Column:
+    """The text that a binding gives for its raw draw."""
+    gen = b["gen"]
+    bounded = gen["min"].isNotNull() & gen["max"].isNotNull()
+    low, high = F.when(bounded, gen["min"]).otherwise(0).cast("bigint"), F.when(bounded, gen["max"]).otherwise((1 << 31) - 1).cast("bigint")
+    number = F.when(high <= low, low).otherwise(F.floor(F.shiftright(raw * (high - low), 31)).cast("bigint") + low)
+    counter = F.col("ordinal") * b["uses"] + b["before"] + b["place"] + F.coalesce(gen["start"], F.lit(0))
+    return (
+        F.when(b["kind"] == "counter", counter.cast("string"))
+        .when(F.size(gen["sampleSpace"]) > 0, F.get(gen["sampleSpace"], F.pmod(raw, F.size(gen["sampleSpace"])).cast("int")))
+        .when(b["kind"].isin("unsignedint", "signedint"), number.cast("string"))
+        .when(b["kind"] == "string", F.lit(FIXED_STRING))
+        .when(b["kind"] == "guid", guid(F.lit(seed), gen["id"], raw, *_IDS))
+        .when(b["kind"] == "constant", gen["constant"])
+    )
+
+
 def generated(gen: Mapping[str, Any], raw: Column, seed: int) -> Column:
     """A value of a generator that needs nothing but its raw draw."""
     kind = gen["type"].lower()

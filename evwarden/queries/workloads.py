@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,18 @@ def bind_values(spark: SparkSession, sf: str) -> DataFrame:
     return bound.select("ordinal", F.size("values").alias("n_values"), *[F.col("values")[n].alias(n) for n in names])
 
 
+def bind_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same values from the parsed table of definitions: two workloads, joined with their transactions."""
+    other = {**_WORKLOAD, "templateId": "fair", "generators": [{**g, "start": 7} if g["id"] == "n" else g for g in _WORKLOAD["generators"]]}
+    texts = [(f"workload_{w['templateId']}.json", json.dumps(w), "workload") for w in (_WORKLOAD, other)]
+    workloads = S.parse(spark.createDataFrame(texts, "file string, text string, kind string"), "workload")
+    rows = _orders_as_transactions(spark, sf).withColumn("workload", F.when(F.col("ordinal") % 2 == 0, "shop").otherwise("fair"))
+    codes = lambda purpose: F.aggregate(F.split(purpose, ""), F.lit(0), lambda n, c: n + F.ascii(c))
+    bound = W.bind_all(rows, workloads, seed=1, draw=lambda purpose: D.lcg_raw(F.col("ordinal") * 64 + codes(purpose) % 64))
+    names = ["user", "price", "old_price", "n", "region", "product"]
+    return bound.select("ordinal", "workload", F.size("values").alias("n_values"), *[F.col("values")[n].alias(n) for n in names])
+
+
 def schedule_order(spark: SparkSession, sf: str) -> DataFrame:
     planned = W.schedule(_orders_as_transactions(spark, sf), seed=1, draw=_lcg_draw)
     return W.in_random_order(planned).select("ordinal", "order_key", "worker", "transaction_id")
@@ -242,7 +256,7 @@ def ref_integrity(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        gen_expand, gen_uniform, gen_counter, gen_zipf, gen_guid, bind_values, schedule_order, render_template, value_fold,
+        gen_expand, gen_uniform, gen_counter, gen_zipf, gen_guid, bind_values, bind_definitions, schedule_order, render_template, value_fold,
         value_visible, returned_into_request, sleep_offsets, definition_checks, request_table, cdc_read, ref_integrity,
     )
 }
@@ -296,6 +310,16 @@ ORACLES = {
         "CASE WHEN s = 'O' THEN 'eu' END AS region, CASE WHEN s = 'O' THEN CAST(rank AS VARCHAR) END AS product "
         "FROM x JOIN z ON pick >= lo AND pick < hi"
     ),
+    "bind_definitions": (
+        f"WITH {_ranked(50)}, x AS (SELECT o_orderkey AS ordinal, o_orderstatus AS s, {_draw('price/price')} AS r1, {_draw('price/old_price')} AS r2, "
+        f"CAST(CAST({_draw('product/product')} AS HUGEINT) * total // 2147483648 AS BIGINT) AS pick FROM orders, zt) "
+        "SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN 'shop' ELSE 'fair' END AS workload, CASE s WHEN 'F' THEN 4 WHEN 'O' THEN 3 ELSE 0 END AS n_values, CASE WHEN s = 'F' THEN '1000-00000-00000000' END AS \"user\", "
+        "CASE WHEN s = 'F' THEN CAST((r1 * 490) // 2147483648 + 10 AS VARCHAR) END AS price, "
+        "CASE WHEN s = 'F' THEN CAST((r2 * 490) // 2147483648 + 10 AS VARCHAR) END AS old_price, "
+        "CASE s WHEN 'F' THEN CAST(ordinal + CASE WHEN ordinal % 2 = 0 THEN 100 ELSE 7 END AS VARCHAR) WHEN 'O' THEN CAST(ordinal + 1000 + CASE WHEN ordinal % 2 = 0 THEN 100 ELSE 7 END AS VARCHAR) END AS n, "
+        "CASE WHEN s = 'O' THEN 'eu' END AS region, CASE WHEN s = 'O' THEN CAST(rank AS VARCHAR) END AS product "
+        "FROM x JOIN z ON pick >= lo AND pick < hi"
+    ),
     "schedule_order": (
         f"WITH x AS (SELECT o_orderkey AS ordinal, {_draw('order')} AS order_key, CAST({_draw('worker')} % 10 AS INTEGER) AS worker, "
         f"md5('1:shop:' || o_orderstatus || ':' || o_orderkey) AS h FROM orders) SELECT ordinal, order_key, worker, {_GUID} AS transaction_id FROM x"

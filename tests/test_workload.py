@@ -57,6 +57,32 @@ def parsed(spark, path):
     return S.parse(docs, "op"), S.parse(docs, "tx"), S.parse(docs, "workload")
 
 
+def test_binding_from_the_table_of_definitions(spark):
+    """Joined definitions bind what the document of each workload binds: every kind of generator, counters over transactions, skewed draws."""
+    docs = []
+    for name, start in (("w1", 3), ("w2", 50)):
+        gens = [
+            {"id": "u", "type": "string", "sampleSpace": ["a", "b", "c"]}, {"id": "c", "type": "counter", "start": start}, {"id": "c2", "type": "Counter"},
+            {"id": "i", "type": "unsignedInt", "min": 5, "max": 9}, {"id": "f", "type": "signedInt"}, {"id": "g", "type": "guid"}, {"id": "s", "type": "string"},
+            {"id": "k", "type": "constant", "constant": "x" + name}, {"id": "z", "type": "unsignedInt", "distribution": "zipfian", "min": 10, "max": 40},
+            {"id": "y", "type": "string", "distribution": "Zipfian", "sampleSpace": ["p", "q"], "exponent": 2.0},
+        ]
+        refs = lambda *pairs: [{"name": n, "generatorReferenceId": g} for n, g in pairs]
+        txs = [
+            {"id": "x1", "transactionReferenceId": "t", "count": 40, "data": refs(("a", "u"), ("n", "c"), ("m", "c"), ("z", "z"), ("i", "i"), ("o", "c2"))},
+            {"id": "x2", "transactionReferenceId": "t", "count": 30, "data": refs(("n", "c"), ("g", "g"), ("h", "g"), ("s", "s"), ("k", "k"), ("f", "f"), ("y", "y"), ("z2", "z"))},
+            {"id": "x3", "transactionReferenceId": "t", "count": 2, "data": []}, {"id": "x4", "transactionReferenceId": "t", "count": 5, "data": refs(("n", "c"))},
+        ]
+        docs.append({"templateId": name, "generators": gens, "transactions": txs})
+    texts = [(f"workload_{d['templateId']}.json", json.dumps(d), "workload") for d in docs]
+    workloads = S.parse(spark.createDataFrame(texts, "file string, text string, kind string"), "workload")
+    rows = W.expand_counts(W.transactions_of(workloads), "count", chunk=16)
+    key = lambda r: (r.workload, r.tx_ref, r.ordinal)
+    got = {key(r): r["values"] for r in W.bind_all(rows, workloads, seed=4).collect()}
+    want = {key(r): r["values"] for d in docs for r in W.bind(rows.filter(rows.workload == d["templateId"]), d, seed=4).collect()}
+    assert got == want and len(got) == 2 * 77 and {len(v) for v in got.values()} == {0, 1, 6, 8}
+
+
 def test_request_table(spark, folder):
     ops, txs, wls = parsed(spark, folder[1])
     assert S.definition_errors(ops, txs, wls).count() == 0
