@@ -15,6 +15,7 @@ from evwarden.operators.loops import figure_matches, judged_by_extremes
 from evwarden.operators.nearest import nearest_matches, searches
 from evwarden.operators.project import Layout, shared_layouts
 from evwarden.operators.scan import Chain, key_signature, look_ahead, scan_matches, scannable
+from evwarden.operators.stages import staged, staged_matches
 from evwarden.operators.sweep import sweep_matches
 from evwarden.operators.verdict import as_records, bindings, records_together, violations
 
@@ -34,8 +35,10 @@ def find_matches(
     ``loops`` asks for figures of a repeated step instead of its events, of
     :data:`evwarden.operators.loops.FIGURES`; then no match collects its loop events.
     """
-    if strategy not in ("auto", "scan", "nearest", "joins", "sweep"):
-        raise ValueError("strategy must be 'auto', 'scan', 'nearest', 'joins' or 'sweep'")
+    if strategy not in ("auto", "scan", "nearest", "joins", "stages", "sweep"):
+        raise ValueError("strategy must be 'auto', 'scan', 'nearest', 'joins', 'stages' or 'sweep'")
+    if strategy == "stages" and not staged(inv):
+        raise ValueError(f"invariant {inv.name!r} needs another strategy than stages")
     if strategy == "nearest" and searches(inv) is None:
         raise ValueError(f"invariant {inv.name!r} needs another strategy than nearest")
     if strategy == "joins" and not (pairable(inv) or loopable(inv) or tailable(inv)):
@@ -52,12 +55,16 @@ def find_matches(
         found = scan_matches(events, inv, layout, cells, open_until)
     elif strategy in ("auto", "nearest") and searches(inv) is not None:
         found = nearest_matches(events, inv, layout, cells, open_until)
+    elif strategy == "stages":
+        found = staged_matches(events, inv, layout, cells, open_until)
     elif strategy != "sweep" and pairable(inv):
         found = pair_matches(events, inv, layout, open_until)
     elif strategy != "sweep" and loopable(inv):
         found = loop_matches(events, inv, layout, cells, open_until)
     elif strategy != "sweep" and tailable(inv):
         found = tail_matches(events, inv, layout, cells, open_until)
+    elif strategy != "sweep" and staged(inv):
+        found = staged_matches(events, inv, layout, cells, open_until)
     else:
         found = sweep_matches(events, inv, layout, cells, open_until)
     return bindings(found, inv, layout)

@@ -115,6 +115,15 @@ def seq_loop_events(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(found, ids("c").alias("clicks"), ids("v").alias("views"))
 
 
+def seq_two_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks, then perhaps views, then a purchase, all of one user."""
+    inv = Invariant(
+        "clicks_then_views", user_aliases(s="signup", c="click", v="view", p="purchase"), ["s", Plus("c"), Star("v"), "p"], within="72 hours",
+        where=same_user("s", "c", "v", "p"), where_eval="eager", on_full_match=False,
+    )
+    return _ids(check(user_events(spark, sf), inv), F.size("c").alias("n_clicks"), F.size("v").alias("n_views"))
+
+
 def verdict_two_lists(spark: SparkSession, sf: str) -> DataFrame:
     """The same verdict from the figures of both lists."""
     inv = _loop("clicks_below_views", Plus("c", "v"), {"c": "click", "v": "view"}, attr("c.value") <= attr("v.value"))
@@ -314,7 +323,7 @@ QUERIES = {
         seq_single, seq_follow, seq_neg_full, seq_self_neg, seq_trailing_neg, seq_or, seq_plus, seq_star, seq_or_plus,
         seq_theta, seq_where_or, seq_three_deferred, seq_three_eager, seq_any, prefix_default, prefix_named, open_end,
         order_late_ship, verdict_forall, json_member, schema_projection, kafka_decode, many_invariants,
-        violation_records, match_bindings, seq_loop_events, verdict_two_lists, seq_five_prefixes, seq_late_neg,
+        violation_records, match_bindings, seq_loop_events, seq_two_loops, verdict_two_lists, seq_five_prefixes, seq_late_neg,
     )
 }
 
@@ -433,6 +442,15 @@ ORACLES = {
         "coalesce(string_agg(CAST(kid AS VARCHAR), ',' ORDER BY kus, kid) FILTER (kt = 'view'), '') AS views "
         f"FROM x GROUP BY id, cid HAVING {_ABOVE}"
     ),
+    "seq_two_loops": (
+        f"WITH {_E}, {_first('m', _of('signup'), 'click', 72, 'b.u = a.u')}, "
+        "m2 AS (SELECT id AS sid, us AS sus, u, nid AS id, nus AS us FROM m), "
+        f"{_first('p', 'm2', 'purchase', 72, 'b.u = a.u', 'sid', 'sus')}, {_first('x', 'm2', 'view|purchase', 72, 'b.u = a.u', 'sid', 'sus')}, "
+        "c AS (SELECT p.sid, p.nid AS pid, count(*) FILTER (k.t = 'click' AND (k.us < x.nus OR (k.us = x.nus AND k.id < x.nid))) AS n_clicks, "
+        "count(*) FILTER (k.t = 'view' AND (k.us > x.nus OR (k.us = x.nus AND k.id >= x.nid))) AS n_views FROM p JOIN x ON x.sid = p.sid "
+        "JOIN e k ON k.u = p.u AND (k.us > p.us OR (k.us = p.us AND k.id >= p.id)) AND (k.us < p.nus OR (k.us = p.nus AND k.id < p.nid)) GROUP BY 1, 2) "
+        "SELECT sid AS start_id, pid AS end_id, CAST(n_clicks AS INTEGER) AS n_clicks, CAST(n_views AS INTEGER) AS n_views FROM c"
+    ),
     "verdict_two_lists": (
         f"{_loop_sql('click|view', 1)} SELECT id AS start_id, cid AS end_id, CAST(count(*) FILTER (kt = 'click') AS INTEGER) AS n_clicks, "
         "round(sum(kv) FILTER (kt = 'view'), 4) AS views_total, max(kv) FILTER (kt = 'click') AS highest_click "

@@ -13,12 +13,13 @@ from evwarden import DEFAULT, Alias, CellOptions, Invariant, Not, Or, Plus, Star
 from evwarden.operators.joins import loopable, pairable, tailable
 from evwarden.operators.nearest import searches
 from evwarden.operators.scan import key_signature, scannable
+from evwarden.operators.stages import staged
 from evwarden.operators.verdict import all_pairs
 from evwarden.predicates import compare
 from evwarden.sources.events import memory_events
 
 AL = {n: Alias(n.upper(), {"k": "number", "v": "number", "s": "string"}) for n in "abcd"}
-AL["a2"] = AL["a"]
+AL["a2"], AL["d2"] = AL["a"], AL["d"]
 K = {n: attr(f"{n}.k") for n in AL}
 V = {n: attr(f"{n}.v") for n in AL}
 
@@ -47,6 +48,9 @@ SPECS = {
     "plus": dict(seq=["a", Plus("b"), "c"], where=[*on_key("b", "c"), V["b"] > 3]),
     "star": dict(seq=["a", Star("b"), Not("d"), "c"], where=[*on_key("b", "c", "d")]),
     "plus_or": dict(seq=["a", Not("d"), Plus("b", "c"), "a2"], where=[*on_key("b", "a2", "d")]),
+    "two_loops": dict(seq=["a", Plus("b"), Star("c"), "d"], where=[*on_key("b", "c", "d"), V["b"] > 2]),
+    "loops_and_negations": dict(seq=["a", Not("d2"), Star("b"), Not("a2"), Plus("c"), "d"], where=on_key("b", "c", "a2", "d", "d2"), within="90 msec"),
+    "loop_then_absence": dict(seq=["a", Star("b"), "c", Not("d")], where=on_key("b", "c", "d")),
     "loops_in_a_row": dict(seq=["a", Star("b"), Plus("c"), "d"], where=[V["c"] >= V["a"]]),
     "all_later": dict(seq=["a", "b"], where=[*on_key("b")], all_matches=True),
 }
@@ -82,6 +86,8 @@ def test_strategies_agree(spark, name, where_eval):
 
     if searches(inv) is not None:
         runs += [("nearest", CellOptions()), ("nearest", CellOptions(cell_rows=25, grain_us=3000))]
+    if staged(inv):
+        runs += [("stages", CellOptions()), ("stages", CellOptions(cell_rows=25, grain_us=3000))]
     if pairable(inv) or loopable(inv) or tailable(inv):
         runs += [("joins", CellOptions()), ("joins", CellOptions(cell_rows=25, grain_us=3000))]
 
@@ -133,6 +139,21 @@ def test_loop_figures(spark, name, cells, monkeypatch):
         assert judged == sorted((m[0], m[1]) for m in naive.violations(inv, plain))
 
 
+@pytest.mark.parametrize("cells", [CellOptions(), CellOptions(cell_rows=25, grain_us=3000)])
+@pytest.mark.parametrize("name", ["two_loops", "loops_and_negations", "loop_then_absence"])
+def test_events_of_several_loops(spark, name, cells):
+    inv = Invariant(name, AL, on_full_match=V["c"] > V["a"], on_prefix_match={DEFAULT: V["a"] > 5}, **{"within": "40 msec", **SPECS[name]})
+    rows, plain = table(17, 400)
+    events = memory_events(spark, rows)
+    held = lambda bound, i: [e["seq"] for e in bound.get(i, [])]
+    loops = [i for i, s in enumerate(inv.steps) if s.loop]
+    want = sorted((m[0], m[1], *[held(m[3], i) for i in loops]) for m in naive.matches(inv, plain))
+    found = find_matches(events, inv, strategy="stages", cells=cells).collect()
+    assert sorted((r.kind, r.start_id, *[[e["seq"] for e in r[inv.steps[i].aliases[0]]] for i in loops]) for r in found) == want
+    judged = sorted((r.kind, r.start_id) for r in check(events, inv, cells=cells).collect())
+    assert judged == sorted((m[0], m[1]) for m in naive.violations(inv, plain)) and judged
+
+
 def test_all_pairs_by_extremes(spark):
     """The extremes of two lists decide what comparing every pair does, missing values, NaN and signed zeros included."""
     rnd = random.Random(9)
