@@ -8,118 +8,143 @@ from pyspark.sql import functions as F
 #: Unknown sentences that may stand between two sentences of a rule, for each step.
 GAP = 2
 
-# Sentences of public licences and notices in normal form, and the order in which they make a licence.
-SENTENCES = {
-    "mit-notice": "released under the mit license",
-    "mit-notice-2": "licensed under the mit license",
-    "mit-grant": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
-        "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
-        "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
-        "furnished to do so subject to the following conditions"
-    ),
-    "mit-notice-kept": (
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
-    ),
-    "mit-as-is": (
-        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties "
-        "of merchantability fitness for a particular purpose and noninfringement"
-    ),
-    "apache-notice": "licensed under the apache license version 2 0",
-    "apache-notice-long": "licensed under the apache license version 2 0 the license",
-    "apache-compliance": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at",
-    "gpl-2-work": "this work is licensed under the gnu general public license version 2",
-    "gpl-3-work": "this work is licensed under the gnu general public license version 3",
-    "gpl-2-or-later": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
-        "published by the free software foundation either version 2 of the license or at your option any later version"
-    ),
-    "gpl-3-or-later": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
-        "published by the free software foundation either version 3 of the license or at your option any later version"
-    ),
-    "gpl-hope": (
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
-        "merchantability or fitness for a particular purpose"
-    ),
-    "bsd-redistribution": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
-        "conditions are met"
-    ),
-    "bsd-source": (
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
-    ),
-    "bsd-binary": (
-        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
-        "in the documentation and or other materials provided with the distribution"
-    ),
-    "bsd-endorsement": (
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
-        "from this software without specific prior written permission"
-    ),
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by-4": "licensed under cc by 4 0",
-    "cc-by-sa-4": "licensed under cc by sa 4 0",
-    "cc-by-nc-4": "licensed under cc by nc 4 0",
-}
-RULES = [
-    ("MIT", ["mit-notice"]),
-    ("MIT", ["mit-notice-2"]),
-    ("MIT", ["mit-grant", "mit-notice-kept", "mit-as-is"]),
-    ("Apache-2.0", ["apache-notice"]),
-    ("Apache-2.0", ["apache-notice-long", "apache-compliance"]),
-    ("Apache-2.0", ["apache-notice-long", "apache-compliance", "apache-copy"]),
-    ("GPL-2.0", ["gpl-2-work"]),
-    ("GPL-3.0", ["gpl-3-work"]),
-    ("GPL-2.0-or-later", ["gpl-2-or-later", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-3-or-later", "gpl-hope"]),
-    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
-    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorsement"]),
-    ("MPL-2.0", ["mpl-notice"]),
-    ("CC-BY-4.0", ["cc-by-4"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
+# Public licence notices, as far as they name the licence; a licence may have several.
+NOTICES = [
+    ("MIT", "Released under the MIT license."),
+    ("MIT", "Licensed under the MIT license."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("ISC", """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License version 3."),
+    ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""),
+    ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""),
+    ("AGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version."""),
+    ("LGPL-2.1-or-later", """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""),
+    ("LGPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0."""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 # End of the fixed values.
 
-WRAPPED = r"\n([a-z])"
-WRAPPED_CAPITALS = r"([A-Z]{2},?)\n([A-Z]{2})"
-ENDED = r"([.!?;:])[ \t\r\n]+"
+#: What a line of a comment or list begins with, up to four marks; indentation goes with it.
+MARKS = r"(^|\n)[ \t]*(?:(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--|>+)[ \t]*){0,4}"
+#: A line that begins with a copyright mark is a sentence.
+OWNED = r"(^|\n)((?i:copyright|\(c\) )[^\n]*)\n"
+BLANK = r"\n[ \t\r]*\n[ \t\r\n]*"
+#: Marks end a sentence after two letters, digits, quotes or brackets, so "v. 2.0" stays in one.
+ENDED = r"([A-Za-z0-9.)\"'][A-Za-z0-9)\"'][.!?;:])[ \t\r\n]+"
 NOT_WORD = r"[^a-z0-9\n]+"
+NUMBERED = r"^[0-9]{1,3} "
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text in normal form: lower case, letters and digits of ASCII, single spaces.
+    """The sentences of a text in normal form: lower case, letters and digits of ASCII, single spaces; a line end inside one is kept.
 
-    A sentence ends at . ! ? ; or : before white space, and at a line end, unless the next line goes on in lower case or both do in capitals.
+    A sentence ends at . ! ? ; or : before white space, at an empty line and after a copyright line. Indentation, comment and list marks go.
     """
-    joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, " $1"), WRAPPED_CAPITALS, "$1 $2")
-    apart = F.lower(F.regexp_replace(joined, ENDED, "$1\n"))
-    return F.split(F.regexp_replace(apart, NOT_WORD, " "), " ?\n ?")
+    bare = F.regexp_replace(F.regexp_replace(text, MARKS, "$1"), OWNED, "$1$2\n\n")
+    apart = F.regexp_replace(F.regexp_replace(bare, BLANK, "\n\n"), ENDED, "$1\n\n")
+    return F.split(F.regexp_replace(F.lower(apart), NOT_WORD, " "), " ?\n\n ?")
+
+
+def _plain(sentence: Column) -> Column:
+    """Without a number in front."""
+    return F.regexp_replace(F.trim(sentence), NUMBERED, "")
+
+
+def readings(sentence: Column) -> Column:
+    """What a sentence may be known as: all of it, its lines joined; or, as no mark ends a notice of one line, each line of several."""
+    whole = _plain(F.regexp_replace(sentence, " ?\n ?", " "))
+    return F.when(F.contains(sentence, F.lit("\n")), F.concat(F.array(whole), F.transform(F.split(sentence, " ?\n ?"), _plain))).otherwise(F.array(whole))
+
+
+def rules_of(notices: DataFrame) -> DataFrame:
+    """(rule, licence, ids, first, steps) from (rule, licence, notice): the sentences of each notice in order, made as those of documents are."""
+    ids = F.filter(F.transform(sentences(F.col("notice")), lambda x: F.get(readings(x), 0)), lambda x: x != "")
+    return notices.select("rule", "licence", ids.alias("ids")).select("*", F.get("ids", 0).alias("first"), F.size("ids").alias("steps")).where("steps > 0")
 
 
 def licence_matches(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None,
-    rules: list[tuple[str, list[str]]] | None = None, gap: int = GAP,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: list[tuple[str, str]] | None = None, gap: int = GAP
 ) -> DataFrame:
     """(id, licence, first_sentence, last_sentence, n_sentences) for each place in ``docs`` where a rule is met.
 
-    A rule is met by known sentences that follow each other in its order, no other known sentence and at most ``gap``
+    A rule is the sentences of a notice, in order. It is met by known sentences that follow each other so, no other known sentence and at most ``gap``
     unknown ones between two. A match inside a longer one is left out. Sentence numbers start at 0 and count empty sentences.
     Texts without known sentences, null and empty ones give no rows; repeated rows give repeated matches; an
-    empty table gives none; other columns are not read. The known sentences and rules are those passed in by the program, a
-    small list, and are broadcast.
+    empty table gives none; other columns are not read. The notices (licence, text) are those passed in by the program, a
+    small list, and their sentences are broadcast.
     """
     spark = docs.sparkSession
-    known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
-    names = spark.createDataFrame([(v, k) for k, v in known.items()], "sentence string, sentence_id string")
-    wanted = spark.createDataFrame([(i, n, s, s[0], len(s)) for i, (n, s) in enumerate(rules)], "rule int, licence string, ids array<string>, first string, steps int")
+    given = [(i, *n) for i, n in enumerate(NOTICES if notices is None else notices)]
+    wanted = rules_of(spark.createDataFrame(given, "rule int, licence string, notice string"))
+    names = wanted.select(F.explode("ids").alias("sentence")).distinct()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("row", F.monotonically_increasing_id())
-    each = rows.select("row", "id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    each = each.select("row", "id", "place", F.trim("sentence").alias("sentence"))
-    hits = each.join(F.broadcast(names), "sentence").select("row", "id", F.struct("place", "sentence_id").alias("hit"))
+    each = rows.select("row", "id", F.posexplode(sentences(F.col("text"))).alias("place", "whole"))
+    each = each.select("row", "id", "place", F.posexplode(readings(F.col("whole"))).alias("line", "sentence"))
+    hits = each.join(F.broadcast(names), "sentence").select("row", "id", F.struct("place", "line", F.col("sentence").alias("sentence_id")).alias("hit"))
     lists = hits.groupBy("row", "id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
     lists = lists.select(
         "row", "id", F.col("hits.place").alias("places"), F.col("hits.sentence_id").alias("found"), F.posexplode("hits.sentence_id").alias("at", "first")
@@ -139,27 +164,35 @@ def licence_matches(
     )
 
 
-def _values(rows: list[tuple]) -> str:
-    def one(v: object) -> str:
-        if isinstance(v, list):
-            return "[" + ", ".join(map(one, v)) + "]"
-        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _normal(text: str) -> str:
+    steps = [(MARKS, "\\1"), (OWNED, "\\1\\2\n\n"), (BLANK, "\n\n"), (ENDED, "\\1\n\n")]
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, {_text(pattern)}, {_text(by)}, 'g')"
+    return f"string_split_regex(regexp_replace(lower({text}), {_text(NOT_WORD)}, ' ', 'g'), ' ?\n\n ?')"
+
+
+def _bare(sentence: str) -> str:
+    return f"regexp_replace(trim({sentence}), {_text(NUMBERED)}, '')"
 
-    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
+_WHOLE = _bare("regexp_replace(s, ' ?\\n ?', ' ', 'g')")
+_READINGS = f"CASE WHEN contains(s, chr(10)) THEN [{_WHOLE}] || [{_bare('l')} for l in string_split_regex(s, ' ?\\n ?')] ELSE [{_WHOLE}] END"
 
 ORACLE = f"""
-WITH known(sentence, sentence_id) AS (VALUES {_values([(v, k) for k, v in SENTENCES.items()])}),
-rules(rule, licence, ids) AS (VALUES {_values([(i, n, s) for i, (n, s) in enumerate(RULES)])}),
-normal AS (
-  SELECT row_number() OVER () AS row, doc_id, string_split_regex(regexp_replace(lower(regexp_replace(
-    regexp_replace(regexp_replace(text, '\\n([a-z])', ' \\1', 'g'), '([A-Z]{{2}},?)\\n([A-Z]{{2}})', '\\1 \\2', 'g'),
-    '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g')), '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n ?') AS parts
-  FROM documents),
-each AS (SELECT row, doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS place FROM normal),
-hits AS (SELECT row, doc_id, place, sentence_id FROM each JOIN known ON trim(each.sentence) = known.sentence),
+WITH given(rule, licence, notice) AS (VALUES {", ".join(f"({i}, {_text(n)}, {_text(t)})" for i, (n, t) in enumerate(NOTICES))}),
+rules AS (SELECT rule, licence, [x for x in [{_WHOLE} for s in {_normal('notice')}] if x <> ''] AS ids FROM given),
+known AS (SELECT DISTINCT unnest(ids) AS sentence FROM rules),
+normal AS (SELECT row_number() OVER () AS row, doc_id, {_normal('text')} AS parts FROM documents),
+whole AS (SELECT row, doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS place FROM normal),
+read AS (SELECT row, doc_id, place, {_READINGS} AS parts FROM whole),
+each AS (SELECT row, doc_id, place, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS line FROM read),
+hits AS (SELECT row, doc_id, place, line, sentence FROM each JOIN known USING (sentence)),
 lists AS (
-  SELECT row, doc_id, list(place ORDER BY place) AS places, list(sentence_id ORDER BY place) AS found FROM hits GROUP BY ALL),
+  SELECT row, doc_id, list(place ORDER BY place, line) AS places, list(sentence ORDER BY place, line) AS found FROM hits GROUP BY ALL),
 starts AS (SELECT *, unnest(range(1, len(found) + 1)) AS nth FROM lists),
 met AS (
   SELECT row, doc_id, licence, rule, len(ids) AS steps, places[nth] AS first_sentence, places[nth + len(ids) - 1] AS last_sentence
