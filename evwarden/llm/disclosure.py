@@ -1,9 +1,10 @@
 """Personal data, and the terms that give it away.
 
 Base kinds are found by pattern.  A term reveals an entity as far as knowing the term makes the entity
-likelier: the corpus gives the pointwise mutual information of both, from how often the term stands near the
-entity and how often it stands anywhere, and a term that takes away most of the entity's
-information content is sanitised along with it in the documents that hold the entity.
+likelier: the corpus gives the pointwise mutual information of both, from how many documents hold the two together and
+how many each of them, and a term that takes away most of the entity's
+information content is sanitised along with it in the documents that hold the entity.  Most values stand in one document, so
+an entity is a value, what it belongs to (an e-mail's domain, the first parts of an address, the first digits of a number) and its kind.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from evwarden.llm.common import ROWS_PER_BLOCK, map_blocks, stored, text_of
+from evwarden.llm.near import near_roots, text_bands
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that count as near it.
-NEAR = 8
-#: Different surroundings in which a term must stand near an entity.
+#: Different texts, near copies counted once, in which a term must stand beside an entity.
 SUPPORT = 3
 #: Share of an entity's information content that a term may give away at most.
 DISCLOSED = 0.9
@@ -86,42 +86,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _entity(kind: int, value: str) -> int:
-    plain = value.lower() if kind == 0 else value if kind == 1 else _NOT_DIGIT.sub("", value)
-    return _signed(xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()))
+def entities_of(kind: int, value: str) -> list[str]:
+    """What a value stands for, from the value itself to what it belongs to and to its kind."""
+    digits = _NOT_DIGIT.sub("", value)
+    plain = value.lower() if kind == 0 else value if kind == 1 else digits
+    wider = {0: plain.rpartition("@")[2], 1: plain.rpartition(".")[0], 2: digits[:6], 3: digits[:5]}[kind]
+    return [f"{kind}:{plain}", f"{kind}:{wider}:", f"{kind}::"]
 
 
-def nearby_terms(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> list[tuple[int, str, int]]:
-    """(entity, term, surroundings) of the terms among the ``near`` words on either side of each entity, in no base span."""
-    out = set()
-    for start, kind, end in spans:
-        left, right = start, end
-        for _ in range(near):
-            left = _back(text, left)
-            right = _forth(text, right)
-        window = [
-            m[0].lower() for m in _TERM.finditer(text, left, right)
-            if not any(a < m.end() and m.start() < b for a, _, b in spans)
-        ]
-        around = _signed(xxhash.xxh64_intdigest(" ".join(window).encode()))
-        out.update((_entity(kind, text[start:end]), t, around) for t in window)
-    return sorted(out)
-
-
-_LONGEST = 64
+def _entity(name: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(name.encode()))
 
 
-def _back(text: str, at: int) -> int:
-    """The start of the word before ``at``; of a very long word, a piece."""
-    part = text[max(0, at - _LONGEST) : at].rstrip()
-    at = max(0, at - _LONGEST) + len(part)
-    return at - len(part.split()[-1]) if part else at
+def beside(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[str]]:
+    """The entities of a text and its terms outside their spans, each once."""
+    entities = {_entity(e) for a, kind, b in spans for e in entities_of(kind, text[a:b])}
+    return sorted(entities), sorted({text[a:b].lower() for a, b in _terms(text, spans)})
 
 
-def _forth(text: str, at: int) -> int:
-    part = text[at : at + _LONGEST]
-    words = part.split(maxsplit=1)
-    return at + part.index(words[0]) + len(words[0]) if words else at + len(part)
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of each term that touches no span; ``spans`` by start."""
+    at, reach = 0, 0  # spans that begin before the term ends, and how far they go
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if m.start() >= reach:
+            yield m.start(), m.end()
 
 
 def spans_text(spans: list[tuple[int, int, int]], names: tuple[str, ...] = (*KINDS, "term")) -> str:
@@ -131,15 +122,7 @@ def spans_text(spans: list[tuple[int, int, int]], names: tuple[str, ...] = (*KIN
 def all_spans(text: str, terms: set[str]) -> list[tuple[int, int, int]]:
     """The base spans and each occurrence of ``terms`` outside them, in order."""
     base = base_spans(text)
-    extra, i = [], 0
-    for m in _TERM.finditer(text):
-        if m[0].lower() in terms:
-            while i < len(base) and base[i][0] <= m.start():
-                i += 1
-            clear = not any(a < m.end() and m.start() < b for a, _, b in base[max(0, i - len(KINDS) * 2) : i + 1])
-            if clear:
-                extra.append((m.start(), len(KINDS), m.end()))
-    return sorted(base + extra)
+    return sorted([*base, *((a, len(KINDS), b) for a, b in _terms(text, base) if text[a:b].lower() in terms)])
 
 
 def sanitised(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -158,16 +141,16 @@ def sanitised(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(block: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base", "entity", "term", "around")}
+    out: dict[str, list] = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base", "entity", "term", "keys")}
     for text in block["text"]:
         spans = base_spans(text)
         kinds = Counter(k for _, k, _ in spans)
-        near = nearby_terms(text, spans) if spans else []
+        entities, terms = beside(text, spans) if spans else ([], [])
         for i, k in enumerate(KINDS):
             out[f"n_{k}"].append(kinds[i])
         out["base"].append(spans_text(spans))
-        for i, k in enumerate(("entity", "term", "around")):
-            out[k].append([n[i] for n in near])
+        for k, v in (("entity", entities), ("term", terms), ("keys", text_bands(text) if spans else [])):
+            out[k].append(v)
     return {"id": block["id"], "content": block["content"]} | out
 
 
@@ -188,13 +171,13 @@ def _packed(found: Counter) -> pa.RecordBatch:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored table of each row's base spans and of the terms near them."""
+    """A stored table of each row's base spans, and, where there are any, of its entities, its other terms and its fingerprints."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
     schema = (
         f"id {kind}, content bigint, {', '.join(f'n_{k} bigint' for k in KINDS)}, base string, "
-        "entity array<bigint>, term array<string>, around array<bigint>"
+        "entity array<bigint>, term array<string>, keys array<bigint>"
     )
     return stored(map_blocks(rows, _scan, schema).withColumn("row", F.monotonically_increasing_id()), "spans")
 
@@ -204,13 +187,22 @@ def revealing_terms(
 ) -> DataFrame:
     """(entity, term): the terms that give away over ``disclosed`` of the entity's information content.
 
-    With N documents, n_e of them holding the entity, n_t the term and n_te the term near the entity, the share is
-    log(N n_te / (n_e n_t)) / log(N / n_e).  Pairs need ``support`` different surroundings, so copies are no evidence.
+    With N documents, n_e of them holding the entity, n_t the term and n_te both, the share is
+    log(N n_te / (n_e n_t)) / log(N / n_e).  Both must stand together in ``support`` different texts, near copies
+    (``near.near_roots``, among the texts with personal data) counted once, so copies are no evidence.
     """
-    pairs = rows.select("row", F.explode(F.arrays_zip("entity", "term", "around")).alias("p")).select("row", "p.*")
-    seen = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-    seen = seen.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("kinds")).where(F.col("kinds") >= support)
-    holders = rows.select(F.explode(F.array_distinct("entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = rows.where(F.size("entity") > 0).groupBy("content").agg(
+        F.first("entity").alias("entity"), F.first("term").alias("term"), F.first("keys").alias("keys"), F.count("*").alias("n")
+    )
+    held = stored(held, "held")
+    roots = near_roots(held.select(F.col("content").alias("node"), "keys"), docs, text_col)
+    held = held.drop("keys").join(roots, F.col("node") == F.col("content"), "left").withColumn("text", F.coalesce("root", "content"))
+    each = held.select("text", "n", "term", F.explode("entity").alias("entity"))
+    holders = each.groupBy("entity", "text").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"))
+    holders = stored(holders.where(F.col("texts") >= support).drop("texts"), "holders")
+    pairs = each.join(holders.select("entity"), "entity").select("entity", "text", "n", F.explode("term").alias("term"))
+    seen = pairs.groupBy("entity", "term", "text").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
+    seen = stored(seen.where(F.col("texts") >= support).drop("texts"), "beside")
     anywhere = docs.select(text_of(docs, text_col)).mapInArrow(_document_counts, "term string, n bigint")
     anywhere = anywhere.groupBy("term").agg(F.sum("n").alias("n_t"))
     total = rows.count()

@@ -1,10 +1,11 @@
+import math
 import random
 import re
 import time
 
 from tables import awkward, docs, empty, prose
 
-from evwarden.llm.disclosure import base_spans, private_spans, spans_text, without_disclosure
+from evwarden.llm.disclosure import base_spans, entities_of, private_spans, spans_text, without_disclosure
 
 
 def naive(text):
@@ -60,6 +61,58 @@ def test_terms_that_reveal_an_address_are_marked_where_it_stands(spark):
     assert all(r.base == spans_text(naive(texts[i])) for i, r in rows.items())
 
 
+def naive_spans(rows, support=3, disclosed=0.9):
+    """All spans of each row by loops over pairs of entity and term; texts are near copies only if equal."""
+    texts = {i: t or "" for i, t in rows}
+    held, terms, where = {}, {}, {}
+    for i, text in texts.items():
+        base = naive(text)
+        held[i] = {e for a, k, b in base for e in entities_of(k, text[a:b])}
+        where[i] = [m for m in re.finditer(r"[^\W\d_][\w'-]{2,}", text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+        terms[i] = {m[0].lower() for m in where[i]}
+    anywhere = {i: {w.lower() for w in re.findall(r"[^\W\d_][\w'-]{2,}", t)} for i, t in texts.items()}
+    shown = {}
+    for e in {e for es in held.values() for e in es}:
+        holders = [i for i in texts if e in held[i]]
+        if len(holders) == len(texts):
+            continue
+        for t in {t for i in holders for t in terms[i]}:
+            both = [i for i in holders if t in terms[i]]
+            if len({texts[i] for i in both}) < support:
+                continue
+            n_t = sum(t in a for a in anywhere.values())
+            share = math.log(len(texts) * len(both) / (len(holders) * n_t)) / math.log(len(texts) / len(holders))
+            if share >= disclosed:
+                shown.setdefault(e, set()).add(t)
+    out = {}
+    for i, text in texts.items():
+        marked = {t for e in held[i] for t in shown.get(e, ())}
+        spans = sorted([*naive(text), *((m.start(), 4, m.end()) for m in where[i] if m[0].lower() in marked)])
+        out[i] = spans_text(spans)
+    return out
+
+
+def test_share_and_threshold_against_loops(spark):
+    draw = random.Random(7)
+    people = ["ann", "bob", "cyd"]
+    rows = []
+    for i in range(160):
+        words = [f"w{draw.randrange(60)}ord" for _ in range(draw.randrange(3, 14))]
+        if draw.random() < 0.4:
+            who = draw.choice(people)
+            words += [f"{who}{draw.randrange(3)}@{who}.example", draw.choice([who + "son", "filler", who + "burg"])]
+        if draw.random() < 0.2:
+            words += [f"10.0.{draw.randrange(2)}.{draw.randrange(9)}", draw.choice(["router", "filler", "rack" + "x" * 90])]
+        if draw.random() < 0.1:
+            words += ["annson", "router"][: draw.randrange(3)]
+        draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[3][1]) for i in range(6)] + [(300, None), (301, "")]
+    want = naive_spans(rows)
+    got = {r.id: r.spans for r in private_spans(docs(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == want and sum("term" in s for s in want.values()) > 20
+
+
 def test_sanitised_texts(spark):
     out = without_disclosure(corpus(spark))
     assert out.columns == corpus(spark).columns
