@@ -35,6 +35,8 @@ FURNITURE = frozenset(
     "sponsored subscribe subscription toolbar widget".split()
 )
 REMARKS = frozenset("comment comments disqus replies reply respond".split())
+#: Furniture at the borders of a page's text; other furniture stands in its flow.
+BORDERS = frozenset("nav header footer navigation banner contentinfo masthead menu navbar".split())
 WORD_SPLIT = str.maketrans({c: " " for c in "-_:/.\t\n\r\x0c"})
 
 
@@ -42,15 +44,47 @@ def _named(attrs: list[tuple[str, str | None]]) -> set[str]:
     return {w for k, v in attrs if v and k in ("class", "id", "role") for w in v.lower().translate(WORD_SPLIT).split()}
 
 
-class _Lines(HTMLParser):
-    """Collects (text, length outside links, in an article) for each block, and None where furniture stood outside articles."""
+class _Closed(HTMLParser):
+    """The numbers of the start tags, counted from 1, whose elements have an end tag of their own."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.number = 0
+        self.open: list[tuple[str, int]] = []
+        self.count: Counter = Counter()
+        self.closed: set[int] = set()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.number += 1
+        if tag in CONTAINERS or tag in DROPPED and tag not in VOID:
+            self.open.append((tag, self.number))
+            self.count[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        while self.count[tag]:
+            name, number = self.open.pop()
+            self.count[name] -= 1
+            if name == tag:
+                self.closed.add(number)
+                return
+
+
+class _Lines(HTMLParser):
+    """Collects (text, length outside links, in an article) for each block, and None for a line of furniture outside articles."""
+
+    def __init__(self, closed: set[int], window: int, revive: bool = False) -> None:
+        super().__init__(convert_charrefs=True)
+        self.closed, self.window, self.revive = closed, window, revive
+        self.number = 0
         self.lines: list[tuple[str, int, bool] | None] = []
         self.open: list[str] = []
         self.count: Counter = Counter()
         self.dropping: int | None = None  # how many elements were open when the dropped one began
+        self.firm = self.named = False  # the dropped element has an end tag; it goes by its name alone
+        self.hidden = False  # an article stands in such an element
         self.remarks = False
         self.main = 0
         self.links = 0
@@ -58,8 +92,11 @@ class _Lines(HTMLParser):
         self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.number += 1
         if self.dropping is not None:
-            if tag in MAIN and not self.remarks or self.open[self.dropping] == "p" and tag in BLOCKS:
+            found = tag in MAIN and not self.remarks
+            self.hidden |= found and self.named
+            if found and (not self.firm or self.revive and self.named) or self.open[self.dropping] == "p" and tag in BLOCKS:
                 self._close(self.dropping)  # an element left open does not swallow the article
             elif tag in VOID:
                 return
@@ -78,9 +115,10 @@ class _Lines(HTMLParser):
         if not kept and (tag in DROPPED or names & FURNITURE):
             self.dropping = len(self.open)
             self.remarks = bool(names & REMARKS)
+            self.firm, self.named = self.number in self.closed, tag not in DROPPED
             self._push(tag)
             if not self.main:
-                self.lines.append(None)
+                self.lines += [None] * (self.window if BORDERS & {tag, *names} else 1)
             return
         if tag == "a":
             self.links += 1
@@ -134,41 +172,56 @@ class _Lines(HTMLParser):
         self.linked = 0
 
 
+def page_lines(html: str, window: int = WINDOW) -> list[tuple[str, int, bool] | None]:
+    """The lines of a page: text, its length outside links, and whether it is in an article; None for furniture.
+
+    Furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, readers' comments)
+    goes by element, class, id and role, and articles in it go along, unless its end tag is missing, or only its name tells it and the page has no other article.
+    At the borders of a page's text it is as long as a window, in the flow of the text it is one line.
+    """
+    closed = _Closed()
+    closed.feed(html)
+    closed.close()
+    for revive in (False, True):
+        parser = _Lines(closed.closed, window, revive)
+        parser.feed(html)
+        parser.close()
+        if not parser.hidden or any(x is not None and x[2] for x in parser.lines):
+            break
+    return parser.lines
+
+
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text, a line for each block.
 
-    Furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, readers' comments)
-    goes by element, class, id or role.  Outside articles it leaves a gap of ``window`` empty lines;
-    if a page has articles, what is outside them is part of the gap.  Lengths without
-    links are summed over ``window`` lines; a stretch reaches from where
-    the sum rises above zero to where it falls to zero, and is kept if its sum surges over ``surge``, or, where no
-    window of the page does, if it holds the page's largest.
+    Lengths outside links are summed over ``window`` lines, furniture being empty; a line in an article counts ``surge`` more, and if a
+    page has articles, what is outside them counts nothing. A stretch reaches from where the sum rises above zero to where it falls to zero, and is
+    kept, with all of its lines, if its sum surges to ``surge``, or, where no window of the page does, if it holds the page's largest.
     """
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    lines = parser.lines
+    lines = page_lines(html, window)
     if any(x is not None and x[2] for x in lines):
         lines = [x if x is not None and x[2] else None for x in lines]
-    runs: list[list[tuple[str, int, bool]]] = [[]]
-    for line in lines:
-        if line is not None:
-            runs[-1].append(line)
-        elif runs[-1]:
-            runs.append([])
-    runs = [r for r in runs if r]
-    peaks = [_peak([n for _, n, _ in r], window) for r in runs]
-    enough = min(surge, max(peaks, default=0))
-    inside = any(r[0][2] for r in runs)
-    return "\n".join(text for r, peak in zip(runs, peaks) if inside or peak >= enough for text, _, _ in r)
-
-
-def _peak(lengths: list[int], window: int) -> int:
-    now = best = 0
-    for i, n in enumerate(lengths):
-        now += n - (lengths[i - window] if i >= window else 0)
-        best = max(best, now)
-    return best
+    return "\n".join(text for start, end in stretches(lines, window, surge) for text, _, _ in filter(None, lines[start:end]))
+
+
+def stretches(lines: list[tuple[str, int, bool] | None], window: int, surge: int) -> list[tuple[int, int]]:
+    """Surge and dive points of the stretches to keep, the latter exclusive."""
+    weights = [0 if x is None else x[1] + surge * x[2] for x in lines]
+    found: list[tuple[int, int, int]] = []
+    start = end = now = peak = 0
+    for i, n in enumerate(weights):
+        now += n - (weights[i - window] if i >= window else 0)
+        if n and i - end >= window and end:
+            found.append((start, end, peak))
+            end = peak = 0
+        if n:
+            start, end = (start, i + 1) if end else (i, i + 1)
+        if end:
+            peak = max(peak, now)
+    if end:
+        found.append((start, end, peak))
+    enough = min(surge, max((p for _, _, p in found), default=0))
+    return [(a, b) for a, b, p in found if p >= enough]
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
