@@ -74,7 +74,8 @@ def fingerprint_components(fps: DataFrame, radius: int = RADIUS, bucket: int = B
     """
     distinct = stored(fps.select("fp").where("fp is not null").distinct(), "fingerprints")
     flips = F.explode(F.array(*[F.lit(m) for m in [0, *(_signed(1 << i) for i in range(64))]]))
-    around = distinct.select("fp", flips.alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
+    # the table is small before it grows 65 times, so it is dealt out first
+    around = distinct.repartition("fp").select("fp", flips.alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
     low = F.min("fp").over(Window.partitionBy("key"))  # at most 65 rows each
     members = around.select(F.col("fp").alias("a"), low.alias("b")).where("a != b")
     close = stored(members.distinct(), "near")
