@@ -160,9 +160,14 @@ def _further(met: DataFrame, parts: DataFrame) -> DataFrame:
     ranked = ranked.join(members.drop("apart"), ["b", "a"]).withColumn("place", F.col("place") + F.col("count"))
     ranked = stored(ranked.where((F.col("place") <= F.col("half")) | (~F.col("same") & (F.col("place") <= F.col("most")))), "ranked")
     near = F.col("place") <= F.col("half")
-    one = ranked.where(near).select("b", "token", F.col("a").alias("p"), F.col("same").alias("p_same"), F.col("root").alias("p_root"), F.col("size_a").alias("p_size"))
-    two = ranked.where("not same").select("b", "token", F.col("a").alias("q"), near.alias("q_near"), F.col("root").alias("q_root"), F.col("size_a").alias("q_size"))
-    fits = (F.col("p_root") != F.col("q_root")) & (F.least("p_size", "q_size") >= SIMILAR * F.greatest("p_size", "q_size"))
+    of = lambda end: [F.col(c).alias(f"{end}_{c}") for c in ("same", "root", "size_a", "count", "place")]
+    one = ranked.where(near).select("b", "token", F.col("a").alias("p"), *of("p"))
+    two = ranked.where("not same").select("b", "token", F.col("a").alias("q"), near.alias("q_near"), *of("q"))
+    fits = (F.col("p_root") != F.col("q_root")) & (F.least("p_size_a", "q_size_a") >= SIMILAR * F.greatest("p_size_a", "q_size_a"))
+    # with both sizes known, more must be common, and the rarest common element comes so early that as many can follow
+    common = (F.col("p_count") + F.col("q_count") - (F.col("p_size_a") + F.col("q_size_a")) / APART) / 2 - 1e-6
+    for end in "pq":
+        fits = fits & (F.col(f"{end}_place") <= F.col(f"{end}_count") - F.ceil(common) + 1)
     found = one.join(two, ["b", "token"]).where(fits & (F.col("p_same") | (F.col("q_near") & (F.col("p") < F.col("q")))))
     found = found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     known = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
