@@ -1,4 +1,8 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash fingerprints of the shingles meet by multi-index hashing (:func:`fingerprint_links`); least hashes find what that
+leaves between its classes (:func:`near_roots`). Every link is compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evwarden.llm.common import map_blocks, stored, text_of
 from evwarden.llm.components import components
+from evwarden.llm.simhash import segment_pairs, wide_bits, wide_keys
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -20,6 +25,8 @@ APART = 9
 BANDS = 18
 ROWS = 5
 SEED = 42
+#: Bits of 64 by which SimHash fingerprints of texts that are compared may differ: at a similarity of 0.8 it is more in 0.0003 of all pairs.
+RADIUS = 20
 #: Texts to fetch are sent to the tasks as a list of hashes up to so many, beyond that texts and hashes are dealt out.
 SENT_NODES = 2_000_000
 
@@ -71,18 +78,47 @@ def text_bands(text: str) -> list[int]:
     return band_keys(least_hashes(_hashes(text.encode().lower().split(), WIDTH)))
 
 
-def near_roots(bands: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def fingerprint_links(prints: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b): nodes that are near copies, by multi-index hashing of SimHash fingerprints.
+
+    ``prints`` holds (node, fp, segments): a hash of a text, each once, and the SimHash of its shingles as ``simhash.wide_keys`` gives it;
+    ``docs`` the texts. A text is compared with the least of the nodes it meets, then with the one of fewest differing bits that this
+    leaves in another component, so there are at most two pairs a text; what else there is to find is left to :func:`near_roots`.
+    """
+    pairs = stored(segment_pairs(prints, RADIUS), "met")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        texts = _texts(docs, text_col, pairs.select("a").union(pairs.select("b")).distinct())
+        return stored(_compared(pairs, texts, False), "compared").where("same").select("a", "b")
+
+    least = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    close = linked(least)
+    parts, rest = components(close), pairs.join(least, ["a", "b"], "left_anti")
+    for end in "ab":
+        part = parts.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        rest = rest.join(part, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    nearest = rest.where("root_a != root_b").groupBy("a").agg(F.min(F.struct("apart", "b")).alias("to"))
+    return close.union(linked(nearest.select("a", F.col("to.b").alias("b"))))
+
+
+def near_roots(bands: DataFrame, docs: DataFrame, text_col: str = "text", links: DataFrame | None = None) -> DataFrame:
     """(node, root) for the nodes that are near copies of another; ``root`` is the least node of the component.
 
+    ``links`` (a, b) are near copies found before; a bucket whose members they make one component is not looked at.
     ``bands`` holds (node, keys): a hash of a text, each once, and its fingerprints; ``docs`` the texts. Texts with a fingerprint in common form
     a bucket. Each member is compared exactly with the hub of its bucket, the member that shares most with others, and what the two do not have
     in common is kept. Two members that are similar to each other but not both to the hub must have much of these differences in common, so
     further pairs come from the rarest differences of each member to a hub: every pair of a bucket that is similar is found, while
     the pairs of a large group are never listed. Nothing depends on the size of a bucket.
     """
-    entries = stored(bands, "bands").select("node", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = stored(entries.join(shared, "key"), "shared")
+    if links is None:
+        bands, links = bands.withColumn("part", F.col("node")), docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    else:
+        bands = bands.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("part"))
+    entries = stored(bands, "bands").select("node", "part", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    live = stored(entries.join(shared.where("lo != hi").select("key", "n"), "key").drop("part"), "shared")
     weight = live.groupBy("node").agg(F.sum("n").alias("weight"))
     first = F.max(F.struct("weight", "node")).alias("top")
     hubs = live.join(weight, "node").groupBy("key").agg(first).select("key", F.col("top.node").alias("hub"))
@@ -91,10 +127,10 @@ def near_roots(bands: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
     texts = _texts(docs, text_col, pairs.select("a").union(pairs.select("b")).distinct())
     met = stored(_compared(pairs, texts, True), "compared")
     close = met.where("same").select("a", "b")
-    parts = components(close)
+    parts = components(links.union(close))
     further = stored(_further(met, parts), "further")
     far = stored(_compared(further, texts, False), "far").where("same").select("a", "b")
-    return components(close.union(far))
+    return components(links.union(close).union(far))
 
 
 def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -175,20 +211,28 @@ def _further(met: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _scan(block: dict[str, list]) -> dict[str, list]:
-    return {"id": block["id"], "content": block["content"], "keys": [text_bands(t) for t in block["text"]]}
+    out: dict[str, list] = {"id": block["id"], "content": block["content"], "fp": [], "segments": [], "keys": []}
+    for text in block["text"]:
+        hashes = _hashes(text.encode().lower().split(), WIDTH)
+        fp, segments = wide_keys(wide_bits(hashes))
+        out["fp"].append(fp)
+        out["segments"].append(segments)
+        out["keys"].append(band_keys(least_hashes(hashes)))
+    return out
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, content, keys) of each row of ``docs``, and (content, root) of the texts that are near copies of another.
+    """(id, content, fp, segments, keys) of each row of ``docs``, and (content, root) of the texts that are near copies of another.
 
     Texts are told apart by a hash of 64 bits.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    rows = stored(map_blocks(rows, _scan, f"id {kind}, content bigint, keys array<bigint>"), "bands")
-    bands = rows.groupBy(F.col("content").alias("node")).agg(F.first("keys").alias("keys"))
-    return rows, near_roots(bands, docs, text_col).withColumnRenamed("node", "content")
+    rows = stored(map_blocks(rows, _scan, f"id {kind}, content bigint, fp bigint, segments array<bigint>, keys array<bigint>"), "bands")
+    texts = rows.groupBy(F.col("content").alias("node"))
+    links = fingerprint_links(texts.agg(F.first("fp").alias("fp"), F.first("segments").alias("segments")), docs, text_col)
+    return rows, near_roots(texts.agg(F.first("keys").alias("keys")), docs, text_col, links).withColumnRenamed("node", "content")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

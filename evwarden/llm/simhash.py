@@ -16,6 +16,44 @@ RADIUS = 3
 #: Buckets of the segment tables with more entries are divided by further segments before their entries are compared.
 BUCKET = 64
 _HASHES = 16_384
+#: Wide fingerprints: bits, segments to a table of segments, and bits of a segment. Each of the permutations of the bits is cut into segments.
+WIDE = 512
+SEGMENT = 24
+PERMUTATIONS = 6
+
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, WIDE // 64, np.uint64)
+_PLACES = np.random.default_rng(SEED).permuted(np.tile(np.arange(WIDE), (PERMUTATIONS, 1)), axis=1)[:, : WIDE // SEGMENT * SEGMENT].reshape(-1, SEGMENT)
+_COUNTED = 255
+
+
+def wide_bits(hashes: list[int]) -> np.ndarray:
+    """The bits of a SimHash of ``WIDE`` bits over the different ``hashes``; one is set if it is set in over half of them."""
+    values, counts = np.unique(np.array(hashes, np.uint64)), np.zeros(WIDE, np.int64)
+    for at in range(0, len(values), _COUNTED):
+        x = values[at : at + _COUNTED, None] + _SALTS
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ x >> np.uint64(31)).astype("<u8").view(np.uint8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.uint8)  # no more rows than a byte counts
+    return (counts * 2 > len(values)).astype(np.uint8)
+
+
+def wide_keys(bits: np.ndarray) -> tuple[int, list[int]]:
+    """The first 64 bits as a signed number, and the key of each segment in the table of its own."""
+    parts = np.packbits(bits[_PLACES], axis=1).astype(np.int64)
+    values = parts @ (1 << 8 * np.arange(parts.shape[1])[::-1])
+    return int(np.packbits(bits[:64]).view(">i8")[0]), ((np.arange(len(values)) << SEGMENT) + values).tolist()
+
+
+def segment_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b, apart), a > b: each node with the least node of each segment's bucket, if ``radius`` or fewer of their 64 bits, ``apart``, differ.
+
+    ``prints`` holds (node, fp, segments) as :func:`wide_keys` gives them. A bucket gives a pair for each member, whatever its size.
+    """
+    entries = prints.select("node", "fp", F.explode("segments").alias("key"))
+    hub = F.min(F.struct("node", "fp")).over(Window.partitionBy("key"))
+    pairs = entries.withColumn("hub", hub).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), _distance("fp", "hub.fp").alias("apart"))
+    return pairs.where((F.col("a") != F.col("b")) & (F.col("apart") <= radius)).distinct()
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:

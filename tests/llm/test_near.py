@@ -1,9 +1,11 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tables import awkward, docs, empty, prose
 
-from evwarden.llm.near import BANDS, _further, band_keys, least_hashes, near_copies, one_of_near_copies, shingles, similarity, text_bands
+from evwarden.llm.near import BANDS, _further, band_keys, fingerprint_links, least_hashes, near_copies, near_roots, one_of_near_copies, shingles, similarity, text_bands
+from evwarden.llm.simhash import wide_bits, wide_keys
 
 
 def edited(seed, words, edits):
@@ -162,3 +164,40 @@ def test_awkward_rows(spark):
     again = rows[6:] * 3 + [(7, rows[6][1] + " and more", "a"), (None, rows[6][1], "a")]
     assert sorted(r.text for r in one_of_near_copies(docs(spark, again)).collect()) == sorted([min(rows[6][1], rows[6][1] + " and more", key=lambda t: kept_hash(spark, t)), rows[7][1]])
     assert one_of_near_copies(empty(spark)).count() == 0 and near_copies(awkward(spark)).count() == 11
+
+
+def _prints(table, spark):
+    """(node, fp, segments) and the node of each id."""
+    made = {r.doc_id: (kept_hash(spark, r.text), *wide_keys(wide_bits(list(shingles(r.text))))) for r in table.collect()}
+    return spark.createDataFrame(list(made.values()), "node bigint, fp bigint, segments array<bigint>"), {i: m[0] for i, m in made.items()}
+
+
+def test_fingerprints_and_their_segments_link_by_themselves(spark):
+    """Without any least hashes, SimHash and its segment tables join most near copies, and nothing else."""
+    rows = families()
+    _, links = naive(rows)
+    table = docs(spark, [(i, " ".join(w), "a") for i, w in rows])
+    prints, node = _prints(table, spark)
+    found = {(r.a, r.b) for r in fingerprint_links(prints, table).collect()}
+    true = {tuple(sorted((node[a], node[b]), reverse=True)) for a, b in links}
+    assert found and found <= true
+    none = prints.select("node", F.array().cast("array<bigint>").alias("keys"))
+    got = {r.node: r.root for r in near_roots(none, table, links=spark.createDataFrame(list(found), "a bigint, b bigint")).collect()}
+    want = naive(rows)[0]
+    joined = sum(got.get(node[a]) is not None and got.get(node[a]) == got.get(node[b]) for a, b in links)
+    assert joined >= 0.9 * len(links)  # two pairs a text; least hashes find the rest
+    assert all(want[a] == want[b] for a, b in links)
+
+
+def test_least_hashes_skip_what_fingerprints_have_joined(spark):
+    """A bucket of one component is not compared again; one of two is."""
+    words = prose(1, 300)
+    table = docs(spark, [(i, " ".join(edited(i, words, 1)), "a") for i in range(4)])
+    _, node = _prints(table, spark)
+    nodes = sorted(node.values())
+    bands = spark.createDataFrame([(n, [7]) for n in nodes], "node bigint, keys array<bigint>")
+    missing = docs(spark, [])  # no text can be compared
+    links = spark.createDataFrame([(n, nodes[0]) for n in nodes[1:]], "a bigint, b bigint")
+    assert {r.root for r in near_roots(bands, missing, links=links).collect()} == {nodes[0]}
+    partly = near_roots(bands, table, links=links.limit(1)).collect()
+    assert {r.root for r in partly} == {nodes[0]} and len(partly) == 4
