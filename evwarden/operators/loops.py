@@ -19,7 +19,7 @@ from evwarden.operators.cells import CellOptions, assign_cells
 from evwarden.operators.joins import _keyed, _without_loop
 from evwarden.operators.project import Layout, fits
 from evwarden.operators.scan import scan_matches
-from evwarden.predicates import Predicate, Ref, comparisons
+from evwarden.predicates import Comparison, Predicate, Ref, comparisons
 from evwarden.sinks.scratch import stored
 
 #: What can be asked of a repeated step; ``missing`` counts the events without a member.
@@ -43,6 +43,13 @@ def _judged(inv: Invariant) -> list[tuple]:
     ]
 
 
+def _deciding(c: Comparison, side: Ref) -> tuple[str, ...]:
+    """Which extremes of a loop member decide a comparison."""
+    if c.op == "=":
+        return ("min", "max")
+    return ("max",) if (side is c.left) == (c.op in ("<", "<=")) else ("min",)
+
+
 def figure_matches(
     events: DataFrame, inv: Invariant, layout: Layout, opts: CellOptions, open_until: Column | None, figures: Sequence[str], block: int | None = None
 ) -> DataFrame:
@@ -108,12 +115,13 @@ def _ranked(inside: DataFrame, matches: DataFrame, keys: list[str], loops: list[
 
 def _with_counts(matches: DataFrame, ranked: DataFrame, keys: list[str], loops: list[_Loop]) -> DataFrame:
     """``matches`` with the counts at their borders (``a_…``, ``z_…``) and the number of loop events of each alias."""
+    # looked up by merging here and below: files of ranks are small, but as a table in memory many times their size
     names = [n for loop in loops for n, _ in loop.counted()]
     for prefix, side, us, seq in (("a", 1, "start_us", "start_seq"), ("z", -1, "stop_us", "stop_seq")):
         at = ranked.where(F.col("side") == side).select(
             *keys, F.col("us").alias(us), F.col("seq").alias(seq), *[F.col(n).alias(f"{prefix}_{n}") for n in names]
         )
-        matches = matches.join(at, [*keys, us, seq], "left")
+        matches = matches.join(at.hint("merge"), [*keys, us, seq], "left")
     zero = F.lit(0)
     counts = {loop.n: F.coalesce(F.col(f"z_{loop.n}") - F.col(f"a_{loop.n}"), zero).cast("bigint") for loop in loops}
     return matches.withColumns(counts)
@@ -131,6 +139,10 @@ class _Loop:
         self.extremes = sorted(set(self.members) if {"min", "max"} & self.figures else wanted)
         self.added = [p for p in self.numbers if "sum" in self.figures]
         self.missing = sorted(set(self.members) if "missing" in figures else wanted)
+        if {"min", "max"} & self.figures:
+            self.sides = {p: ["min", "max"] for p in self.extremes}
+        else:
+            self.sides = {p: [s for s in ("min", "max") if any(r.alias == alias and r.path == p and s in _deciding(c, r) for c, r in _judged(inv))] for p in self.extremes}
 
     def _is(self) -> Column:
         return (F.col("side") == 0) & (F.col("type") == self.type)
@@ -158,9 +170,12 @@ class _Loop:
         inside = Window.partitionBy(*keys, "block").orderBy(self.n)
         begun = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         back = Window.partitionBy(*keys, "block").orderBy(F.desc(self.n)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        columns = []
+        # what is read at each place, no more: every join carries it
+        columns = [event] if ends else []
+        read: dict[str, list[str]] = {"head": ["event"] if "first" in ends else [], "tail": ["event"] if "last" in ends else [], "cover": []}
         for p in self.extremes:
-            for side, (over, both) in sides.items():
+            for side in self.sides[p]:
+                over, both = sides[side]
                 name = self._name(side, p)
                 events = events.withColumn(f"{name}_0", F.col(self.members[p]))
                 levels = _levels(min(longest, block))
@@ -170,7 +185,10 @@ class _Loop:
                 events = events.withColumns({f"{name}_begun": over(self.members[p]).over(begun), f"{name}_rest": over(self.members[p]).over(back)})
                 table = F.array(*[F.col(f"{name}_{k}") for k in range(levels)]).alias(f"{name}_table")
                 columns += [table, F.col(f"{name}_begun"), F.col(f"{name}_rest")]
-        events = events.select(*keys, rank.alias("rank"), event, *columns)
+                read["head"] += [f"{name}_table", f"{name}_rest"]
+                read["tail"].append(f"{name}_begun")
+                read["cover"].append(f"{name}_table")
+        events = events.select(*keys, rank.alias("rank"), *columns)
         events = stored(events, "loop-events") if self.extremes else events
         k = F.length(F.bin(F.greatest(n, F.lit(1)))) - 1
         step = F.pow(F.lit(2), k).cast("bigint")
@@ -180,15 +198,17 @@ class _Loop:
         if self.extremes:
             places["cover"] = F.when(some & one_block, end - step + 1)
         for place, at in places.items():
-            wanted = [c for c in events.columns if c not in (*keys, "rank")]
-            found = events.select(*keys, F.col("rank").alias("_rank"), F.struct(*wanted).alias(f"{place}_{self.alias}"))
-            out = out.withColumn("_rank", at).join(found, [*keys, "_rank"], "left").drop("_rank")
+            if not read[place]:
+                continue
+            found = events.select(*keys, F.col("rank").alias("_rank"), F.struct(*read[place]).alias(f"{place}_{self.alias}"))
+            out = out.withColumn("_rank", at).join(found.hint("merge"), [*keys, "_rank"], "left").drop("_rank")
         if not self.extremes:
             return out
         out = self._with_blocks(out, ranked.where(self._is()), keys, block, longest)
         head, tail, cover = (F.col(f"{p}_{self.alias}") for p in ("head", "tail", "cover"))
         for p in self.extremes:
-            for side, (_, both) in sides.items():
+            for side in self.sides[p]:
+                _, both = sides[side]
                 name = self._name(side, p)
                 level = F.least(k, F.lit(_levels(min(longest, block)) - 1))
                 within = both(F.get(head[f"{name}_table"], level), F.get(cover[f"{name}_table"], level))
@@ -198,7 +218,7 @@ class _Loop:
 
     def _with_blocks(self, out: DataFrame, events: DataFrame, keys: list[str], block: int, longest: int) -> DataFrame:
         """Adds the extremes of the whole blocks between the first and the last of each match."""
-        names = [(side, p, self._name(side, p)) for p in self.extremes for side in ("min", "max")]
+        names = [(side, p, self._name(side, p)) for p in self.extremes for side in self.sides[p]]
         kinds = {p: events.schema[self.members[p]].dataType for p in self.extremes}
         if longest < block + 2:  # no whole block fits between two others
             return out.withColumns({f"{name}_blocks": F.lit(None).cast(kinds[p]) for _, p, name in names})
@@ -216,7 +236,7 @@ class _Loop:
         count = F.floor((F.col(f"z_{self.n}") - 1) / block) - first
         out = out.withColumn("_count", F.when(F.col(self.n) > 0, count)).withColumn("_k", F.length(F.bin(F.greatest("_count", F.lit(1)))) - 1)
         for side, at in (("l", first), ("r", first + F.col("_count") - F.pow(F.lit(2), F.col("_k")).cast("bigint"))):
-            out = out.withColumn("_block", F.when(F.col("_count") > 0, at)).join(blocks, [*keys, "_block"], "left")
+            out = out.withColumn("_block", F.when(F.col("_count") > 0, at)).join(blocks.hint("merge"), [*keys, "_block"], "left")
             out = out.withColumnRenamed("_entry", f"_{side}").drop("_block")
         for side, _, name in names:
             both = F.least if side == "min" else F.greatest
@@ -234,8 +254,9 @@ class _Loop:
                 total = [F.when(some, F.col(f"z_{self._name(figure, p)}") - F.col(f"a_{self._name(figure, p)}")).alias(p) for p in paths]
                 fields.append(F.struct(*total).alias(figure))
         for figure in ("min", "max"):
-            if self.extremes:
-                fields.append(F.struct(*[F.when(some, F.col(self._name(figure, p))).alias(p) for p in self.extremes]).alias(figure))
+            paths = [p for p in self.extremes if figure in self.sides[p]]
+            if paths:
+                fields.append(F.struct(*[F.when(some, F.col(self._name(figure, p))).alias(p) for p in paths]).alias(figure))
         return F.struct(*fields)
 
 
