@@ -110,8 +110,9 @@ def zipf(df: DataFrame, raw: str, ranks: int, out: str, exponent: float = 1.0) -
         F.col("high").alias("_high"),
         F.explode(F.sequence(slot(F.col("low")), slot(F.col("high") - 1))).alias("_slot"),
     )
-    weighted = F.col(raw).cast("decimal(18,0)") * total.cast("decimal(19,0)")  # exact, may pass 2^63
-    at = F.call_function("div", weighted, F.lit(RAW_RANGE).cast("decimal(19,0)")).cast("bigint")
+    # raw * total / 2^31 from the two halves of the total: exact, and no product passes 2^63
+    halves = F.shiftright(total, 31), total.bitwiseAND(F.lit(RAW_RANGE - 1))
+    at = F.col(raw) * halves[0] + F.shiftright(F.col(raw) * halves[1], 31)
     drawn = df.withColumn("_at", at).withColumn("_slot", slot(F.col("_at")))
     inside = (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
     return drawn.join(side, "_slot").filter(inside).select(*df.columns, out)

@@ -17,13 +17,17 @@ from evwarden.functions.draws import guid, hashed_raw, sample, uniform_int, zipf
 from evwarden.operators.running import latest_before, running_total
 from evwarden.sinks.scratch import stored
 from evwarden.functions.templates import (
+    fill_headers,
+    fill_payload,
+    fill_text,
+    fill_url,
+    header_parts,
     missing_arguments,
+    payload_parts,
     query_string,
-    render_headers,
-    render_payload,
     render_text,
-    render_url,
     sleep_us,
+    text_parts,
 )
 
 DEFAULT_CONCURRENCY = 10
@@ -212,7 +216,7 @@ def generated(gen: Mapping[str, Any], raw: Column, seed: int) -> Column:
 
 
 def dynamic_values(variables: Column, seed: int, *ids: Column | str) -> Column:
-    """Random value per dynamic variable (``array<struct<name, type>>``) as a map."""
+    """Random value per dynamic variable (``array<struct<name, type>>``, names differ: :func:`last_named`) as a map."""
 
     def value(v: Column) -> Column:
         raw = hashed_raw(seed, v["name"], *ids)
@@ -225,7 +229,7 @@ def dynamic_values(variables: Column, seed: int, *ids: Column | str) -> Column:
         )
 
     return F.coalesce(
-        F.map_from_entries(F.transform(last_named(variables), lambda v: F.struct(v["name"], value(v)))),
+        F.map_from_entries(F.transform(variables, lambda v: F.struct(v["name"], value(v)))),
         F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
     )
 
@@ -245,7 +249,8 @@ def with_values(rows: DataFrame, out: str, more: Column) -> DataFrame:
     """``values`` and the map ``more`` in column ``out``; names of ``more`` replace those of ``values``."""
     both = rows.withColumn("_more", more).withColumn("_names", F.map_keys("_more"))
     old = F.map_filter("values", lambda k, _: ~F.array_contains("_names", k))
-    return both.withColumn(out, F.map_concat(old, F.col("_more"))).drop("_more", "_names")
+    merged = F.when(F.size("_names") == 0, F.col("values")).otherwise(F.map_concat(old, F.col("_more")))
+    return both.withColumn(out, merged).drop("_more", "_names")
 
 
 _OPERATION_FIELDS = (
@@ -255,18 +260,44 @@ _OPERATION_FIELDS = (
 
 
 def transaction_plans(transactions: DataFrame, operations: DataFrame) -> DataFrame:
-    """Per transaction its operations in order, each with its definition: one small row per transaction."""
+    """Per transaction its operations in order, each with its definition made ready to fill: one small row per transaction.
+
+    What does not depend on a row's values is done here: templates are cut, declared names and their kinds looked up.
+    """
     refs = transactions.select(
         F.col("templateId").alias("transaction"), F.col("arguments").alias("tx_arguments"),
-        F.col("dynamicVariables").alias("tx_variables"), F.posexplode("operations").alias("op_index", "op"),
+        last_named(F.col("dynamicVariables")).alias("tx_variables"), F.posexplode("operations").alias("op_index", "op"),
     ).select("*", F.col("op.operationReferenceId").alias("templateId"), F.col("op.id").alias("operation_ref"))
     joined = refs.join(operations.select("templateId", *_OPERATION_FIELDS), "templateId", "left")
     op = F.struct("op_index", "operation_ref", "templateId", *_OPERATION_FIELDS)
-    return joined.groupBy("transaction").agg(
+    plans = joined.groupBy("transaction").agg(
         F.first("tx_arguments").alias("tx_arguments"),
         F.first("tx_variables").alias("tx_variables"),
         F.sort_array(F.collect_list(op)).alias("ops"),
     )
+    return plans.withColumn("ops", F.transform("ops", _ready))
+
+
+def _ready(op: Column) -> Column:
+    none = F.array().cast("array<struct<name:string,type:string>>")
+    declared = F.concat(F.coalesce(op["arguments"], none), F.coalesce(op["dynamicVariables"], none))
+    kinds = F.map_from_entries(last_named(declared))
+    return F.struct(
+        *[op[c].alias(c) for c in ("op_index", "operation_ref", "templateId", "type", "arguments", "units")],
+        F.upper(op["httpMethod"]).alias("method"),
+        last_named(op["dynamicVariables"]).alias("variables"),
+        text_parts(op["url"]).alias("url"),
+        header_parts(op["headers"]).alias("headers"),
+        query_string(op["queryParameters"]).alias("query"),
+        payload_parts(op["requestPayload"]["content"], kinds).alias("payload"),
+        text_parts(op["duration"]).alias("duration"),
+        # what a duration without placeholders gives
+        sleep_us(render_text(op["duration"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), op["units"]).alias("fixed_us"),
+    )
+
+
+def _pause(op: Column, values: Column) -> Column:
+    return F.coalesce(op["fixed_us"], sleep_us(fill_text(op["duration"], values), op["units"]))
 
 
 def requests(
@@ -278,31 +309,27 @@ def requests(
     ``responses(workload, tx_ref, ordinal, op_index, name, value)`` holds what operations returned. An operation sees
     the latest value of each name that an earlier operation of its transaction returned; it replaces a bound value.
 
-    Definitions are joined among themselves first; the join with ``bound`` names
-    no strategy, so Spark broadcasts them only after looking at their size.  The
-    table itself is then made without a shuffle.  ``spread`` deals the bound
-    transactions out again when the input has fewer pieces than there are cores.
+    Definitions are joined among themselves first and stored; the join with
+    ``bound`` names no strategy, so Spark knows their size when it plans and
+    broadcasts them only if they are small.  The table itself is then made
+    without a shuffle.  ``spread`` deals the bound transactions out again when
+    the input has fewer pieces than there are cores.
     """
-    rows = bound.repartition(spread) if spread else bound
-    rows = rows.join(transaction_plans(transactions, operations), "transaction")
+    rows = bound.repartition(spread, *_IDS) if spread else bound
+    rows = rows.join(stored(transaction_plans(transactions, operations), "plans"), "transaction")
     rows = with_values(rows, "values", dynamic_values(F.col("tx_variables"), seed, "tx_ref", "ordinal"))
 
-    def slept(op: Column) -> Column:
-        return F.coalesce(sleep_us(render_text(op["duration"], F.col("values")), op["units"]), F.lit(0).cast("bigint"))
-
-    def with_offset(op: Column, index: Column) -> Column:
-        # an operation list is part of one definition, so its prefix sums are cheap
-        before = F.aggregate(F.slice("ops", F.lit(1), index), F.lit(0).cast("bigint"), lambda acc, o: acc + slept(o))
-        return F.struct(op.alias("op"), before.alias("offset_us"))
-
-    rows = rows.select(
-        "workload", "tx_ref", "transaction", "ordinal", "values",
+    # an operation list is part of one definition, so its prefix sums are cheap
+    before = F.aggregate(F.slice("_slept", F.lit(1), F.col("_at")), F.lit(0).cast("bigint"), lambda acc, us: acc + us)
+    slept = F.transform("ops", lambda op: F.coalesce(_pause(op, F.col("values")), F.lit(0).cast("bigint")))
+    rows = rows.withColumn("_slept", slept).select(
+        "workload", "tx_ref", "transaction", "ordinal", "values", "_slept",
         missing_arguments(F.col("tx_arguments"), F.col("values")).alias("tx_missing"),
-        F.explode(F.transform("ops", with_offset)).alias("o"),
-    ).select("*", "o.offset_us", "o.op.*").drop("o")
+        F.posexplode("ops").alias("_at", "op"),
+    ).select("*", before.alias("offset_us"), "op.*").drop("_slept", "_at", "op")
     if responses is not None:
         rows = _with_returned(rows, responses)
-    rows = with_values(rows, "op_values", dynamic_values(F.col("dynamicVariables"), seed, "tx_ref", "ordinal", "op_index"))
+    rows = with_values(rows, "op_values", dynamic_values(F.col("variables"), seed, "tx_ref", "ordinal", "op_index"))
     missing = F.concat("tx_missing", missing_arguments(F.col("arguments"), F.col("op_values")))
     return render(rows.withColumn("missing", missing), F.col("op_values")).select(
         "workload", "tx_ref", "transaction", "ordinal", "op_index", "operation_ref", "templateId", "type", "method",
@@ -324,23 +351,12 @@ def _with_returned(rows: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def render(rows: DataFrame, values: Column) -> DataFrame:
-    """Adds the rendered parts of an operation; null where a value is missing."""
-    declared = F.coalesce(
-        F.concat(
-            F.coalesce("arguments", F.array().cast("array<struct<name:string,type:string>>")),
-            F.coalesce("dynamicVariables", F.array().cast("array<struct<name:string,type:string>>")),
-        )
-    )
-    with_body = rows.withColumn(
-        "body", render_payload(F.col("requestPayload.content"), values, F.map_from_entries(last_named(declared)))
-    )
-    return with_body.select(
+    """Adds the rendered parts of an operation of a plan; null where a value is missing."""
+    return rows.withColumn("body", fill_payload(F.col("payload"), values)).select(
         "*",
-        F.upper("httpMethod").alias("method"),
-        render_url(F.col("url"), values, F.col("body")).alias("request_url"),
-        query_string(F.col("queryParameters")).alias("query"),
-        render_headers(F.col("headers"), values).alias("request_headers"),
-        sleep_us(render_text(F.col("duration"), values), F.col("units")).alias("sleep_us"),
+        fill_url(F.col("url"), values, F.col("body")).alias("request_url"),
+        fill_headers(F.col("headers"), values).alias("request_headers"),
+        _pause(F.struct("fixed_us", "duration", "units"), values).alias("sleep_us"),
     )
 
 

@@ -1,6 +1,8 @@
 """Draws, templates, definitions and the request table."""
 
 import json
+from bisect import bisect_right
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,41 @@ def test_request_table(spark, folder):
     assert sorted(map(str, again.collect())) == sorted(map(str, table))
 
 
+def test_definitions_are_made_ready_once(spark, folder):
+    """No row cuts a template or looks up declared names again, and rows are not dealt out by their few transactions."""
+    ops, txs, _ = parsed(spark, folder[1])
+    ids = [F.lit("w").alias("workload"), F.lit("x").alias("tx_ref"), F.lit("t").alias("transaction"), F.col("id").alias("ordinal")]
+    bound = spark.range(3).select(*ids, F.create_map(F.lit("user"), F.lit("a"), F.lit("n"), F.lit("1")).alias("values"))
+    out = W.requests(bound, txs, ops, seed=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "dynamicVariables" not in plan
+    # the one cut for each row is that of a filled URL, at its references to the payload
+    assert plan.count("regexp_extract_all") == 1
+    assert {(r.ordinal, r.op_index): (r.request_url, r.sleep_us) for r in out.collect()} == {
+        (i, op): part for i in range(3) for op, part in ((0, (None, 1_500_000)), (1, ("http://shop/a/1", None)))}
+
+
+def test_texts_cut_before_they_are_filled(spark):
+    """Placeholders side by side and at both ends, none, unknown ones, pauses drawn for a row, references that a value brings."""
+    values = F.create_map(*[F.lit(x) for x in ("a", "1", "b", "", "ref", "@@k.x@@", "odd", "{{a}}", "s", "2.5")])
+    cases = {
+        "{{a}}{{b}}{{a}}": "11", "-{{a}}": "-1", "{{odd}}+{{a}}": "{{a}}+1", "": "", "plain": "plain", "{{a}} {{gone}}": None, None: None,
+        "{{ref}}/{{a}}": "@@k.x@@/1", "@@k.{{gone}}@@": None,
+    }
+    in_payload = {**cases, "{{ref}}/{{a}}": "seven/1", "@@k.y@@": None, "@@k.x@@@@k.x@@": "sevenseven", "@@": "@@"}
+    payload = F.lit('{"k": {"x": "seven"}}')
+    df = spark.createDataFrame([(t,) for t in in_payload], "t string").repartition(2)
+    rows = df.select("t", T.render_text(F.col("t"), values).alias("text"), T.render_url(F.col("t"), values, payload).alias("url")).collect()
+    assert {r.t: r.text for r in rows if r.t in cases} == cases and {r.t: r.url for r in rows} == in_payload
+    ops = S.parse(spark.createDataFrame([(json.dumps({"templateId": n, "type": "sleep", "duration": d, "units": "seconds"}), "op", n) for n, d in
+                                         (("p", "{{s}}"), ("q", "4"), ("r", "long"), ("u", "{{gone}}"))], "text string, kind string, file string"), "op")
+    steps = [{"operationReferenceId": n, "id": n} for n in "pqrup"]
+    txs = S.parse(spark.createDataFrame([(json.dumps({"templateId": "t", "operations": steps}), "tx", "t")], "text string, kind string, file string"), "tx")
+    bound = spark.range(1).select(F.lit("w").alias("workload"), F.lit("x").alias("tx_ref"), F.lit("t").alias("transaction"), F.col("id").alias("ordinal"), values.alias("values"))
+    got = {r.op_index: (r.sleep_us, r.offset_us) for r in W.requests(bound, txs, ops, seed=1).collect()}
+    assert got == {0: (2_500_000, 0), 1: (4_000_000, 2_500_000), 2: (None, 6_500_000), 3: (None, 6_500_000), 4: (2_500_000, 6_500_000)}
+
+
 FAULTS = {
     "op_1": ({**OPERATIONS["add"], "templateId": ""}, "templateId is empty"),
     "op_2": ({"templateId": "o", "type": "non-http"}, "unknown operation type"),
@@ -188,6 +225,10 @@ def test_draws(spark):
     counts = {r["rank"]: r["count"] for r in ranked}
     assert sum(counts.values()) == 20_000
     assert abs(counts[1] / 20_000 - 1 / sum(1 / r for r in range(1, 101))) < 0.02
+    # where a weight times a draw passes 2^63, ranks are those of exact integers
+    wide = D.zipf(ids.select(((F.col("id") + 1) * 107_374 - 1).alias("raw")), "raw", 3000, "rank").collect()
+    highs = list(accumulate(1_000_000_000 // r for r in range(1, 3001)))
+    assert all(r["rank"] == bisect_right(highs, r.raw * highs[-1] >> 31) + 1 for r in wide)
     # a longer table begins like a shorter one
     small, large = (1 << 16), (1 << 16) + 5
     top = [D.zipf_table(spark, n, 1.2).filter("rank = 65536").first().high for n in (small, large)]
