@@ -156,13 +156,13 @@ def bind_all(expanded: DataFrame, workloads: DataFrame, seed: int, draw: ColumnD
     a row, are made by a join for each size of such a table and put together for each transaction. References to unknown generators bind nothing.
     """
     draw = draw or (lambda purpose: hashed_raw(seed, purpose, *_IDS))
-    found = stored(bindings(workloads), "bindings")
+    found = stored(bindings(workloads).withColumn("bound", last_named(F.col("bound"))), "bindings")
     joined = expanded.join(found, ["workload", "tx_ref"], "left")
-    plain = F.filter(last_named(F.col("bound")), lambda b: ~(b["zipfian"] & (b["kind"] != "counter")))
+    plain = F.filter("bound", lambda b: ~(b["zipfian"] & (b["kind"] != "counter")))
     pairs = F.transform(plain, lambda b: F.struct(b["name"], _drawn(b, draw(b["purpose"]), seed)))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     out = joined.withColumn("values", F.coalesce(F.map_from_entries(pairs), none)).drop("bound")
-    skewed = found.select("workload", "tx_ref", F.explode(last_named(F.col("bound"))).alias("b")).where("b.zipfian AND b.kind <> 'counter'")
+    skewed = found.select("workload", "tx_ref", F.explode("bound").alias("b")).where("b.zipfian AND b.kind <> 'counter'")
     space, size = F.col("b.gen.sampleSpace"), F.col("b.gen.max") - F.col("b.gen.min")
     skewed = skewed.withColumn("ranks", F.when(F.size(space) > 0, F.size(space)).otherwise(size)).withColumn("exponent", F.coalesce("b.gen.exponent", F.lit(1.0)))
     parts = []

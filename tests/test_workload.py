@@ -126,6 +126,18 @@ def test_definitions_are_made_ready_once(spark, folder):
         (i, op): part for i in range(3) for op, part in ((0, (None, 1_500_000)), (1, ("http://shop/a/1", None)))}
 
 
+def test_names_of_bindings_are_looked_up_once(spark):
+    """The last of bindings with one name is found on the table of definitions, not again for each row."""
+    data = [{"name": "n", "generatorReferenceId": g} for g in ("k", "c")]
+    doc = {"templateId": "w", "generators": [{"id": "k", "type": "constant", "constant": "x"}, {"id": "c", "type": "counter", "start": 5}],
+           "transactions": [{"id": "x1", "transactionReferenceId": "t", "count": 2, "data": data}]}
+    workloads = S.parse(spark.createDataFrame([("f", json.dumps(doc), "workload")], "file string, text string, kind string"), "workload")
+    rows = spark.range(2).select(F.lit("w").alias("workload"), F.lit("x1").alias("tx_ref"), F.col("id").alias("ordinal"))
+    bound = W.bind_all(rows, workloads, seed=1)
+    assert "array_contains" not in bound._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ordinal, r["values"]) for r in bound.collect()) == [(0, {"n": "5"}), (1, {"n": "6"})]
+
+
 def test_texts_cut_before_they_are_filled(spark):
     """Placeholders side by side and at both ends, none, unknown ones, pauses drawn for a row, references that a value brings."""
     values = F.create_map(*[F.lit(x) for x in ("a", "1", "b", "", "ref", "@@k.x@@", "odd", "{{a}}", "s", "2.5")])
